@@ -204,14 +204,14 @@ def bpe_of(path: str) -> tuple[SpeculativeBPE, Cache]:
     return bpe, Cache(bpe.encode_pieces)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encode and decode each text of docs (null: empty, 0 tokens): the columns of keep, n_tokens, ids_sha256, decoded_sha256.
 
-    with_text adds ids (array of int) and decoded. One row per row of docs, equal rows included.
+    with_ids adds ids (array of int). One row per row of docs, equal rows included.
     """
     chosen = [F.col(c) for c in keep]
     fields = {f.name: f for f in docs.select(*chosen).schema.fields}
-    own = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
+    own = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     schema = ", ".join([*(f"`{n}` {f.dataType.simpleString()}" for n, f in fields.items()), own])
     width = len(keep)
 
@@ -224,8 +224,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
             texts = [bpe.decode(flat[a // 4 : b // 4]) for a, b in zip(at, at[1:], strict=False)]
             columns = [batch.column(i) for i in range(width)]
             columns += [pa.array(np.diff(offsets)), pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
-            if with_text:
-                columns += [pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32)), pa.array(texts)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_text])
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.select(*chosen, F.col("text").cast("string").alias("__text")).mapInArrow(work, schema)

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import documents, shared_dir
+from quillstone.llm.common import documents, shared_dir, tokenizer_path
 
 
 def op1_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.idfiles import read_ids, write_ids
 
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_ids(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), path)
     return read_ids(spark, path, with_ids=False)
 
 
@@ -32,10 +31,23 @@ def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_pass_shuffle(documents(spark, sf_dir)).select("row.doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.resampling import resample
+
+    found = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("row.doc_id", "log_weight", "kept")
+
+
+def op5_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.bpe import encode_decode
 
-    return encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +59,7 @@ def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.unigram_count import token_counts
 
-    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +74,7 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix)}
 
 ORACLES = {
     "op9_exact_dedup": """
