@@ -64,6 +64,14 @@ def drop_written(df: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    """Hand Python workers at most so many rows at once. Texts and sets are kilobytes each, and both sides of the hand-over hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that an operator's own columns can't clash with them."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, partitions
+from quillstone.llm.common import bound_batches, cut, partitions
 
 LENGTH = 400
 GRAM = 64
@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     another, is removed. Null: empty. Texts under `length` bytes stay whole, equal rows lose the same bytes, and a null
     id is an id like others. What is left may end within a character, so it is bytes.
     """
+    bound_batches(docs.sparkSession, 1000)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = cut(repeated_spans(keyed, length, gram, most, block), "spans")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import bound_batches, cut
 
 BUCKETS, SLICES = 1 << 17, 64
 GRAMS = (2, 3)
@@ -154,6 +154,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with the k-th are all kept.
     Rows that repeat an id have the same noise. Without any labels the cut is 0. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession, 1000)
     ratios, least = fit(docs, labels)
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     scores = cut(weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios).select(gumbel_key(seed).alias("key"), "log_weight").dropna(), "keys")
