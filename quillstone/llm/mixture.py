@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import SPACE, cut, text_or_empty
+from quillstone.llm.common import SPACE, cut, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -107,5 +107,6 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
     often = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    both = docs.join(often, docs["doc_id"].eqNullSafe(often["__id"]))
-    return both.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").alias("__of"))
+    both = rows.join(often, rows["__of"].eqNullSafe(often["__id"]))
+    return both.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
