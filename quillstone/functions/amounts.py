@@ -17,7 +17,7 @@ def normalize_token(token: Column) -> Column:
     """'1234.50' for a token that reads as an amount, else null.
 
     Of two kinds of separators the later one is the decimal; one kind twice or more is decimal only before two last digits; a
-    single separator is decimal before one or two digits. More than two decimals are rounded half up.
+    single separator is decimal before one or two digits. More than two decimals are rounded half up; long numbers stay exact, and those of over 36 digits are null.
     """
     cleaned = F.regexp_replace(F.regexp_replace(token, r"(?i)\b(?:rm|usd|eur|aed)\b", ""), r"[^0-9,.\-+]", "")
     return let(cleaned, lambda c: F.concat(F.when(F.startswith(c, F.lit("-")), "-").otherwise(""), let(let(F.regexp_replace(c, r"^[+-]", ""), _plain), _two_places)))
@@ -40,8 +40,7 @@ def _plain(b: Column) -> Column:
 
 
 def _two_places(p: Column) -> Column:
-    exact = F.when(F.char_length(p) <= 26, p.try_cast("decimal(28,2)"))
-    return F.when(p.rlike(r"^(?:\d+\.?\d*|\.\d+)$"), F.coalesce(exact, p.try_cast("double").try_cast("decimal(38,2)")).cast("string"))
+    return F.when(p.rlike(r"^(?:\d+\.?\d*|\.\d+)$"), p.try_cast("decimal(38,2)").cast("string"))
 
 
 def normalize_amount(c: Column) -> Column:

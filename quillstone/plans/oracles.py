@@ -54,7 +54,7 @@ def normalized(source: str, name: str) -> str:
    WHEN commas + dots > 1 AND tail = 2 THEN left(bare, length(bare) - 2) || '.' || right(bare, 2)
    WHEN commas + dots = 1 AND tail IN (1, 2) THEN replace(b, ',', '.')
    ELSE bare END AS p FROM {name}_n),
-{name} AS (SELECT *, CASE WHEN regexp_matches(p, '^([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN (CASE WHEN c LIKE '-%' THEN '-' ELSE '' END) || CAST(TRY_CAST(p AS DECIMAL(28,2)) AS VARCHAR) END AS value,
+{name} AS (SELECT *, CASE WHEN regexp_matches(p, '^([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN (CASE WHEN c LIKE '-%' THEN '-' ELSE '' END) || CAST(TRY_CAST(p AS DECIMAL(38,2)) AS VARCHAR) END AS value,
    (NOT regexp_matches(token, '[.,]') AND length(regexp_replace(token, '[^0-9]', '', 'g')) >= 7) AS long_plain FROM {name}_p)"""
 
 
@@ -248,7 +248,7 @@ ORACLES = {
     "forged_reasons": f"WITH {SCORED}, rs AS (SELECT unnest(list_filter([CASE WHEN r1 THEN '{C.REASONS[2]}' END, CASE WHEN r2 THEN '{C.REASONS[4]}' END, CASE WHEN r3 THEN '{C.REASONS[5]}' END], lambda x: x IS NOT NULL)) AS reason FROM h_out) SELECT reason, count(*) AS n FROM rs GROUP BY reason",
     "raster_stats": f"WITH {PIXELS} SELECT vec_id, {rounded('img_mean', 'img_std', 'img_median', 'p5', 'p95')}, round(p95 - p5, 6) AS dynamic_range FROM ras",
     "raster_entropy": f"WITH {PIXELS}, b AS (SELECT vec_id, floor(v / 4) AS bin, count(*) AS n FROM px GROUP BY 1, 2) SELECT vec_id, round(-sum(n / 64.0::DOUBLE * log2(n / 64.0::DOUBLE)), 6) AS entropy FROM b GROUP BY vec_id",
-    "raster_blocks": f"WITH {PIXELS}, b AS (SELECT vec_id, var_pop(v) AS s FROM px GROUP BY vec_id, y // 4, x // 4) SELECT vec_id, round(avg(s), 6) AS block_var_mean, round(stddev_pop(s), 6) AS block_var_std FROM b GROUP BY vec_id",
+    "raster_blocks": f"WITH {PIXELS}, b AS (SELECT vec_id, var_pop(v) AS s FROM px GROUP BY vec_id, y // 4, x // 4) SELECT vec_id, round(avg(s), 10) AS block_var_mean, round(stddev_pop(s), 6) AS block_var_std FROM b GROUP BY vec_id",
     "raster_ela": f"WITH {PIXELS} SELECT vec_id, {rounded('ela_mean', 'ela_std', 'ela_max', 'ela_high_ratio')} FROM ela",
     "page_feature_aggregate": f"WITH {PIXELS}, l AS (SELECT DISTINCT vec_id, label FROM px) SELECT label, round(avg(img_mean), 6) AS img_mean, round(avg(img_std), 6) AS img_std, round(avg(img_median), 6) AS img_median, round(avg(p95 - p5), 6) AS dynamic_range, round(avg(ela_mean), 6) AS ela_mean, round(max(ela_max), 6) AS ela_max, round(max(ela_high_ratio), 6) AS ela_high_ratio FROM ras JOIN ela USING (vec_id) JOIN l USING (vec_id) GROUP BY label",
     "field_match_eval": f"WITH {FIELDS}, m AS (SELECT r.vendor AS tv, r.date AS td, r.total AS tt, f.* FROM receipts r JOIN fields_out f USING (doc_id)) "

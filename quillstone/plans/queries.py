@@ -224,7 +224,7 @@ def raster_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = image.raster_blocks(raster_pixels(spark, sf_dir), 4)
-    return s.select("vec_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+    return s.select("vec_id", F.round("block_var_mean", 10).alias("block_var_mean"), F.round("block_var_std", 6).alias("block_var_std"))
 
 
 def raster_ela(spark: SparkSession, sf_dir: str) -> DataFrame:
