@@ -4,7 +4,7 @@ Both models are generative, over hashed byte n-grams: the target's from document
 documents. A document's log weight is the mean of its n-grams' log ratios times a fixed number of n-grams: summed over whole
 texts, small errors of the models would weigh more in long clean documents than all signs of junk in short ones. Documents are drawn without replacement by
 Gumbel top-k: log weight plus Gumbel noise, the k largest stay. k is the number of documents whose weight is at least
-the one that best parts the labelled documents held out of the fit.
+the one that, of the labelled documents held out of the fit, keeps nearly all good ones and drops the most bad ones.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LABELLED = 20_000
 SCALE = 256
 #: The noise is small beside the weights of whole documents, so the draw is close to the k heaviest.
 TEMPERATURE = 0.05
+#: The share of held-out good documents that the cut must keep.
+KEEP = 0.995
 #: A threshold is narrowed down by histograms of so many cells, until so few keys are left.
 CELLS = 4096
 
@@ -78,18 +80,18 @@ def log_weight(text: str | None, ratios: np.ndarray) -> float | None:
     return SCALE * float(ratios[found].mean()) if len(found) else None
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight from which on documents count as good, with the highest mean of both kinds' recall.
+def best_cut(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
+    """The weight from which on documents count as good: of those that keep at least `keep` of the good ones, one that drops the most bad ones.
 
-    Among equally good cuts, the middle of the widest gap. With one kind only, a weight of 0.
+    Among equals, the middle of the widest gap. With one kind only, a weight that keeps all.
     """
     if good.all() or not good.any():
-        return 0.0
+        return float(weights.min()) if len(weights) else -math.inf
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     below_bad, below_good = np.concatenate(([0], np.cumsum(~g))), np.concatenate(([0], np.cumsum(g)))
-    value = below_bad / (~g).sum() + 1 - below_good / g.sum()
-    top = np.flatnonzero(value == value.max())
+    fair = np.flatnonzero(below_good <= (1 - keep) * g.sum())
+    top = fair[below_bad[fair] == below_bad[fair].max()]
     low, high = np.concatenate(([w[0] - 1], w)), np.concatenate((w, [w[-1] + 1]))
     best = top[np.argmax(high[top] - low[top])]
     return float((low[best] + high[best]) / 2)
@@ -152,7 +154,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     """docs' columns as struct row, log_weight, key and kept.
 
     A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with the k-th are all kept.
-    Rows that repeat an id have the same noise. Without any labels the cut is 0. An empty table gives an empty result.
+    Rows that repeat an id have the same noise. Without labels of both kinds all documents with a weight are kept. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession, 1000)
     ratios, least = fit(docs, labels)
