@@ -237,6 +237,14 @@ ORACLES = {
     "total_subtotal_tax_check": f"WITH {RECEIPTS} SELECT doc_id, is_forged, is_forged = 0 AS consistent FROM receipts",
     "words_to_lines": f'WITH {RECEIPTS}, {LINES}, {WORDS}, {WORD_LINES} SELECT doc_id, CAST(idx AS INT) AS idx, text, "left", top, "right", bottom, round(conf, 6) AS conf FROM word_lines',
     "ocr_confidence_stats": f"WITH {RECEIPTS}, {LINES}, {WORDS} SELECT doc_id, round(avg(confidence / 100), 6) AS ocr_mean_confidence, round(avg(CASE WHEN confidence / 100 < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS ocr_low_conf_ratio, CAST(count(*) AS DOUBLE) AS word_count FROM words GROUP BY doc_id",
+    "field_word_overlap": f"""WITH {FIELDS}, {WORDS},
+       bx AS (SELECT doc_id, 'vendor' AS field, first(idx ORDER BY score DESC, idx) AS idx, max(score) AS score, {_d(1.0)} AS least FROM v_scored GROUP BY doc_id
+         UNION ALL SELECT doc_id, 'date', first(idx ORDER BY score DESC, idx, shape), max(score), {_d(0.8)} FROM d_cand GROUP BY doc_id
+         UNION ALL SELECT t.doc_id, 'total', first(idx ORDER BY t.score DESC, idx, ord), max(f.score), {_d(0.9)} FROM t_scored t JOIN t_fin f ON t.doc_id = f.doc_id WHERE t.score > -1 GROUP BY t.doc_id),
+       rooms AS (SELECT doc_id, field, greatest(0, l.top - 6) AS t, l.bottom + 6 AS b, l."right" + greatest(6, round_even(l."right" * {_d(0.15)}, 0)) AS r FROM bx JOIN lines l USING (doc_id, idx) WHERE score >= least)
+       SELECT doc_id, field, round(avg(confidence / 100), 6) AS field_conf, count(*) AS words FROM rooms JOIN words w USING (doc_id) WHERE w.top < b AND w.top + 8 > t AND w."left" < r AND w.width > 0 GROUP BY doc_id, field""",
+    "predict_without_words": f"""WITH {SCORED}, pw AS (SELECT doc_id, CASE WHEN consistency_risk > {_d(0.5)} THEN {_d(0.25)} ELSE {_d(0.0)} END + CASE WHEN a > 0 THEN {_d(0.0)} ELSE {_d(0.1)} END + CASE WHEN a > 0 THEN {_d(0.0)} ELSE {_d(0.1)} END AS score FROM c_out)
+       SELECT doc_id, round(score, 6) AS score, CAST(score >= {_d(0.45)} AS INT) AS is_forged FROM pw""",
     "conflicting_amounts": f"""WITH {RECEIPTS}, {LINES}, {WORDS}, {WORD_LINES}, wl AS (SELECT w.doc_id, w.idx, w.text, w.top, w.bottom, lower(w.text) AS low, w.conf, max(w.bottom) OVER (PARTITION BY w.doc_id) AS max_bottom, count(*) OVER (PARTITION BY w.doc_id) AS n FROM word_lines w),
        {offers("wl", conf=True)}, found AS (SELECT doc_id, CAST(count(DISTINCT value) AS DOUBLE) AS k FROM t_scored s JOIN receipts r USING (doc_id) WHERE score >= {_d(0.9)} AND abs(amount - CAST(shown_total AS DOUBLE)) > {_d(0.06)} AND CAST(shown_total AS DOUBLE) > 0 GROUP BY doc_id)
        SELECT r.doc_id, coalesce(k, 0) AS field_conflict_count FROM receipts r LEFT JOIN found USING (doc_id)""",
