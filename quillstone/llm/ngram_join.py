@@ -5,7 +5,8 @@ ones last. Two sets can only be alike enough if their prefixes in that order sha
 
 1. Equal sets collapse to one, and sets with the same prefix and size to one group.
 2. Group pairs are filtered: only prefix hashes held by two groups or more go on; then groups are expanded to their members.
-3. Neighbours in each hash's list (by size, then in a random order) are verified in full, and linked sets are joined to components.
+3. Neighbours in each hash's list (by size, then in a random order) are verified: counts of hashes by class rule most pairs out,
+   the others are compared in full. Linked sets are joined to components.
 4. Each list pairs what is still in different components, within the bounds of size; these pairs are verified too.
 
 So each pair that the prefixes admit is either verified or joined by verified links already: no component is lost,
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, partitions, word_spans
+from quillstone.llm.common import bound_batches, cut, partitions, word_spans
 from quillstone.llm.components import components
 
 WORDS = 4
@@ -32,6 +33,7 @@ LIKE = 85
 #: Counters for the frequency of hashes, in SLICES rows; fixed, so what is broadcast is COUNTERS / 8 bytes.
 COUNTERS, SLICES = 1 << 20, 64
 NO_ID = (1 << 63) - 1
+CLASSES, MANY = 128, 65535
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -118,8 +120,35 @@ def in_order(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~often], hashes[often]])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
-    """The pairs (x, y) whose sets are alike enough, compared in full."""
+def class_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall in each of CLASSES classes. The top value means as many or more."""
+    n = np.bincount((hashes >> np.uint64(40) & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    return np.minimum(n, MANY).astype("<u2")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
+    """The pairs (x, y) that their class counts don't rule out: two sets share at most the smaller count of each class."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in (4, 5))
+            most = np.minimum(a, b).sum(1)
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = pa.array((100 * most >= like * (total - most)) | ((a == MANY) & (b == MANY)).any(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+
+    x, y = (sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("classes").alias(f"c{c}")) for c in "xy")
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(check, "x long, y long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, like: int) -> DataFrame:
+    """The pairs (x, y) whose sets are alike enough, as links (u, v): ruled out by class counts or compared in full."""
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_long(d) for d in digests], pa.int64()), pa.array([_long(d[8:]) for d in digests], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "d1", "d2", "hashes"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +161,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
             keep = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    x, y = sets.select(F.col("sid").alias("x"), F.col("hashes").alias("xs")), sets.select(F.col("sid").alias("y"), F.col("hashes").alias("ys"))
+    pairs = cut(_possible(pairs, sets, like), "pairs")
+    # Written first, so that its size is known: while small it is broadcast, and the texts of others stay where they are.
+    wanted = cut(pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct(), "wanted")
+    hashes = texts.join(wanted, "k", "left_semi").mapInArrow(rebuild, "sid long, d1 long, d2 long, hashes binary")
+    # Rows that repeat an id: the text whose set the id stands for.
+    hashes = cut(hashes.join(sets.select("sid", "d1", "d2"), ["sid", "d1", "d2"], "left_semi").dropDuplicates(["sid"]).select("sid", "hashes"), "hashes")
+    x, y = hashes.select(F.col("sid").alias("x"), F.col("hashes").alias("xs")), hashes.select(F.col("sid").alias("y"), F.col("hashes").alias("ys"))
     return pairs.join(x, "x").join(y, "y").select("x", "y", "xs", "ys").mapInArrow(check, "u long, v long")
 
 
@@ -189,13 +224,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
     linked with nothing. Rows that repeat an id are compared like any other; a null id takes part, but is the smallest
     of a component only where all its ids are null (then component_id is null).
     """
+    bound_batches(docs.sparkSession, 1000)
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_hashes(texts, words))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, group, prefix = [], [], [], [], []
+            n, d1, d2, group, prefix, classes = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, words)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
@@ -205,10 +241,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
                 d2.append(_long(digest[8:]))
                 group.append(_long(hashlib.blake2b(first.tobytes() + len(found).to_bytes(8, "little"), digest_size=8).digest()))
                 prefix.append(first.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary())], names=["k", "n", "d1", "d2", "grp", "prefix"])
+                classes.append(class_counts(found).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary()), pa.array(classes, pa.binary())], names=["k", "n", "d1", "d2", "grp", "prefix", "classes"])
 
-    signed = cut(texts.mapInArrow(signatures, "k long, n int, d1 long, d2 long, grp long, prefix binary"), "signatures")
-    sets = cut(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("sid"), F.first("n").alias("n"), F.first("grp").alias("grp")), "sets")
+    signed = cut(texts.mapInArrow(signatures, "k long, n int, d1 long, d2 long, grp long, prefix binary, classes binary"), "signatures")
+    sets = cut(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("sid"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("classes").alias("classes")), "sets")
     groups = sets.groupBy("grp").agg(F.min("sid").alias("g"), F.count("*").alias("members"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +267,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
     same_prefix = members.filter("members > 1").select(F.col("grp").alias("token"), "sid", "n")
     lists = cut(spread.unionByName(same_prefix), "lists")
 
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["sid", "hashes"])
-
-    wanted = lists.select("sid").distinct().withColumnRenamed("sid", "k")
-    # An id that repeats stands for its set's first text; equal ids with other texts are told apart by the digest.
-    wanted = wanted.join(sets.select(F.col("sid").alias("k")), "k", "left_semi")
-    hashes = cut(texts.join(wanted, "k", "left_semi").mapInArrow(rebuild, "sid long, hashes binary"), "hashes")
-
     near = _neighbours(lists, like)
-    links = cut(_verified(near, hashes, like), "links")
+    links = cut(_verified(near, sets, texts, words, like), "links")
     first = components(links)
     apart = lists.join(first.withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("c"))
     sizes = apart.groupBy("token", "c").agg(F.count("*").alias("m"))
@@ -250,7 +278,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
     b = split.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("top")).alias("big"))
     fits = (F.col("cx") != F.col("cy")) & (F.col("big") | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * like)
     cross = a.join(b, "token").filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = _verified(cross, hashes, like)
+    more = _verified(cross, sets, texts, words, like)
     whole = components(links.unionByName(more))
     named = sets.select("d1", "d2", "sid").join(whole.withColumnRenamed("id", "sid"), "sid", "left").select("d1", "d2", F.coalesce("root", "sid").alias("root"))
     out = signed.select("k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
