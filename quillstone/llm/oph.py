@@ -18,6 +18,26 @@ BINS = 256
 BITS = 4
 CHANCE = 1 / (1 << BITS)
 LAST = -(1 << 63)
+LOW = (1 << 56) - 1
+#: So many probes are written out, each tried only if those before it met empty bins; beyond them all full bins are ranked.
+ATTEMPTS = 10
+
+
+def _scramble(i: int) -> int:
+    x = (i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 32
+
+
+#: Each bin's probes: where they begin and how far they step; odd steps meet all bins.
+STARTS = [_scramble(i) % BINS for i in range(BINS)]
+STEPS = [_scramble(i) >> 20 & (BINS - 1) | 1 for i in range(BINS)]
+INVERSES = [pow(d, -1, BINS) for d in STEPS]
+
+
+def _fixed(values: list[int], kind: str = "int") -> Column:
+    """A literal array, folded from one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -31,19 +51,26 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(b, F.sort_array(hashes))
     first = lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(F.col(b), i - 1), 56))
     df = df.withColumn(c, F.filter(b, first)).drop(a, b)
-    bin_of = lambda x: F.shiftrightunsigned(x, 56)
-    # Each bin takes bits from its own place of the hash, so that a hash copied to many bins doesn't agree by chance in all.
-    entry = lambda i, x: i * (1 << BITS) + F.call_function("shiftrightunsigned", x, (F.pmod(i, F.lit(13)) * BITS).cast("int")).bitwiseAND((1 << BITS) - 1)
-    empty = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), F.transform(c, bin_of))
-    probe = F.transform(empty, lambda i: F.struct(i.alias("i"), F.pmod(F.xxhash64(i), F.lit(BINS)).alias("start"), (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(BINS)).bitwiseOR(1)).alias("step")))
-
-    def densified(p: Column) -> Column:
-        # The attempt at which probe p meets a bin, then the bin's hash: the smallest is of the first full bin met.
-        met = lambda x: F.shiftleft(F.pmod((bin_of(x) - p["start"]) * p["step"], F.lit(BINS)), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1))
-        return entry(p["i"], F.array_min(F.transform(F.col(c), met)))
-
-    full = F.transform(c, lambda x: entry(bin_of(x), x))
-    df = df.withColumn(a, F.sort_array(F.concat(full, F.transform(probe, densified)))).drop(c)
+    # Bins stand by the sign-extended upper bits, 0 to 255, so that sorted hashes are in the order of their bins. An empty bin is a hash without lower bits.
+    bin_of = lambda x: F.shiftright(x, 56) + BINS // 2
+    empty = F.array_except(_fixed(list(range(BINS)), "long"), F.transform(c, bin_of))
+    df = df.withColumn(b, F.sort_array(F.concat(c, F.transform(empty, lambda i: F.shiftleft(i - BINS // 2, 56)))))
+    is_full = lambda x: x.bitwiseAND(LOW) != 0
+    def attempt(i: Column, t: int) -> Column:
+        there = F.get(F.col(b), F.get(_fixed([(s + t * d) % BINS for s, d in zip(STARTS, STEPS, strict=True)]), i))
+        return F.when(is_full(there), there)
+
+    def far(i: Column) -> Column:
+        # The attempt at which the probe meets each full bin, then that bin's hash: the smallest is of the first full bin met.
+        met = lambda x: F.shiftleft(F.pmod((bin_of(x) - F.get(_fixed(STARTS), i)) * F.get(_fixed(INVERSES), i), F.lit(BINS)), 55).bitwiseOR(x.bitwiseAND(LOW >> 1))
+        return F.array_min(F.transform(F.col(c), met))
+
+    def bits(x: Column, i: Column) -> Column:
+        # Each bin takes bits from its own place of the hash, so that a hash copied to many bins doesn't agree by chance in all.
+        chosen = F.when(is_full(x), x).otherwise(F.coalesce(*[attempt(i, t) for t in range(ATTEMPTS)], far(i)))
+        return F.call_function("shiftrightunsigned", chosen, F.get(_fixed([i % 13 * BITS for i in range(BINS)]), i)).bitwiseAND((1 << BITS) - 1)
+
+    df = df.withColumn(a, F.when(F.size(c) > 0, F.transform(b, bits))).drop(b, c)
     each = 64 // BITS
     put = lambda acc, e: F.shiftleft(acc, BITS).bitwiseOR(e.bitwiseAND((1 << BITS) - 1))
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // each - 1)), lambda i: F.aggregate(F.slice(a, i * each + 1, each), F.lit(0).cast("long"), put))
