@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import bound_batches
 from quillstone.llm.pieces import Cache, Pieces, ids_of
 
 #: Stands for a word's end within a token's characters; no byte maps to it.
@@ -201,7 +202,7 @@ class SpeculativeBPE:
 def bpe_of(path: str) -> tuple[SpeculativeBPE, Cache]:
     """One for all tasks of a Python worker."""
     bpe = SpeculativeBPE(path)
-    return bpe, Cache(bpe.encode_pieces)
+    return bpe, Cache(bpe.encode_pieces, 300_000)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -209,6 +210,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
 
     with_ids adds ids (array of int). One row per row of docs, equal rows included.
     """
+    bound_batches(docs.sparkSession, 2000)
     chosen = [F.col(c) for c in keep]
     fields = {f.name: f for f in docs.select(*chosen).schema.fields}
     own = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
