@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import bound_batches, cut, partitions, word_spans
@@ -142,13 +142,16 @@ def _possible(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, like: int) -> DataFrame:
-    """The pairs (x, y) whose sets are alike enough, as links (u, v): ruled out by class counts or compared in full."""
+    """The pairs (x, y) whose sets are alike enough, as links (u, v): ruled out by class counts or compared in full.
+
+    A set is rebuilt from its first row (k, t) and known again by its digest, so ids needn't be distinct.
+    """
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_long(d) for d in digests], pa.int64()), pa.array([_long(d[8:]) for d in digests], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "d1", "d2", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_long(d) for d in digests], pa.int64()), pa.array([_long(d[8:]) for d in digests], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["d1", "d2", "hashes"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +166,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, l
 
     pairs = cut(_possible(pairs, sets, like), "pairs")
     # Written first, so that its size is known: while small it is broadcast, and the texts of others stay where they are.
-    wanted = cut(pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct(), "wanted")
-    hashes = texts.join(wanted, "k", "left_semi").mapInArrow(rebuild, "sid long, d1 long, d2 long, hashes binary")
-    # Rows that repeat an id: the text whose set the id stands for.
-    hashes = cut(hashes.join(sets.select("sid", "d1", "d2"), ["sid", "d1", "d2"], "left_semi").dropDuplicates(["sid"]).select("sid", "hashes"), "hashes")
+    held = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+    wanted = cut(sets.select("sid", "k", "t", "d1", "d2").join(held, "sid"), "wanted")
+    hashes = texts.join(wanted.select("k", "t"), ["k", "t"], "left_semi").select("text").mapInArrow(rebuild, "d1 long, d2 long, hashes binary")
+    hashes = cut(hashes.dropDuplicates(["d1", "d2"]).join(wanted.select("sid", "d1", "d2"), ["d1", "d2"]).select("sid", "hashes"), "hashes")
     x, y = hashes.select(F.col("sid").alias("x"), F.col("hashes").alias("xs")), hashes.select(F.col("sid").alias("y"), F.col("hashes").alias("ys"))
     return pairs.join(x, "x").join(y, "y").select("x", "y", "xs", "ys").mapInArrow(check, "u long, v long")
 
@@ -216,23 +219,23 @@ def _neighbours(lists: DataFrame, like: int) -> DataFrame:
     return rows.filter("kind = 0").select("x", "y").unionByName(ends.select(F.least("x", "lx").alias("x"), F.greatest("x", "lx").alias("y"))).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows apart, k and t: the id (null: NO_ID) and a hash of the text. Rows alike in both are copies."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col("text").cast("string"))
 
-    Words are runs without ASCII white space, A-Z lower-cased. Documents whose sets are at least `like` hundredths alike
-    are linked; component_id is the smallest doc_id that links reach. Null and wordless texts have no shingles and are
-    linked with nothing. Rows that repeat an id are compared like any other; a null id takes part, but is the smallest
-    of a component only where all its ids are null (then component_id is null).
-    """
+
+def _components(docs: DataFrame, words: int, like: int) -> DataFrame:
+    """One row per row of docs: k, t, n and the first row (fk, ft) of its component, by k and then t (null without words)."""
     bound_batches(docs.sparkSession, 1000)
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("text").cast("string").alias("text"))
+    k, t = _row_key()
+    texts = docs.select(k.alias("k"), t.alias("t"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_hashes(texts, words))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, group, prefix, classes = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingle_set(text, words)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 first = in_order(found, frequent.value)[: prefix_size(len(found), like) if len(found) else 0]
@@ -242,11 +245,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
                 group.append(_long(hashlib.blake2b(first.tobytes() + len(found).to_bytes(8, "little"), digest_size=8).digest()))
                 prefix.append(first.tobytes())
                 classes.append(class_counts(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary()), pa.array(classes, pa.binary())], names=["k", "n", "d1", "d2", "grp", "prefix", "classes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.binary()), pa.array(classes, pa.binary())], names=["k", "t", "n", "d1", "d2", "grp", "prefix", "classes"])
 
-    signed = cut(texts.mapInArrow(signatures, "k long, n int, d1 long, d2 long, grp long, prefix binary, classes binary"), "signatures")
-    sets = cut(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("sid"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("classes").alias("classes")), "sets")
-    groups = sets.groupBy("grp").agg(F.min("sid").alias("g"), F.count("*").alias("members"))
+    signed = cut(texts.mapInArrow(signatures, "k long, t long, n int, d1 long, d2 long, grp long, prefix binary, classes binary"), "signatures")
+    # Sets are numbered, since ids may be null or repeat; the numbers stand once they are written.
+    sets = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("k", "t")).alias("f"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("classes").alias("classes"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("sid"), "d1", "d2", "f.k", "f.t", "n", "grp", "classes"), "sets")
+    groups = sets.groupBy("grp").agg(F.min("sid").alias("g"), F.min("k").alias("k"), F.count("*").alias("members"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +261,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
                 g = np.repeat(batch.column(0)[i : i + 500].to_numpy(), list(map(len, some)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(g)], names=["token", "g"])
 
-    # A group's prefix is that of its first member. Its hashes are dealt once; those of one group end there.
-    heads = signed.join(groups.select(F.col("g").alias("k"), "grp"), ["k", "grp"]).dropDuplicates(["k", "grp"]).select("k", "prefix")
+    # A group's prefix is that of any of its rows. Its hashes are dealt once; those of one group end there.
+    heads = signed.join(groups.select("g", "k", "grp"), ["k", "grp"]).dropDuplicates(["g"]).select("g", "prefix")
     tokens = heads.mapInArrow(explode, "token long, g long")
     from pyspark.sql import Window
 
@@ -280,10 +285,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
     cross = a.join(b, "token").filter(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = _verified(cross, sets, texts, words, like)
     whole = components(links.unionByName(more))
-    named = sets.select("d1", "d2", "sid").join(whole.withColumnRenamed("id", "sid"), "sid", "left").select("d1", "d2", F.coalesce("root", "sid").alias("root"))
-    out = signed.select("k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    firsts = whole.join(sets.select(F.col("sid").alias("id"), "k", "t"), "id").groupBy("root").agg(F.min(F.struct("k", "t")).alias("f"))
+    linked = whole.join(firsts, "root").select(F.col("id").alias("sid"), "f")
+    named = sets.select("d1", "d2", "sid", F.struct("k", "t").alias("own")).join(linked, "sid", "left").select("d1", "d2", F.coalesce("f", "own").alias("f"))
+    return signed.select("k", "t", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("k", "t", "n", F.col("f.k").alias("fk"), F.col("f.t").alias("ft"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Words are runs without ASCII white space, A-Z lower-cased. Documents whose sets are at least `like` hundredths alike
+    are linked; component_id is the smallest doc_id that links reach. Null and wordless texts have no shingles and are
+    linked with nothing. Rows that repeat an id are compared like any other; a null id takes part, but is the smallest
+    of a component only where all its ids are null (then component_id is null).
+    """
+    out = _components(docs, words, like)
     real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("root", "k")).alias("component_id"))
+    return out.select(real(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("fk", "k")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, like: int = 80) -> DataFrame:

@@ -289,6 +289,32 @@ def test_jaccard_components(spark, empty, odd):
     assert [prefix_size(n) for n in (1, 2, 10, 20)] == [1, 1, 2, 4]
 
 
+def null_and_repeated_ids():
+    """Near copies whose ids are null or repeat, among unrelated rows under the same ids: (id, text)."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    make = lambda: [r.choice(words) for _ in range(50)]
+    rows = []
+    for ids in ([5, None], [None, None, None], [7, 7], [7, 30, None], [40, 41, 42], [None], [None], [7], [5]):
+        b = make()
+        for j, i in enumerate(ids):
+            rows.append((i, " ".join(b if not j else [*b[:-1], f"end{j}"])))
+    rows += [(None, rows[2][1]), (7, rows[5][1]), (7, rows[5][1]), (None, None), (None, " "), (7, ""), (7, "")]
+    return rows
+
+
+def test_components_of_null_and_repeated_ids(spark):
+    from quillstone.llm.ngram_join import jaccard_components
+
+    rows = null_and_repeated_ids()
+    sizes, roots = brute_components([t for _, t in rows], 4, 85)
+    least = {c: min((i for (i, _), q in zip(rows, roots, strict=True) if q == c and i is not None), default=None) for c in roots}
+    want = Counter((i, n, least[c]) for (i, _), n, c in zip(rows, sizes, roots, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_components(docs).collect())) == want
+    assert Counter(map(tuple, jaccard_components(docs.repartition(7)).collect())) == want
+
+
 def test_components(spark):
     from quillstone.llm.components import components
 
