@@ -305,7 +305,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
 
 
 def keep_first(docs: DataFrame, words: int = 5, like: int = 80) -> DataFrame:
-    """docs without the documents that are linked to one with a smaller doc_id; their columns as they are."""
-    found = jaccard_components(docs, words, like).filter("component_id < doc_id or (doc_id is null and component_id is not null)")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs with one row of each component, one with its smallest doc_id (null where it has no other), and all wordless rows; their columns as they are."""
+    rows = cut(_components(docs, words, like).filter("fk is not null"), "rows")
+    key = ["__k", "__t"]
+    gone = rows.filter("k != fk or t != ft").select(F.col("k").alias("__k"), F.col("t").alias("__t")).distinct()
+    copies = rows.filter("k = fk and t = ft").groupBy(F.col("k").alias("__k"), F.col("t").alias("__t")).count().filter("count > 1").select(key)
+    k, t = _row_key()
+    left = docs.select("*", k.alias("__k"), t.alias("__t")).join(gone, key, "left_anti")
+    # Copies under one id are alike in both keys: one of them stays.
+    one = left.join(copies, key, "left_semi").dropDuplicates(key)
+    return left.join(copies, key, "left_anti").unionByName(one).drop(*key)

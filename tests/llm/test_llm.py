@@ -315,6 +315,19 @@ def test_components_of_null_and_repeated_ids(spark):
     assert Counter(map(tuple, jaccard_components(docs.repartition(7)).collect())) == want
 
 
+def test_keep_first_by_row(spark):
+    from quillstone.llm.ngram_join import keep_first
+
+    rows = null_and_repeated_ids()
+    sizes, roots = brute_components([t for _, t in rows], 5, 80)
+    kept = keep_first(spark.createDataFrame([(i, t, j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int")).collect()
+    assert Counter(roots[x["a.b"]] for x in kept) == Counter(set(roots))
+    for x in kept:
+        ids = [i for (i, _), c in zip(rows, roots, strict=True) if c == roots[x["a.b"]]]
+        assert (x.doc_id, x.text) == rows[x["a.b"]] and x.doc_id == min((i for i in ids if i is not None), default=None)
+    assert sum(not n for n in sizes) == sum(not (x.text or "").strip() for x in kept)
+
+
 def test_components(spark):
     from quillstone.llm.components import components
 
