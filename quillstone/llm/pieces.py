@@ -20,7 +20,8 @@ RUNS = r"[\pZ\t-\r\x1c-\x1f\x{85}]{2}"
 class Pieces:
     """codes[offsets[d]:offsets[d + 1]] are the numbers in `distinct` of text d's pieces; `whole`: texts left uncut (no pieces)."""
 
-    def __init__(self, texts: pa.Array, keep_runs: bool):
+    def __init__(self, texts: pa.Array, keep_runs: bool, cut_spaces: bool = True):
+        """cut_spaces: before each space; otherwise only before a run of spaces, which stays with the word that follows it."""
         texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
         uncut = pc.match_substring(texts, "\x00")
         if keep_runs:
@@ -29,7 +30,8 @@ class Pieces:
         if len(self.whole):
             self.texts = texts
             texts = pc.if_else(uncut, "", texts)
-        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\x00\n\x00"), " ", "\x00 ")
+        marked = pc.replace_substring(texts, "\n", "\x00\n\x00")
+        marked = pc.replace_substring(marked, " ", "\x00 ") if cut_spaces else pc.replace_substring_regex(marked, "( +)", "\x00\\1")
         lists = pc.split_pattern(marked, "\x00")
         self.offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()

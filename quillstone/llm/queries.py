@@ -59,7 +59,7 @@ def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.unigram_count import token_counts
 
-    return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), split=False)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Aho-Corasick lists each place where a vocabulary piece occurs; a dynamic program
 the number of pieces. Ties fall as the tokenizers library lets them: the piece that begins first (the longest) stays. A
 character that no piece covers alone costs the lowest score less 10 and counts as its bytes.
 
-Scores are the vocabulary's own, whole numbers for the file used here, so sums are exact and a text's count is the sum over its words.
+Scores are the vocabulary's own, whole numbers for the file used here, so sums are exact and a text's count is the sum over its
+words. Pieces of several space letters match whole runs of spaces: a text is cut only before a run, which no piece can cross,
+unless `split` asks for a cut before each space (the library's Metaspace with split=True).
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SPACE_LETTER = "▁"
 UNKNOWN_COST = 10.0
 #: A word with the space letter before it, or what stands before the first.
 WORD = re.compile(f"{SPACE_LETTER}?[^{SPACE_LETTER}]+|{SPACE_LETTER}")
+#: The same with a whole run of space letters.
+RUN = re.compile(f"{SPACE_LETTER}*[^{SPACE_LETTER}]+|{SPACE_LETTER}+")
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -70,12 +74,12 @@ class Counter:
     def counts(self, words: list[str]) -> list[int]:
         return [self.count(w.replace(" ", SPACE_LETTER)) for w in words]
 
-    def whole(self, text: str) -> int:
+    def whole(self, text: str, split: bool) -> int:
         """Of a text, with the space letter put before it unless it begins with a space."""
         if not text:
             return 0
         text = (text if text[0] in f" {SPACE_LETTER}" else f" {text}").replace(" ", SPACE_LETTER)
-        return sum(map(self.count, WORD.findall(text)))
+        return sum(map(self.count, (WORD if split else RUN).findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -85,13 +89,16 @@ def counter_of(model: str) -> tuple[Counter, Cache]:
     return counter, Cache(counter.counts)
 
 
-def token_counts(docs: DataFrame, model: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens (null or empty text: 0), n_chars (code points)."""
+def token_counts(docs: DataFrame, model: str, split: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens (null or empty text: 0), n_chars (code points).
+
+    split: each space begins a word of its own, so pieces of several spaces never match. Without it they do.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, cache = counter_of(model)
         for batch in batches:
-            pieces = Pieces(pc.replace_substring(batch.column("text"), SPACE_LETTER, " "), keep_runs=False)
+            pieces = Pieces(pc.replace_substring(batch.column("text"), SPACE_LETTER, " "), keep_runs=False, cut_spaces=split)
             of = np.array(cache.of(pieces.distinct), np.int64)
             sums = np.concatenate(([0], np.cumsum(of[pieces.codes])))
             out = sums[pieces.offsets[1:]] - sums[pieces.offsets[:-1]]
@@ -103,7 +110,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 elif not first and pieces.codes[pieces.offsets[i] : pieces.offsets[i + 1]].size > 1 and pieces.distinct[pieces.codes[pieces.offsets[i] + 1]] == "\n":
                     out[i] += 1
             for i, text in zip(pieces.whole.tolist(), pieces.uncut() if len(pieces.whole) else [], strict=True):
-                out[i] = counter.whole(text)
+                out[i] = counter.whole(text, split)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), batch.column("n_chars")], names=["doc_id", "n_tokens", "n_chars"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))

@@ -208,6 +208,28 @@ def test_viterbi_counts(spark, empty, odd):
     assert token_counts(empty, path).count() == 0
 
 
+def test_viterbi_counts_of_space_runs(spark, odd, tmp_path):
+    """The registered query against the library without splits, where pieces of several spaces match."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from quillstone.llm.queries import op8_viterbi_counts
+    from quillstone.llm.unigram_count import vocabulary
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    plain = [("<unk>", 0.0), *vocabulary(path), *((f"<0x{i:02X}>", 0.0) for i in range(256))]
+    # Cuts before a run of spaces and around newlines cross no piece.
+    assert not [w for w, _ in vocabulary(path) if re.search("[^▁]▁|\n", w)]
+    tokenizer = Tokenizer(models.Unigram(plain, 0, True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    r = random.Random(4)
+    runs = ["a   b", "    indented\n        more", "a\n   \n b", "   ", "x" + " " * 41, "\n  a", "\x00  a   b", " ▁ ▁a"]
+    runs += ["".join(r.choice(["one", "Tw", "é", "\n", " ", "  ", " " * 3, " " * 17]) for _ in range(40)) for _ in range(30)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(runs, 1000)), "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((d.doc_id, len(tokenizer.encode(d.text or "", add_special_tokens=False).ids)) for d in docs.collect())
+    assert Counter((d.doc_id, d.n_tokens) for d in op8_viterbi_counts(spark, str(tmp_path)).collect()) == want
+
+
 # 2: fingerprints
 
 
