@@ -353,11 +353,11 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A boosted classifier on receipts' features; fitted on a training set of receipts, all receipts scored."""
+    """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on all receipts, all receipts scored."""
     r = receipts(spark, sf_dir)
-    rows = training.with_vector(_feature_rows(spark, sf_dir).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth")
-    settings = C.Settings(trees=10)
-    model = training.classifier(settings).fit(rows.orderBy(F.xxhash64("doc_id")).limit(5000))
+    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth")
+    rows = rows.select("doc_id", "features", "label").orderBy(F.xxhash64("doc_id")).cache()
+    model = training.classifier().fit(rows)
     return training.forged_probability(model, rows).select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
