@@ -15,7 +15,7 @@ from quillstone.llm.common import SPACE, cut, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: A budget up to this many words is fitted by dynamic programming; the greedy share leaves less than this.
+#: A budget up to this many words is fitted by dynamic programming; longer documents are taken by the greedy share alone.
 TABLE = 1 << 16
 
 
@@ -54,6 +54,11 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         if n and left > TABLE and (more := min(counts[n] - take[n], (left - TABLE // 2) // n)) > 0:
             take[n] += more
             left -= more * n
+    # What no sum within the table can fill: single documents longer than it, while they fit.
+    for n in sorted(counts, reverse=True):
+        if n > TABLE and (more := min(counts[n] - take[n], left // n)) > 0:
+            take[n] += more
+            left -= more * n
     # Bounded knapsack over bit sets: bit b of a set says that b words can be filled exactly.
     full = (1 << (min(left, TABLE) + 1)) - 1
     reach, steps = 1, []

@@ -145,6 +145,21 @@ def test_subset_sum():
         assert got <= max(budget, 0) and (budget < total or got == total)
 
 
+def test_subset_sum_of_long_documents():
+    from quillstone.llm.mixture import TABLE, fit
+
+    long = {70_000 + i: 1 for i in range(20)}
+    assert fit(long, 100_000) == dict.fromkeys(long, 0) | {70_019: 1}
+    r = random.Random(9)
+    for _ in range(50):
+        counts = {r.randint(TABLE + 1, 300_000): r.randint(1, 3) for _ in range(r.randint(1, 12))}
+        budget = r.randint(0, sum(n * c for n, c in counts.items()))
+        take = fit(counts, budget)
+        left = budget - sum(n * c for n, c in take.items())
+        assert left >= 0 and all(0 <= c <= counts[n] for n, c in take.items())
+        assert all(n > left or take.get(n, 0) == c for n, c in counts.items())
+
+
 # 1, 6, 8: tokenizers
 
 
