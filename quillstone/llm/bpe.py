@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bound_batches
+from quillstone.llm.common import few_rows
 from quillstone.llm.pieces import Cache, Pieces, ids_of
 
 #: Stands for a word's end within a token's characters; no byte maps to it.
@@ -210,7 +210,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
 
     with_ids adds ids (array of int). One row per row of docs, equal rows included.
     """
-    bound_batches(docs.sparkSession, 2000)
     chosen = [F.col(c) for c in keep]
     fields = {f.name: f for f in docs.select(*chosen).schema.fields}
     own = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -219,7 +218,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = bpe_of(tokenizer)
-        for batch in batches:
+        for batch in few_rows(batches, 2000):
             ids, offsets = ids_of(Pieces(batch.column(width), keep_runs=False), cache)
             raw, at = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
             flat = ids.tolist()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """The place of a public tokenizer's file, in the folder TOKENIZERS names or else as installed."""
-    if folder := os.environ.get("TOKENIZERS"):
-        return os.path.join(folder, name)
+    """The place of a public tokenizer's file, as installed."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -33,43 +31,60 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (a local test session), one of this machine."""
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder. Only where both are unset and all runs in one machine (a local test session) is one of this machine set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillstone-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Removes a write's shuffle files when it ends: what it wrote stands for them.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; of its shuffles nothing stays on disk."""
+    spark = df.sparkSession
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This ends the lineage in files that every executor can read, so that a lost executor costs no recomputation of
-    what stands before it, and lets several consumers use one computation.
+    what stands before it, and lets several consumers use one computation. Hand the result to drop() once nothing reads it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a frame made by cut(), once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f.startswith(shared_dir(spark).rstrip("/")[:7]):
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            with contextlib.suppress(Exception):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def bound_batches(spark: SparkSession, rows: int) -> None:
-    """Hand Python workers at most so many rows at once. Texts and sets are kilobytes each, and both sides of the hand-over hold a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that cut() made. Nothing that is still to be computed may read them."""
+    for df in frames:
+        if where := getattr(df, "written", None):
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts: what Python makes of texts and sets is many times their size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def whole_row(df: DataFrame) -> Column:

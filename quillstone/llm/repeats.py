@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bound_batches, cut, partitions
+from quillstone.llm.common import cut, few_rows, partitions
 
 LENGTH = 400
 GRAM = 64
@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: list[list] = [[] for _ in range(5)]
             many = []
             for text in batch.column(2).to_pylist():
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
             return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ids[:3]), *(pa.array(x, pa.int32()) for x in ids[3:])], names=["key", "d1", "d2", "o", "m"])
 
         size = 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= block and row[0] != held[-1][0]:
                     yield out(held)
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for i in range(batch.num_rows):
                 raw = memoryview(batch.column(3)[i].as_buffer())
                 ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[o : o + length]) for o in range(len(raw) - length + 1)]), "<i8").reshape(-1, 2)
@@ -258,13 +258,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     another, is removed. Null: empty. Texts under `length` bytes stay whole, equal rows lose the same bytes, and a null
     id is an id like others. What is left may end within a character, so it is bytes.
     """
-    bound_batches(docs.sparkSession, 1000)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = cut(repeated_spans(keyed, length, gram, most, block), "spans")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: list[list] = [[] for _ in range(5)]
             lists = batch.column(2)
             for i, text in enumerate(batch.column(1).to_pylist()):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bound_batches, cut
+from quillstone.llm.common import cut, few_rows
 
 BUCKETS, SLICES = 1 << 17, 64
 GRAMS = (2, 3)
@@ -53,7 +53,7 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 256):
                 held += np.bincount(np.concatenate([buckets_of(t) for t in texts[i : i + 256]]), minlength=BUCKETS)
@@ -114,7 +114,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out = pa.array([log_weight(t, shared.value) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "log_weight"])
 
@@ -156,7 +156,6 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with the k-th are all kept.
     Rows that repeat an id have the same noise. Without labels of both kinds all documents with a weight are kept. An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession, 1000)
     ratios, least = fit(docs, labels)
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     scores = cut(weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios).select(gumbel_key(seed).alias("key"), "log_weight").dropna(), "keys")

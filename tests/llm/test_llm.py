@@ -369,8 +369,11 @@ def test_components(spark):
     from quillstone.llm.components import components
 
     links = [(i, i + 1) for i in range(100, 160)] + [(200, 150), (7, 9), (9, 8), (5, 5), (None, 3)]
-    got = {r.id: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
-    assert got == dict.fromkeys([*range(100, 161), 200], 100) | dict.fromkeys([7, 8, 9], 7)
+    want = dict.fromkeys([*range(100, 161), 200], 100) | dict.fromkeys([7, 8, 9], 7)
+    for few in (0, 1000):
+        got = sorted(components(spark.createDataFrame(links, "u long, v long").repartition(7), few).collect())
+        assert [(r.id, r.root) for r in got] == sorted(want.items())
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 # 5: repeats
