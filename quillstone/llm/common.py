@@ -47,13 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Write df as Parquet; of its shuffles nothing stays on disk."""
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Write df as Parquet, in folders by the columns `by`; of its shuffles nothing stays on disk."""
     spark = df.sparkSession
     was = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, was)
 

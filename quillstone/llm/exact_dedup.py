@@ -1,48 +1,54 @@
 """Exact deduplication with combining that no large group of copies can slow down.
 
 Texts are told apart by their whole content at each of the three stages: copies within a task (the partial aggregate),
-copies under the same digest and salt, and the winners of the salts. Only texts whose digest occurs more than once
-are moved; a digest that occurs once needs no comparison.
+copies under the same digest and salt, and the winners of the salts. Whole rows are never dealt by digest: what the
+stages find is a row for each group of copies, and the few groups that hold much of the table are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, text_or_empty, whole_row
+from quillstone.llm.common import cut, drop, text_or_empty, whole_row
 
 SALTS = 256
+#: A group with more than one in HOT of all rows is broadcast; there are fewer than HOT of them.
+HOT = 64
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFrame:
     """One row per input row: row (struct of all its columns), keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical; null counts as empty. The row with the largest doc_id stays (a null id
     is below all others). Of rows that repeat the same id and text exactly one is kept. An empty table gives an
     empty result; columns of any name travel in the struct.
     """
-    base = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), text_or_empty().alias("t"))
-    base = base.withColumn("digest", F.sha2("t", 256))
-    often = base.groupBy("digest").agg(F.count("*").alias("times")).filter("times > 1").select("digest")
-    once = base.join(often, "digest", "left_anti").select(
-        "row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-    salt = F.pmod(F.xxhash64("id", "digest"), F.lit(salts)).cast("int")
-    copies = cut(base.join(often, "digest", "left_semi").withColumn("salt", salt), "copies")
+    # Rows are numbered in what is written, so that numbers stand; copies of one id spread over the salts by them.
+    rows = cut(docs.select(whole_row(docs).alias("row"), F.sha2(text_or_empty(), 256).alias("digest"), F.monotonically_increasing_id().alias("at")), "rows")
+    t, best = F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.struct(F.col("row.doc_id").alias("id"), (-F.col("at")).alias("up"))
+    base = rows.select("digest", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int").alias("salt"), t.alias("t"), best.alias("best"))
     # Within tasks and salts: the partial aggregate merges a task's own copies before anything is moved.
-    salted = copies.groupBy("digest", "salt", "t").agg(F.max("id").alias("best"), F.count("*").alias("n"))
-    # Across salts: at most `salts` rows of a text meet here.
-    of_text = Window.partitionBy("digest", "t")
-    winners = salted.select(
-        "digest", "salt", "t", F.max("best").over(of_text).alias("keep_id"), F.sum("n").over(of_text).alias("group_size"),
-        (F.row_number().over(of_text.orderBy(F.desc_nulls_last("best"), "salt")) == 1).alias("first"),
-    )
-    nth = F.row_number().over(Window.partitionBy("digest", "salt", "t").orderBy(F.desc_nulls_last("id")))
-    many = copies.join(winners, ["digest", "salt", "t"]).select(
-        "row", "keep_id", "group_size", (F.col("first") & (nth == 1)).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-    return once.unionByName(many)
+    salted = cut(base.groupBy("digest", "salt", "t").agg(F.max("best").alias("best"), F.count("*").alias("n")).withColumn("h", F.xxhash64("t")), "salted")
+    # Across salts: at most `salts` rows of a text meet here. Those of one salt have met already.
+    parts = salted.groupBy("digest").agg(F.count("*").alias("parts"))
+    spread = cut(parts.filter("parts > 1").select("digest"), "spread")
+    alone = salted.filter("n > 1").select("digest", "h", "best", "n").join(spread, "digest", "left_anti")
+    merged = salted.join(spread, "digest", "left_semi").groupBy("digest", "t").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    groups = cut(alone.unionByName(merged.select("digest", F.xxhash64("t").alias("h"), "best", "n")), "groups")
+    drop(salted, spread)
+
+    large = groups.filter(F.col("n") * hot > rows.count())
+    h = F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    found = rows.withColumn("h", h).join(F.broadcast(large.select("digest", "h", F.col("best").alias("lbest"), F.col("n").alias("ln"))), ["digest", "h"], "left")
+    # Rows of large groups are done and get keys of their own, so that they spread over the tasks of the next join.
+    found = found.withColumn("key", F.when(F.col("ln").isNull(), F.col("digest")).otherwise(F.col("at").cast("string")))
+    found = found.join(groups.select(F.col("digest").alias("key"), "h", "best", "n"), ["key", "h"], "left")
+    best, n = F.coalesce("lbest", "best"), F.coalesce("ln", "n")
+    return found.select(
+        "row", F.when(n.isNull(), F.col("row.doc_id")).otherwise(best["id"]).alias("keep_id"), F.coalesce(n, F.lit(1)).alias("group_size"),
+        (n.isNull() | (best["up"] == -F.col("at"))).alias("kept"), F.col("digest").alias("text_sha256"),
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, bits:
 
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").mapInArrow(segments, SCHEMA)
+    rows = texts.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").mapInArrow(segments, SCHEMA)
     rows.write.option("compression", "none").parquet(path)
 
 

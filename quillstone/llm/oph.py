@@ -17,7 +17,6 @@ WORDS = 5
 BINS = 256
 BITS = 4
 CHANCE = 1 / (1 << BITS)
-LAST = -(1 << 63)
 LOW = (1 << 56) - 1
 #: So many probes are written out, each tried only if those before it met empty bins; beyond them all full bins are ranked.
 ATTEMPTS = 10
@@ -102,28 +101,21 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return add_fingerprint(docs.select("doc_id", text_or_empty().alias("__text")), "__text", "fp").select("doc_id", as_text("fp").alias("fingerprint"))
 
 
-def _followers(docs: DataFrame) -> DataFrame:
-    """(k, nth, n, next_k, next_nth): each document, its code points, and the next one in descending doc_id.
+def _followers(texts: DataFrame) -> DataFrame:
+    """(k, z, th, next_k, next_z, next_th) of texts (k, z, th, each once): each text and the next one in descending order of k.
 
     Range partitions hold neighbours; only the first row of each partition is looked at across partitions.
     """
-    spark = docs.sparkSession
-    t = text_or_empty()
-    keys = docs.select(_key().alias("k"), F.xxhash64(t).alias("th"), F.char_length(t).cast("long").alias("n"))
-    keys = cut(keys.repartitionByRange(partitions(spark), F.desc("k")).withColumn("p", F.spark_partition_id()), "order")
-    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("p", "k").orderBy("th")))
-    down = Window.partitionBy("p").orderBy(F.desc("k"), "nth")
-    after = lambda c: F.lead(c).over(down)
-    rows = keys.select("p", "k", "nth", "n", after("k").alias("ak"), after("nth").alias("an"))
-    firsts = keys.groupBy("p").agg(F.max(F.struct("k", (-F.col("nth")).alias("m"))).alias("f")).select("p", "f.k", (-F.col("f.m")).alias("nth"))
+    order = ["z", F.desc("k"), "th"]
+    keys = cut(texts.select("k", "z", "th").repartitionByRange(partitions(texts.sparkSession), *order).withColumn("p", F.spark_partition_id()), "order")
+    down = Window.partitionBy("p").orderBy(*order)
+    key = F.struct("k", "z", "th")
+    rows = keys.select("p", "k", "z", "th", F.lead(key).over(down).alias("after"))
+    firsts = keys.groupBy("p").agg(F.min(F.struct("z", (-F.col("k").cast("decimal(20)")).alias("m"), "th", key.alias("own"))).alias("f")).select("p", "f.own")
+    # One row per partition.
     by_part, all_parts = Window.orderBy("p"), Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    turn = lambda c: F.coalesce(F.lead(c).over(by_part), F.first(c).over(all_parts))
-    firsts = firsts.select("p", turn("k").alias("fk"), turn("nth").alias("fn"))
-    return rows.join(firsts, "p").select("k", "nth", "n", F.coalesce("ak", "fk").alias("next_k"), F.coalesce("an", "fn").alias("next_nth"))
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    firsts = firsts.select("p", F.coalesce(F.lead("own").over(by_part), F.first("own").over(all_parts)).alias("turn"))
+    return rows.join(firsts, "p").withColumn("next", F.coalesce("after", "turn")).select("k", "z", "th", F.col("next.k").alias("next_k"), F.col("next.z").alias("next_z"), F.col("next.th").alias("next_th"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -132,22 +124,29 @@ def with_edits(docs: DataFrame) -> DataFrame:
     Edited: the last floor(n_chars / 3) code points give way to as many first ones (or all) of the next document in
     descending doc_id; after the last comes the first. One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. A null id comes last in the order; rows that repeat an id follow
-    one another by the hash of their text. A table of one row is its own next. Null text: empty.
+    one another by the hash of their text. Rows that repeat both are one text with a count: all but the last are followed by
+    their own text. A table of one row is its own next. Null text: empty.
     """
     t = text_or_empty()
-    texts = docs.select(_key().alias("k"), t.alias("t")).withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"))))
-    chain = cut(_followers(docs), "followers")
-    takes = chain.select(F.col("next_k").alias("k"), F.col("next_nth").alias("nk_nth"), F.col("k").alias("of_k"), F.col("nth").alias("of_nth"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    # Ids are the join key, as the texts are dealt by id already; the number among equal ids is a mere condition.
-    heads = texts.join(takes, "k").filter("nth - nk_nth = 0").select(F.col("of_k").alias("k"), "of_nth", "take", F.expr("substring(t, 1, take)").alias("head"))
-    both = texts.join(heads, "k").filter("nth - of_nth = 0")
-    n = F.char_length("t")
-    both = both.select("k", "nth", n.cast("long").alias("n"), "t", F.concat(F.expr("substring(t, 1, char_length(t) - take)"), "head").alias("edited"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("z"), F.xxhash64(t).alias("th"), t.alias("t"))
+    own, after = ["k", "z", "th"], ["next_k", "next_z", "next_th"]
+    texts = rows.groupBy(*own).agg(F.first("t").alias("t"), F.count("*").alias("times"))
+    chain = cut(_followers(rows.select(*own).distinct()), "followers")
+    n, third = F.char_length("t"), F.floor(F.char_length("t") / 3).cast("int")
+    # What a text lends is cut to what its follower takes, so the follower's length goes to it first.
+    takes = chain.join(cut(rows.select(*own, third.alias("take")).distinct(), "takes"), own).select(F.col("next_k").alias("k"), F.col("next_z").alias("z"), F.col("next_th").alias("th"), *[F.col(c).alias(f"of_{c}") for c in own], "take")
+    heads = texts.join(takes, own).select(*[F.col(f"of_{c}").alias(c) for c in own], F.expr("substring(t, 1, take)").alias("head"))
+    edited = lambda head: F.concat(F.expr("substring(t, 1, char_length(t) - floor(char_length(t) / 3))"), head)
+    last = texts.join(heads, own).select(*own, "t", edited(F.col("head")).alias("edited"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("last"))
+    inner = texts.filter("times > 1").select(*own, "t", edited(F.expr("substring(t, 1, floor(char_length(t) / 3))")).alias("edited"), (F.col("times") - 1).alias("times"), F.lit(False).alias("last"))
+    both = last.unionByName(inner).withColumn("n", n.cast("long"))
     marked = add_fingerprint(add_fingerprint(both.withColumn("edited_sha256", F.sha2("edited", 256)), "t", "fp"), "edited", "efp")
-    marked = cut(marked.select("k", "nth", "n", "edited_sha256", "fp", "efp"), "fingerprints")
-    nexts = chain.select("k", "nth", "next_k", "next_nth").join(marked.select(F.col("k").alias("next_k"), F.col("nth").alias("next_nth"), F.col("fp").alias("nfp")), ["next_k", "next_nth"])
-    out = marked.join(nexts, ["k", "nth"])
+    marked = cut(marked.select(*own, "n", "edited_sha256", "fp", "efp", "times", "last"), "fingerprints")
+    firsts = marked.filter("last")
+    nexts = chain.join(firsts.select(*[F.col(c).alias(f"next_{c}") for c in own], F.col("fp").alias("nfp")), after).select(*own, F.lit(True).alias("last"), "nfp", F.lit(True).alias("met"))
+    out = marked.join(nexts, [*own, "last"], "left").withColumn("nfp", F.when(F.col("met"), F.col("nfp")).otherwise(F.col("fp")))
+    out = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select(
-        F.when(F.col("k") != LAST, F.col("k")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
+        F.when(~F.col("z"), F.col("k")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"),
     )

@@ -25,10 +25,12 @@ def op2_densified_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.shards import two_pass_shuffle
+    from quillstone.llm.shards import read_shards, write_shards
 
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(documents(spark, sf_dir), path)
     crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
-    return two_pass_shuffle(documents(spark, sf_dir)).select("row.doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+    return read_shards(spark, path).select("row.doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
