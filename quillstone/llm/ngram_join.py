@@ -37,7 +37,6 @@ COUNTERS, SLICES = 1 << 20, 64
 WANTED = 1 << 23
 #: A hub's pairs are verified in parts of about so many.
 PART = 512
-NO_ID = (1 << 63) - 1
 CLASSES, MANY = 128, 65535
 
 BASE = 0x9E3779B97F4A7C15
@@ -272,9 +271,13 @@ def _lists(heads: DataFrame, like: int) -> DataFrame:
     return cut(dealt.mapInArrow(each, schema), "lists")
 
 
-def _row_key() -> tuple[Column, Column]:
-    """What tells rows apart, k and t: the id (null: NO_ID) and a hash of the text. Rows alike in both are copies."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col("text").cast("string"))
+#: What tells rows apart: whether the id is null (z), the id (k) and a hash of the text (t). Rows alike in all are copies. Null ids come last.
+ROW = ["z", "k", "t"]
+
+
+def _row_key() -> list[Column]:
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(text, F.col("doc_id").isNull())]
 
 
 def _unsettled(lists: DataFrame, members: DataFrame, like: int) -> DataFrame:
@@ -301,16 +304,15 @@ def _unsettled(lists: DataFrame, members: DataFrame, like: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, words: int, like: int) -> DataFrame:
-    """One row per row of docs: k, t, n and the first row (fk, ft) of its component, by k and then t (null without words)."""
+    """One row per row of docs: its key (ROW), n and f, the key of the first row of its component (null without words)."""
     spark = docs.sparkSession
-    k, t = _row_key()
-    texts = docs.select(k.alias("k"), t.alias("t"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(*[c.alias(n) for n, c in zip(ROW, _row_key(), strict=True)], F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(hash_levels(texts, words))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             n, d1, d2, p1, p2, prefix, classes = [], [], [], [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingle_set(text, words)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 first = in_order(found, levels.value)[: prefix_size(len(found), like) if len(found) else 0]
@@ -320,13 +322,13 @@ def _components(docs: DataFrame, words: int, like: int) -> DataFrame:
                     out.append(_long(x))
                 prefix.append(first.view(np.int64))
                 classes.append(class_counts(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (d1, d2, p1, p2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.binary())], names=["k", "t", "n", "d1", "d2", "p1", "p2", "prefix", "classes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (d1, d2, p1, p2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(classes, pa.binary())], names=[*ROW, "n", "d1", "d2", "p1", "p2", "prefix", "classes"])
 
-    signed = cut(texts.mapInArrow(signatures, "k long, t long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, classes binary"), "signatures")
+    signed = cut(texts.mapInArrow(signatures, "z boolean, k long, t long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, classes binary"), "signatures")
     # Sets are numbered, since ids may be null or repeat; the numbers stand once they are written.
     first = [F.first(c).alias(c) for c in ("n", "p1", "p2", "prefix", "classes")]
-    sets = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("k", "t")).alias("f"), *first)
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("sid"), "d1", "d2", "f.k", "f.t", "n", "p1", "p2", "prefix", "classes"), "sets")
+    sets = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(*ROW)).alias("f"), *first)
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("sid"), "d1", "d2", "f.z", "f.k", "f.t", "n", "p1", "p2", "prefix", "classes"), "sets")
     # A group is named after its first set, its head.
     many = sets.groupBy("p1", "p2").agg(F.min("sid").alias("g"), F.count("*").alias("m")).filter("m > 1")
     rest = cut(sets.select("sid", "p1", "p2").join(many, ["p1", "p2"]).filter("sid != g").select("sid", "g"), "rest")
@@ -340,10 +342,10 @@ def _components(docs: DataFrame, words: int, like: int) -> DataFrame:
     more = _verified(pairs.select("x", "y").distinct(), sets, texts, words, like)
     drop(lists, rest, members, pairs)
     whole = components(links.unionByName(more))
-    firsts = whole.join(sets.select(F.col("sid").alias("id"), "k", "t"), "id").groupBy("root").agg(F.min(F.struct("k", "t")).alias("f"))
+    firsts = whole.join(sets.select(F.col("sid").alias("id"), *ROW), "id").groupBy("root").agg(F.min(F.struct(*ROW)).alias("f"))
     linked = whole.join(firsts, "root").select(F.col("id").alias("sid"), "f")
-    named = sets.select("d1", "d2", "sid", F.struct("k", "t").alias("own")).join(linked, "sid", "left").select("d1", "d2", F.coalesce("f", "own").alias("f"))
-    out = signed.select("k", "t", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("k", "t", "n", F.col("f.k").alias("fk"), F.col("f.t").alias("ft"))
+    named = sets.select("d1", "d2", "sid", F.struct(*ROW).alias("own")).join(linked, "sid", "left").select("d1", "d2", F.coalesce("f", "own").alias("f"))
+    out = signed.select(*ROW, "n", "d1", "d2").join(named, ["d1", "d2"], "left").select(*ROW, "n", "f")
     out = cut(out, "components")
     drop(signed, sets, links, more)
     return out
@@ -358,18 +360,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
     of a component only where all its ids are null (then component_id is null).
     """
     out = _components(docs, words, like)
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("fk", "k")).alias("component_id"))
+    whose = F.coalesce("f", F.struct(*ROW))
+    return out.select(F.when(~F.col("z"), F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(~whose["z"], whose["k"]).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, like: int = 80) -> DataFrame:
     """docs with one row of each component, one with its smallest doc_id (null where it has no other), and all wordless rows; their columns as they are."""
-    rows = _components(docs, words, like).filter("fk is not null")
-    key = ["__k", "__t"]
-    gone = rows.filter("k != fk or t != ft").select(F.col("k").alias("__k"), F.col("t").alias("__t")).distinct()
-    copies = rows.filter("k = fk and t = ft").groupBy(F.col("k").alias("__k"), F.col("t").alias("__t")).count().filter("count > 1").select(key)
-    k, t = _row_key()
-    left = docs.select("*", k.alias("__k"), t.alias("__t")).join(gone, key, "left_anti")
-    # Copies under one id are alike in both keys: one of them stays.
+    rows = _components(docs, words, like).filter("f is not null").withColumn("first", F.struct(*ROW) == F.col("f"))
+    key = [f"__{c}" for c in ROW]
+    own = [F.col(c).alias(n) for c, n in zip(ROW, key, strict=True)]
+    gone = rows.filter("not first").select(*own).distinct()
+    copies = rows.filter("first").groupBy(*own).count().filter("count > 1").select(key)
+    left = docs.select("*", *[c.alias(n) for n, c in zip(key, _row_key(), strict=True)]).join(gone, key, "left_anti")
+    # Copies under one id are alike in all keys: one of them stays.
     one = left.join(copies, key, "left_semi").dropDuplicates(key)
     return left.join(copies, key, "left_anti").unionByName(one).drop(*key)

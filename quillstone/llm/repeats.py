@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, few_rows, partitions
+from quillstone.llm.common import cut, drop, few_rows, partitions
 
 LENGTH = 400
 GRAM = 64
@@ -31,7 +32,6 @@ GRAM = 64
 MOST = 2000
 #: Bytes of a block of whole grams' stretches.
 BLOCK = 1 << 21
-NO_ID = (1 << 63) - 1
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -94,46 +94,78 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
+def common_prefixes(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of suffixes a and b, of all pairs at once."""
+    n, out = len(symbols), np.zeros(len(a), np.int64)
+    live, padded = np.arange(len(a)), np.concatenate([symbols.astype(np.int32), np.full(16, -1, np.int32)])
+    step = np.arange(16)
+    for _ in range(n // 16 + 1):
+        p, q = np.minimum(a[live] + out[live], n), np.minimum(b[live] + out[live], n)
+        same = (padded[p[:, None] + step] == padded[q[:, None] + step]) & (np.maximum(p, q)[:, None] + step < n)
+        many = np.where(same.all(1), 16, same.argmin(1))
+        out[live] += many
+        live = live[many == 16]
+        if not len(live):
+            break
+    return out
+
+
 class RunIndex:
-    """The runs of a text's Burrows-Wheeler transform and the suffixes at their ends."""
+    """The runs of a text's Burrows-Wheeler transform, the suffixes at their ends and what neighbours there have in common.
+
+    The suffix array and the text are needed to build it only; everything is answered from a few numbers a run.
+    """
 
     def __init__(self, symbols: np.ndarray):
-        self.symbols = symbols
         sa = suffix_array(symbols)
         before = symbols[sa - 1].astype(np.int32)
         before[sa == 0] = -1
         change = np.flatnonzero(before[1:] != before[:-1])
-        self.letters = before[np.concatenate(([0], change + 1))] if len(sa) else before
+        self.size = len(symbols)
         self.ends, self.starts = sa[change], sa[change + 1]
+        self.shared = common_prefixes(symbols, self.ends, self.starts)
         self.top, self.bottom = (sa[0], sa[-1]) if len(sa) else (0, 0)
+        # The whole transform begins with the letter before the text's end.
+        whole = np.concatenate((symbols[-1:].astype(np.int32), before))
+        self.begins = np.flatnonzero(np.concatenate(([True] * (len(whole) > 0), whole[1:] != whole[:-1])))
+        self.letters = whole[self.begins]
 
     @property
     def runs(self) -> int:
         return len(self.letters)
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length of the common prefix of suffixes a and b, of all pairs at once."""
-        n, out = len(self.symbols), np.zeros(len(a), np.int64)
-        live, padded = np.arange(len(a)), np.concatenate([self.symbols.astype(np.int32), np.full(16, -1, np.int32)])
-        step = np.arange(16)
-        for _ in range(n // 16 + 1):
-            p, q = np.minimum(a[live] + out[live], n), np.minimum(b[live] + out[live], n)
-            same = (padded[p[:, None] + step] == padded[q[:, None] + step]) & (np.maximum(p, q)[:, None] + step < n)
-            many = np.where(same.all(1), 16, same.argmin(1))
-            out[live] += many
-            live = live[many == 16]
-            if not len(live):
-                break
-        return out
+    @cached_property
+    def _by_letter(self) -> tuple[np.ndarray, ...]:
+        """Runs in the order of letters: letter, begin, length, and the lengths of the letter's runs before."""
+        order = np.lexsort((self.begins, self.letters))
+        length = np.diff(np.concatenate((self.begins, [self.size + 1])))[order]
+        letters, ahead = self.letters[order], np.concatenate(([0], np.cumsum(length)[:-1]))
+        return letters, self.begins[order], length, ahead - ahead[np.searchsorted(letters, letters)]
+
+    def count(self, pattern) -> int:
+        """How often a pattern occurs, by backward search over the runs."""
+        letters, begins, length, ahead = self._by_letter
+        low, high = 0, self.size + 1
+        for c in reversed(list(pattern)):
+            first, last = np.searchsorted(letters, c), np.searchsorted(letters, c, "right")
+            base = int(length[:first].sum())
+
+            def rank(i: int, first=first, last=last) -> int:
+                j = first + np.searchsorted(begins[first:last], i) - 1
+                return 0 if j < first else int(ahead[j] + min(i - begins[j], length[j]))
+
+            low, high = base + rank(low), base + rank(high)
+            if low >= high:
+                return 0
+        return high - low
 
     def matching(self) -> np.ndarray:
         """For each position, the longest match that also begins at another position."""
-        n = len(self.symbols)
-        length = self.common(self.ends, self.starts)
+        n = self.size
 
         def stream(place: np.ndarray, alone: int) -> np.ndarray:
             value, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            value[place], known[place] = length, place
+            value[place], known[place] = self.shared, place
             value[alone], known[alone] = 0, alone
             last = np.maximum.accumulate(known)
             return np.maximum(value[last] - (np.arange(n) - last), 0)
@@ -189,8 +221,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     found = cut(docs.select("k", "th", "text").mapInArrow(name, "k long, th long, s int, w int, key long, d1 long, d2 long"), "stretches")
     often = found.groupBy("key").agg(F.count("*").alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2")).filter("n > 1")
-    often = often.select("key", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed"))
+    # Written first: then the join's sides are mere exchanges, and Spark splits a gram that a large part of the texts share.
+    often = cut(often.select("key", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed")), "often")
     again = cut(found.join(often, "key"), "again")
+    drop(found, often)
     distinct = cut(again.filter("mixed").groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "s", "w")).alias("at")), "distinct")
     crowd = distinct.groupBy("key").agg(F.count("*").alias("kinds"))
     wanted = distinct.join(crowd, "key").select(*digest, "kinds", "at.*")
@@ -248,7 +282,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     marks = indexed.unionByName(counted).unionByName(whole)
     hits = again.filter("mixed").join(marks, digest).select("k", "th", (F.col("s") + F.col("o")).alias("a"), (F.col("s") + F.col("o") + F.col("m") + length - 1).alias("z"))
     hits = hits.unionByName(again.filter("not mixed").select("k", "th", F.col("s").alias("a"), (F.col("s") + F.col("w") + length - 1).alias("z")))
-    return hits.groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans"))
+    out = cut(hits.groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
+    drop(again, distinct, pieces)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, block: int = BLOCK, with_text: bool = False) -> DataFrame:
@@ -258,9 +294,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     another, is removed. Null: empty. Texts under `length` bytes stay whole, equal rows lose the same bytes, and a null
     id is an id like others. What is left may end within a character, so it is bytes.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = cut(repeated_spans(keyed, length, gram, most, block), "spans")
-    schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), text.alias("text"))
+    spans = repeated_spans(keyed.drop("doc_id"), length, gram, most, block)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -281,7 +318,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 for out, x in zip(rows, (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     out.append(x)
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.string()), *([pa.array(rows[4], pa.binary())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    out = keyed.join(spans, ["k", "th"], "left").select("k", "text", "spans").mapInArrow(remove, schema)
-    return out.withColumn("doc_id", F.when(F.col("k") != NO_ID, F.col("k"))).select("doc_id", *[c for c in out.columns if c != "k"])
+    return keyed.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans").mapInArrow(remove, schema)

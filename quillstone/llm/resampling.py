@@ -1,10 +1,11 @@
 """Quality by importance resampling: how much likelier a text is under a model of target text than under one of raw text.
 
-Both models are generative, over hashed byte n-grams: the target's from documents labelled good, the raw one from all
-documents. A document's log weight is the mean of its n-grams' log ratios times a fixed number of n-grams: summed over whole
-texts, small errors of the models would weigh more in long clean documents than all signs of junk in short ones. Documents are drawn without replacement by
-Gumbel top-k: log weight plus Gumbel noise, the k largest stay. k is the number of documents whose weight is at least
-the one that, of the labelled documents held out of the fit, keeps nearly all good ones and drops the most bad ones.
+Both models are generative, over hashed n-grams of bytes and of word identities: the target's from documents labelled good, the
+raw one from all documents. A document's log weight is the mean of its n-grams' log ratios times a fixed number of n-grams: summed
+over whole texts, small errors of the models would weigh more in long clean documents than all signs of junk in short ones.
+Documents are drawn without replacement by Gumbel top-k: log weight plus Gumbel noise, the k largest stay. Unless it is
+given, k is the number of documents whose weight is at least the one that, of the labelled documents held out of the fit,
+keeps nearly all good ones and drops the most bad ones.
 """
 
 from __future__ import annotations
@@ -18,33 +19,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, few_rows
+from quillstone.llm.common import cut, few_rows, whole_row, word_spans
+from quillstone.llm.ngram_join import span_hashes
 
 BUCKETS, SLICES = 1 << 17, 64
 GRAMS = (2, 3)
+#: Sets the n-grams of words apart from those of bytes.
+WORDS_SEED = 0x51ED2701
 #: At most so many labelled documents are used, those with the smallest hash of their id: half to fit, half to set k.
 LABELLED = 20_000
 #: A log weight is that of so many n-grams like the document's own.
 SCALE = 256
-#: The noise is small beside the weights of whole documents, so the draw is close to the k heaviest.
-TEMPERATURE = 0.05
+#: Scale of the Gumbel noise: with 1, the k largest keys are a draw without replacement in which each next document is taken with odds exp(log weight).
+TEMPERATURE = 1.0
 #: The share of held-out good documents that the cut must keep.
 KEEP = 0.995
 #: A threshold is narrowed down by histograms of so many cells, until so few keys are left.
 CELLS = 4096
 
 
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    return gram * np.uint32(0x9E3779B1) >> np.uint32(32 - 17)
+
+
 def buckets_of(text: str | None) -> np.ndarray:
-    """The buckets of all n-grams of a text's bytes."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    out = []
+    """The buckets of all n-grams of a text: of its bytes, and of its words up to renaming (which of three words in a row are the same)."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    data, out = raw.astype(np.uint32), []
     for n in GRAMS:
         if len(data) >= n:
             gram = np.full(len(data) - n + 1, n, np.uint32)
             for k in range(n):
                 gram = gram * np.uint32(257) + data[k : k + len(gram)]
-            gram *= np.uint32(0x9E3779B1)
-            out.append(gram >> np.uint32(32 - 17))
+            out.append(_bucket(gram))
+    words = span_hashes(raw, *word_spans(raw))
+    if len(words) > 2:
+        last, middle, first = words[2:], words[1:-1], words[:-2]
+        same = (last == middle) + 2 * (last == first).astype(np.uint32) + 4 * (middle == first).astype(np.uint32)
+        out.append(_bucket(np.uint32(WORDS_SEED) + same.astype(np.uint32)))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -123,10 +135,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
 
 
-def gumbel_key(seed: int) -> Column:
-    """log_weight and noise that hangs on the id alone."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
-    return F.col("log_weight") - TEMPERATURE * F.log(-F.log(u))
+def gumbel_key(seed: int, temperature: float = TEMPERATURE) -> Column:
+    """log_weight and noise that hangs on the id and the text."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(1 << 53)
+    return F.col("log_weight") - temperature * F.log(-F.log(u))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float | None:
@@ -150,20 +162,21 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """docs' columns as struct row, log_weight, key and kept.
 
-    A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with the k-th are all kept.
-    Rows that repeat an id have the same noise. Without labels of both kinds all documents with a weight are kept. An empty table gives an empty result.
+    k: how many documents to draw; None: as many as weigh at least the labelled cut. temperature 0 makes the draw a plain
+    choice of the k heaviest. A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with
+    the k-th are all kept. Rows that repeat an id and text have the same noise. Without labels of both kinds all documents
+    with a weight are kept. An empty table gives an empty result.
     """
     ratios, least = fit(docs, labels)
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    scores = cut(weigh(docs.select("doc_id", F.col("text").cast("string").alias("text")), ratios).select(gumbel_key(seed).alias("key"), "log_weight").dropna(), "keys")
-    last = kth_largest(scores, scores.filter(F.col("log_weight") >= least).count())
+    plain = docs.select(whole_row(docs).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    scores = cut(weigh(plain.drop("row"), ratios).select(gumbel_key(seed, temperature).alias("key"), "log_weight").dropna(), "keys")
+    last = kth_largest(scores, scores.filter(F.col("log_weight") >= least).count() if k is None else min(k, scores.count()))
     kept = F.lit(False) if last is None else F.coalesce(F.col("key") >= last, F.lit(False))
-    return weigh(plain, ratios).withColumn("key", gumbel_key(seed)).select("row", "log_weight", "key", kept.alias("kept"))
-
+    return weigh(plain, ratios).withColumn("key", gumbel_key(seed, temperature)).select("row", "log_weight", "key", kept.alias("kept"))
 
-def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    return resample(docs, labels, seed).filter("kept").select("row.*")
 
+def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None) -> DataFrame:
+    return resample(docs, labels, seed, k).filter("kept").select("row.*")

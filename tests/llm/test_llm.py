@@ -146,13 +146,15 @@ def test_subset_sum():
 
 
 def test_subset_sum_of_long_documents():
-    from quillstone.llm.mixture import TABLE, fit
+    from quillstone.llm.mixture import ROOM, fit
 
     long = {70_000 + i: 1 for i in range(20)}
     assert fit(long, 100_000) == dict.fromkeys(long, 0) | {70_019: 1}
+    # Sums that only pairs and triples of long documents reach.
+    assert sum(n * c for n, c in fit({90_001: 3, 150_007: 2, 400_000: 1}, 240_008).items()) == 240_008
     r = random.Random(9)
     for _ in range(50):
-        counts = {r.randint(TABLE + 1, 300_000): r.randint(1, 3) for _ in range(r.randint(1, 12))}
+        counts = {r.randint(ROOM + 1, 300_000): r.randint(1, 3) for _ in range(r.randint(1, 12))}
         budget = r.randint(0, sum(n * c for n, c in counts.items()))
         take = fit(counts, budget)
         left = budget - sum(n * c for n, c in take.items())
@@ -409,7 +411,11 @@ def test_remove_repeats(spark, empty, odd, most):
         runs = int((np.diff(np.concatenate(([0], g.astype(int)))) == 1).sum())
         assert (r_.n_bytes, r_.n_removed, r_.n_spans, r_.kept_sha256, bytes(r_.kept)) == (len(raw), int(g.sum()), runs, hashlib.sha256(left).hexdigest(), left)
     if most > 1:
-        assert remove_repeats(odd).count() == odd.count() and remove_repeats(empty).count() == 0
+        assert remove_repeats(empty).count() == 0
+    own = odd.select("doc_id", "text").collect()
+    gone = brute_removed([(x.text or "").encode() for x in own], 40)
+    want = Counter((x.doc_id, bytes(np.frombuffer((x.text or "").encode(), np.uint8)[~g])) for x, g in zip(own, gone, strict=True))
+    assert Counter((x.doc_id, bytes(x.kept)) for x in remove_repeats(odd, 40, 16, most, 3000, with_text=True).collect()) == want
 
 
 def test_run_length_index():
@@ -424,6 +430,11 @@ def test_run_length_index():
         for i in range(len(raw)):
             best = max((next((k for k in range(len(raw)) if max(i, j) + k >= len(raw) or raw[i + k] != raw[j + k]), 0) for j in range(len(raw)) if j != i), default=0)
             assert match[i] == best
+        index = RunIndex(raw)
+        for _ in range(20):
+            i, k = r.randrange(len(raw)), r.randint(1, 6)
+            want = raw[i : i + k].tolist() if r.random() < 0.7 else [r.choice([1, 2, 3, 4]) for _ in range(k)]
+            assert index.count(want) == sum(raw[j : j + len(want)].tolist() == want for j in range(len(raw) - len(want) + 1))
     pieces = [b"abcabc" * 40, b"abcabc" * 40 + b"d"]
     assert RunIndex(np.frombuffer(pieces[0], np.uint8).astype(np.uint16)).runs < 20
     assert all(x.all() for x in long_repeats(pieces, 100)[:1])
@@ -454,3 +465,200 @@ def test_resampling(spark, empty, odd):
     assert resample(odd, labels).count() == odd.count() and resample(empty, labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert resample(docs, none).count() == 362
+
+
+def test_resampling_against_brute_force(spark, odd):
+    """Counts, weights, noise and the chosen set computed a second time, and a draw that isn't the k heaviest."""
+    from quillstone.llm import resampling as rs
+
+    def grams(text):
+        data = (text or "").encode()
+        out = []
+        for n in rs.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = n
+                for b in data[i : i + n]:
+                    h = h * 257 + b & 0xFFFFFFFF
+                out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 15)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            out.append((rs.WORDS_SEED + (c == b) + 2 * (c == a) + 4 * (b == a)) * 0x9E3779B1 % (1 << 32) >> 15)
+        return out
+
+    r = random.Random(15)
+    values = [" ".join(r.choice(["the", "of", "people", "water", "and", "house"]) for _ in range(r.randint(1, 40))) for _ in range(200)] + ODD
+    docs = table(spark, values)
+    labels = spark.createDataFrame([(3 * i, int(i % 3 > 0), 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    for v in values:
+        assert sorted(rs.buckets_of(v).tolist()) == sorted(grams(v))
+    half = {x.doc_id: x.half for x in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("half")).collect()}
+    raw, good = Counter(), Counter()
+    for i, v in enumerate(values):
+        raw.update(grams(v))
+        if i < 200 and i % 2 == 0 and i % 3 and half[3 * i] == 0:
+            good.update(grams(v))
+    score = lambda c, b: np.log(c[b] + 1) - np.log(sum(c.values()) + rs.BUCKETS)
+    weight = [rs.SCALE * np.mean([score(good, b) - score(raw, b) for b in g]) if (g := grams(v)) else None for v in values]
+    rows = sorted(rs.resample(docs, labels, k=80).select("row.doc_id", "log_weight", "key", "kept").collect())
+    for x, w in zip(rows, weight, strict=True):
+        assert (x.log_weight is None) == (w is None) and (w is None or x.log_weight == pytest.approx(w, abs=1e-9))
+    u = [((x.u % (1 << 64) >> 11) + 0.5) / (1 << 53) for x in docs.orderBy("doc_id").select(F.xxhash64(F.lit(42), "doc_id", "text").alias("u")).collect()]
+    keys = [None if w is None else w - rs.TEMPERATURE * np.log(-np.log(v)) for w, v in zip(weight, u, strict=True)]
+    last = sorted((k for k in keys if k is not None), reverse=True)[79]
+    assert [x.kept for x in rows] == [k is not None and k >= last for k in keys]
+    # The draw leaves out documents that weigh more than some that it takes; without noise it doesn't.
+    assert max(x.log_weight for x in rows if x.log_weight is not None and not x.kept) > min(x.log_weight for x in rows if x.kept)
+    plain = rs.resample(docs, labels, k=80, temperature=0).select("log_weight", "kept").collect()
+    assert max(x.log_weight for x in plain if x.log_weight is not None and not x.kept) < min(x.log_weight for x in plain if x.kept)
+
+
+def test_gumbel_draw_follows_the_weights(spark):
+    """Of two texts of which one weighs log 3 more, it is drawn three times in four."""
+    from quillstone.llm.resampling import gumbel_key
+
+    pairs = spark.range(4000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.struct(F.lit("a").alias("text"), F.lit(float(np.log(3))).alias("log_weight")), F.struct(F.lit("b").alias("text"), F.lit(0.0).alias("log_weight")))).alias("d")).select("doc_id", "d.*")
+    won = pairs.withColumn("key", gumbel_key(1)).groupBy("doc_id").agg(F.max_by("text", "key").alias("text")).groupBy("text").count().collect()
+    assert {x.text: x["count"] for x in won}["a"] / 4000 == pytest.approx(0.75, abs=0.03)
+
+
+# Many equal rows, null ids and very long texts, in all operators that deal rows out
+
+
+@pytest.fixture(scope="module")
+def repeats(spark):
+    """A third of the rows equal, a third with null ids, and one text longer than any block."""
+    r = random.Random(21)
+    rows = [(None, "the same words again and again in this row")] * 400 + [(None, f"text {i} of no id {r.random()}") for i in range(200)]
+    rows += [(7, "seven " * 5)] * 100 + [(i, f"{t} {i}") for i, t in enumerate(texts(100, 3), 1000)]
+    rows += [(5000, " ".join(str(r.random()) for _ in range(20_000))), (5001, "x" * 300_000)]
+    r.shuffle(rows)
+    return spark.createDataFrame([(i, t, "ab"[i is None], str(j)) for j, (i, t) in enumerate(rows)], "doc_id long, text string, source string, row string").repartition(6).cache()
+
+
+def test_repeats_in_exact_dedup(repeats):
+    from quillstone.llm.exact_dedup import exact_dedup
+
+    for hot in (64, 1):
+        rows = exact_dedup(repeats, hot=hot).select("row.doc_id", "row.text", "row.row", "keep_id", "group_size", "kept").collect()
+        size = Counter(x.text for x in rows)
+        assert Counter(x.row for x in rows) == Counter(str(j) for j in range(len(rows)))
+        assert all(x.group_size == size[x.text] and x.keep_id == x.doc_id for x in rows)
+        assert Counter(x.text for x in rows if x.kept) == Counter(dict.fromkeys(size, 1))
+
+
+def test_repeats_in_shuffle(spark, repeats, tmp_path):
+    from quillstone.llm.shards import read_shards, write_shards
+
+    write_shards(repeats, str(tmp_path / "s"), 24, bucket_bytes=2000)
+    rows = read_shards(spark, str(tmp_path / "s")).select("row.row", "row.text", "shard", "slot", "size").collect()
+    assert Counter(x.row for x in rows) == Counter(str(j) for j in range(repeats.count()))
+    shards = Counter(x.shard for x in rows)
+    assert sorted(shards) == list(range(24)) and max(shards.values()) - min(shards.values()) <= 1
+    assert all(sorted(x.slot for x in rows if x.shard == s) == list(range(n)) for s, n in shards.items())
+    same = [x.shard for x in rows if x.text.startswith("the same")]
+    assert len(set(same)) == 24 and max(Counter(same).values()) < 40
+    write_shards(repeats.limit(0), str(tmp_path / "none"))
+    assert read_shards(spark, str(tmp_path / "none")).select("row.doc_id", "size", "shard", "slot", "law", "grown_shard").count() == 0
+
+
+def test_fisher_yates_of_a_bucket(spark):
+    """One bucket against a second Fisher-Yates shuffle of the records in hash order, with the seeded generator of Spark's shuffle()."""
+    from quillstone.llm.shards import two_pass_shuffle
+
+    docs = table(spark, texts(30, 17))
+    rows = sorted(two_pass_shuffle(docs, 1, 42, 1 << 30).select("shard", "slot", "row.doc_id").collect())
+    hashed = [x.doc_id for x in sorted(docs.select(F.xxhash64(F.lit(42), "doc_id", "text").alias("h"), "doc_id").collect())]
+    want = spark.createDataFrame([(hashed,)], "a array<long>").select(F.shuffle("a", 42)).first()[0]
+    assert [x.doc_id for x in rows] == want != hashed and sorted(want) == sorted(hashed)
+
+
+def test_repeats_in_fingerprints(repeats):
+    from quillstone.llm.oph import with_edits
+
+    some = repeats.filter(F.length("text") < 5000)
+    rows = some.select("doc_id", "text").collect()
+    th = {x.text: x.h for x in some.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x.doc_id is None, -(x.doc_id or 0), th[x.text]))
+    want = Counter()
+    for x, y in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(x.text) // 3
+        want[(x.doc_id, len(x.text), hashlib.sha256((x.text[: len(x.text) - k] + y.text[:k]).encode()).hexdigest())] += 1
+    got = with_edits(some).collect()
+    assert Counter((g.doc_id, g.n_chars, g.edited_sha256) for g in got) == want
+    same = [g for g in got if g.n_chars == len("the same words again and again in this row")]
+    assert len(same) == 400 and sum(g.near_next == 1.0 for g in same) >= 399
+
+
+def test_repeats_in_remove_repeats(repeats):
+    from quillstone.llm.repeats import remove_repeats
+
+    own = repeats.select("doc_id", "text").collect()
+    short = [(x.doc_id, x.text.encode()) for x in own if len(x.text) < 5000]
+    gone = brute_removed([b for _, b in short], 40)
+    want = Counter((i, bytes(np.frombuffer(b, np.uint8)[~g])) for (i, b), g in zip(short, gone, strict=True))
+    got = remove_repeats(repeats, 40, 16, block=3000, with_text=True).collect()
+    assert Counter((x.doc_id, bytes(x.kept)) for x in got if x.n_bytes < 5000) == want
+    # The long texts are not alike: random numbers stay, 300,000 letters x go.
+    assert {x.doc_id: x.n_removed for x in got if x.n_bytes >= 5000} == {5000: 0, 5001: 300_000}
+
+
+def test_repeats_in_components(repeats):
+    from quillstone.llm.ngram_join import jaccard_components, keep_first
+
+    own = repeats.select("doc_id", "text").collect()
+    sizes, roots = brute_components([x.text for x in own], 4, 85)
+    least = {c: min((x.doc_id for x, q in zip(own, roots, strict=True) if q == c and x.doc_id is not None), default=None) for c in set(roots)}
+    want = Counter((x.doc_id, n, least[c]) for x, n, c in zip(own, sizes, roots, strict=True))
+    assert Counter(map(tuple, jaccard_components(repeats).collect())) == want
+    _, roots = brute_components([x.text for x in own], 5, 80)
+    assert Counter(x.text for x in keep_first(repeats).collect()).total() == len(set(roots))
+
+
+def test_large_family_of_near_copies(spark):
+    """Many near copies of one text, of which those with few changes link all: against brute force, with few candidates."""
+    from quillstone.llm.ngram_join import jaccard_components
+
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(3000)]
+    base, values = [r.choice(words) for _ in range(120)], []
+    for _ in range(260):
+        c = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 6, 8])):
+            c[r.randrange(len(c))] = r.choice(words)
+        values.append(" ".join(c[: len(c) - r.randint(0, 12)]))
+    sizes, roots = brute_components(values, 4, 85)
+    got = sorted(jaccard_components(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect())
+    assert [(x.n_shingles, x.component_id) for x in got] == list(zip(sizes, roots, strict=True)) and 1 < len(set(roots)) < 200
+
+
+def test_repeats_in_mix(repeats):
+    from quillstone.llm.mixture import mix, mixed
+
+    for cell in (1 << 16, 4):
+        rows = mix(repeats, cell_rows=cell).collect()
+        assert len(rows) == repeats.count()
+        taken, target = Counter(), {}
+        for x in rows:
+            assert x.copies <= 3 and x.taken == x.copies * x.size
+            taken[x.source_size] += x.taken
+            target[x.source_size] = x.target
+        assert all(abs(taken[s] - t) <= 10 for s, t in target.items()) and len(target) == 2
+        out = mixed(repeats, cell_rows=cell)
+        assert out.columns == repeats.columns and out.count() == sum(x.copies for x in rows)
+        assert max(x["count"] for x in out.groupBy("row").count().collect()) <= 3
+
+
+def test_repeats_in_id_files(spark, repeats, tmp_path):
+    from quillstone.llm.idfiles import read_ids, write_ids
+    from quillstone.llm.pieces import library
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    write_ids(repeats, path, str(tmp_path / "ids"))
+    got = sorted(read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda x: x.start)
+    given = sorted(((x.doc_id, x.text) for x in repeats.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    tokenizer = library(path)
+    start = 0
+    for x, (i, t) in zip(got, given, strict=True):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert (x.doc_id, x.start, x.n_tokens, x.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
