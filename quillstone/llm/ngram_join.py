@@ -210,6 +210,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, l
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     pairs = cut(_possible(pairs, sets, like), "pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
     hashes = _sets_again(pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct(), sets, texts, words)
     parts = pairs.groupBy("y").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     met = pairs.join(hashes.withColumnRenamed("sid", "x"), "x").join(parts, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x", "hashes")
@@ -340,8 +342,8 @@ def _components(docs: DataFrame, words: int, like: int) -> DataFrame:
     members = cut(groups.join(components(links).withColumnRenamed("id", "sid"), "sid", "left").select("g", "sid", F.coalesce("root", "sid").alias("c")), "members")
     pairs = _unsettled(lists.filter("kind = 1").select("token", "g", "n", "p"), members, like)
     more = _verified(pairs.select("x", "y").distinct(), sets, texts, words, like)
-    drop(lists, rest, members, pairs)
     whole = components(links.unionByName(more))
+    drop(lists, rest, members, pairs)
     firsts = whole.join(sets.select(F.col("sid").alias("id"), *ROW), "id").groupBy("root").agg(F.min(F.struct(*ROW)).alias("f"))
     linked = whole.join(firsts, "root").select(F.col("id").alias("sid"), "f")
     named = sets.select("d1", "d2", "sid", F.struct(*ROW).alias("own")).join(linked, "sid", "left").select("d1", "d2", F.coalesce("f", "own").alias("f"))

@@ -15,7 +15,7 @@ from quillstone.llm.common import cut, text_or_empty, whole_row, write
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
-#: A bucket is split if it has so many times bucket_bytes.
+#: A bucket is scattered anew if it has so many times bucket_bytes more than the mean.
 LARGE = 2
 
 
@@ -27,10 +27,10 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 42, buck
     """One row per input row: row (struct of all its columns), size, law ('rows'), shard, slot, grown_shard (null).
 
     Buckets: as many as give each about bucket_bytes, and one per shard at least. A record's bucket hangs on its id
-    and text, so null ids and copies spread like others. Records that repeat both share a bucket; a bucket that they make too
-    large is split by the records' places in the input. A null text counts 0 bytes. An empty table gives an empty
-    result. The order depends on the seed, the rows and the number of partitions, not on where they are stored (but in
-    split buckets).
+    and text, so null ids and copies spread like others. Records that repeat both share a bucket; if they make one too
+    large, its records are scattered anew by their places in the input. A null text counts 0 bytes. An empty table gives an empty
+    result. The order depends on the seed, the rows and the number of partitions, not on where they are stored (but for
+    records scattered anew).
     """
     total = docs.select(record_size().alias("size")).agg(F.count("*"), F.sum("size")).first()
     rows, buckets = total[0], max(shards, -(-(total[1] or 0) // bucket_bytes))
@@ -38,23 +38,21 @@ def two_pass_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 42, buck
     base = docs.select(whole_row(docs).alias("row"), record_size().alias("size"), mixed.alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     # One row per bucket: as many as the input has bucket_bytes.
     held = cut(base.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "buckets")
-    over = held.filter(F.col("bytes") > F.lit(LARGE * max(bucket_bytes, 1) + (total[1] or 0) // buckets)).select("bucket", F.ceil(F.col("bytes") / bucket_bytes).alias("parts"))
-    if over.isEmpty():
-        base, held = base.withColumn("part", F.lit(0)), held.withColumn("part", F.lit(0))
-    else:
-        # Written once, so that a record keeps its part whatever is computed again.
-        part = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts"), F.lit(0)).cast("int")
-        base = cut(base.join(over, "bucket", "left").withColumn("part", part).drop("parts"), "parts")
-        held = base.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    starts = held.select("bucket", "part", (F.sum("n").over(Window.orderBy("bucket", "part")) - F.col("n")).alias("start"))
+    over = held.filter(F.col("bytes") > F.lit(LARGE * max(bucket_bytes, 1) + (total[1] or 0) // buckets)).select("bucket", F.lit(True).alias("over"))
+    if not over.isEmpty():
+        # Written once, so that a record keeps its bucket whatever is computed again.
+        anew = F.pmod(F.xxhash64(F.lit(seed), "h", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+        base = cut(base.join(over, "bucket", "left").withColumn("bucket", F.when(F.col("over"), anew).otherwise(F.col("bucket"))).drop("over"), "scattered")
+        held = base.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = held.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
     by_hash = lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)
     full = (
-        base.repartition(buckets, "bucket", "part")
-        .groupBy("bucket", "part").agg(F.collect_list(F.struct("h", "size", "row")).alias("records"))
-        .sortWithinPartitions("bucket", "part")
-        .select("bucket", "part", F.shuffle(F.array_sort("records", by_hash), seed).alias("records"))
+        base.repartition(buckets, "bucket")
+        .groupBy("bucket").agg(F.collect_list(F.struct("h", "size", "row")).alias("records"))
+        .sortWithinPartitions("bucket")
+        .select("bucket", F.shuffle(F.array_sort("records", by_hash), seed).alias("records"))
     )
-    at = full.join(starts, ["bucket", "part"]).select("start", F.posexplode("records").alias("place", "r"))
+    at = full.join(starts, "bucket").select("start", F.posexplode("records").alias("place", "r"))
     at = at.select("r.row", "r.size", (F.col("start") + F.col("place")).alias("at"))
     shard = F.expr(f"(at * {shards}L) div {max(rows, 1)}L")
     first = F.expr(f"(((at * {shards}L) div {max(rows, 1)}L) * {rows}L + {shards - 1}L) div {shards}L")
