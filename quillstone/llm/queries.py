@@ -43,8 +43,7 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.repeats import remove_repeats
 
-    # What is left, as text: a character that a removed string cuts gives a replacement character.
-    return remove_repeats(documents(spark, sf_dir), with_text=True).withColumn("kept_text", F.decode("kept", "UTF-8")).drop("kept")
+    return remove_repeats(documents(spark, sf_dir), with_text=True).drop("kept")
 
 
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,7 +288,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, block: int = BLOCK, with_text: bool = False) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (binary).
+    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (binary)
+    and kept_text (with replacement characters where a removed string cuts a character).
 
     Texts are bytes of UTF-8; each byte of a string of `length` bytes that also begins elsewhere, in the same text or
     another, is removed. Null: empty. Texts under `length` bytes stay whole, equal rows lose the same bytes, and a null
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), text.alias("text"))
     spans = repeated_spans(keyed.drop("doc_id"), length, gram, most, block)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 kept = b"".join(left)
                 for out, x in zip(rows, (len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     out.append(x)
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.string()), *([pa.array(rows[4], pa.binary())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.string()), *([pa.array(rows[4], pa.binary()), pa.array([x.decode("utf-8", "replace") for x in rows[4]], pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "kept_text"][: 2 * with_text]])
 
     return keyed.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans").mapInArrow(remove, schema)
