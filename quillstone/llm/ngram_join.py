@@ -36,7 +36,7 @@ COUNTERS, SLICES = 1 << 20, 64
 #: Bits of the filter for texts whose sets are wanted again; fixed, so what is broadcast is WANTED / 8 bytes.
 WANTED = 1 << 23
 #: A hub's pairs are verified in parts of about so many.
-PART = 512
+PART = 64
 CLASSES, MANY = 128, 65535
 
 BASE = 0x9E3779B97F4A7C15
