@@ -1,8 +1,8 @@
 """Exact deduplication with combining that no large group of copies can slow down.
 
 Texts are told apart by their whole content at each of the three stages: copies within a task (the partial aggregate),
-copies under the same digest and salt, and the winners of the salts. Whole rows are never dealt by digest: what the
-stages find is a row for each group of copies, and the few groups that hold much of the table are broadcast.
+copies under the same digest and salt, and the winners of the salts. Digests that hold much of the table, of which there can
+only be a few, get salts; all other digests have one salt, so their texts move once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, drop, text_or_empty, whole_row
 
 SALTS = 256
-#: A group with more than one in HOT of all rows is broadcast; there are fewer than HOT of them.
+#: A digest with more than one in HOT of all rows gets salts; there are fewer than HOT of them.
 HOT = 64
 
 
@@ -26,24 +26,29 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, hot: int = HOT) -> DataFram
     """
     # Rows are numbered in what is written, so that numbers stand; copies of one id spread over the salts by them.
     rows = cut(docs.select(whole_row(docs).alias("row"), F.sha2(text_or_empty(), 256).alias("digest"), F.monotonically_increasing_id().alias("at")), "rows")
+    total = rows.count()
+    # Fewer than `hot` digests can each have more than one in `hot` of the rows, so what is broadcast is bounded.
+    large = cut(rows.groupBy("digest").agg(F.count("*").alias("times")).filter(F.col("times") * hot > total).select("digest"), "large")
+    known = rows.join(F.broadcast(large.withColumn("large", F.lit(True))), "digest", "left")
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("at"), F.lit(salts))).otherwise(0).cast("int")
     t, best = F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.struct(F.col("row.doc_id").alias("id"), (-F.col("at")).alias("up"))
-    base = rows.select("digest", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int").alias("salt"), t.alias("t"), best.alias("best"))
+    base = known.select("digest", salt.alias("salt"), t.alias("t"), best.alias("best"))
     # Within tasks and salts: the partial aggregate merges a task's own copies before anything is moved.
-    salted = cut(base.groupBy("digest", "salt", "t").agg(F.max("best").alias("best"), F.count("*").alias("n")).withColumn("h", F.xxhash64("t")), "salted")
-    # Across salts: at most `salts` rows of a text meet here. Those of one salt have met already.
-    parts = salted.groupBy("digest").agg(F.count("*").alias("parts"))
-    spread = cut(parts.filter("parts > 1").select("digest"), "spread")
-    alone = salted.filter("n > 1").select("digest", "h", "best", "n").join(spread, "digest", "left_anti")
-    merged = salted.join(spread, "digest", "left_semi").groupBy("digest", "t").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    groups = cut(alone.unionByName(merged.select("digest", F.xxhash64("t").alias("h"), "best", "n")), "groups")
-    drop(salted, spread)
-
-    large = groups.filter(F.col("n") * hot > rows.count())
+    salted = base.groupBy("digest", "salt", "t").agg(F.max("best").alias("best"), F.count("*").alias("n"))
+    salted = salted.join(F.broadcast(large.withColumn("large", F.lit(True))), "digest", "left").filter("large or n > 1")
+    salted = cut(salted.withColumn("h", F.xxhash64("t")).withColumn("t", F.when(F.col("large"), F.col("t"))), "salted")
+    # Across salts: of each text under a large digest, at most `salts` rows meet here. The others have met already.
+    merged = salted.filter("large").groupBy("digest", "t").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    merged = merged.filter("n > 1").select("digest", F.xxhash64("t").alias("h"), "best", "n")
+    few = cut(merged, "merged")
+    groups = cut(salted.filter("large is null").select("digest", "h", "best", "n"), "groups")
+    drop(salted, large)
+
     h = F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
-    found = rows.withColumn("h", h).join(F.broadcast(large.select("digest", "h", F.col("best").alias("lbest"), F.col("n").alias("ln"))), ["digest", "h"], "left")
+    found = rows.withColumn("h", h).join(F.broadcast(few.select("digest", "h", F.col("best").alias("lbest"), F.col("n").alias("ln"))), ["digest", "h"], "left")
     # Rows of large groups are done and get keys of their own, so that they spread over the tasks of the next join.
     found = found.withColumn("key", F.when(F.col("ln").isNull(), F.col("digest")).otherwise(F.col("at").cast("string")))
-    found = found.join(groups.select(F.col("digest").alias("key"), "h", "best", "n"), ["key", "h"], "left")
+    found = found.join(groups.select(F.col("digest").alias("key"), "h", "best", "n").hint("merge"), ["key", "h"], "left")
     best, n = F.coalesce("lbest", "best"), F.coalesce("ln", "n")
     return found.select(
         "row", F.when(n.isNull(), F.col("row.doc_id")).otherwise(best["id"]).alias("keep_id"), F.coalesce(n, F.lit(1)).alias("group_size"),
