@@ -373,7 +373,9 @@ def keep_first(docs: DataFrame, words: int = 5, like: int = 80) -> DataFrame:
     own = [F.col(c).alias(n) for c, n in zip(ROW, key, strict=True)]
     gone = rows.filter("not first").select(*own).distinct()
     copies = rows.filter("first").groupBy(*own).count().filter("count > 1").select(key)
-    left = docs.select("*", *[c.alias(n) for n, c in zip(key, _row_key(), strict=True)]).join(gone, key, "left_anti")
+    left = docs.select("*", *[c.alias(n) for n, c in zip(key, _row_key(), strict=True)]).join(gone.hint("merge"), key, "left_anti")
+    if copies.isEmpty():
+        return left.drop(*key)
     # Copies under one id are alike in all keys: one of them stays.
     one = left.join(copies, key, "left_semi").dropDuplicates(key)
     return left.join(copies, key, "left_anti").unionByName(one).drop(*key)
