@@ -52,7 +52,7 @@ def prediction_problems(lines: DataFrame) -> DataFrame:
     """
     v = F.try_parse_json("value")
     kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
-    rows = lines.select("line_no", v.isNull().alias("bad"), *[kind(f).alias(f"k_{f}") for f in ("id", "is_forged", *C.FIELDS)], F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.is_forged", "string").alias("forged"))
+    rows = lines.select("line_no", v.isNull().alias("bad"), (~F.schema_of_variant(v).startswith("OBJECT")).alias("plain"), *[kind(f).alias(f"k_{f}") for f in ("id", "is_forged", *C.FIELDS)], F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.is_forged", "string").alias("forged"))
     known = (F.col("k_id") == "STRING") & (strip(F.col("id")) != "")
     rows = rows.withColumn("nth", F.when(known, F.row_number().over(Window.partitionBy("id", known).orderBy("line_no"))))
     at = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
@@ -64,7 +64,7 @@ def prediction_problems(lines: DataFrame) -> DataFrame:
         F.when(F.col("nth") > 1, F.concat(at, F.lit("duplicate prediction id '"), F.col("id"), F.lit("'"))), say(~number, "'is_forged' must be integer 0 or 1"),
         *[F.when(~F.col(f"k_{f}").isin("STRING", "VOID"), F.concat(at, F.lit(f"'{f}' must be string or null"))) for f in C.FIELDS],
     ]
-    problems = F.when(F.col("bad"), F.array(F.concat(at, F.lit("not valid JSON")))).when(missing_id, F.array(F.concat(at, F.lit("missing required field 'id'")))).otherwise(F.array_compact(F.array(*there)))
+    problems = F.when(F.col("bad"), F.array(F.concat(at, F.lit("not valid JSON")))).when(F.col("plain"), F.array(F.concat(at, F.lit("row must be an object")))).when(missing_id, F.array(F.concat(at, F.lit("missing required field 'id'")))).otherwise(F.array_compact(F.array(*there)))
     return rows.select("line_no", "id", problems.alias("problems"))
 
 

@@ -131,7 +131,9 @@ def extract_fields(df: DataFrame, priors: DataFrame | None = None, stats: DataFr
     """
     rows, prior, known, formats, numbers = exploded(df), None, None, None, None
     if priors is not None:
-        rows = rows.join(priors.select(F.col("vendor").alias("compact"), F.col("count").alias("prior")), "compact", "left")
+        # Only the first eight lines can be a vendor; other lines get no key that could meet one, so a line common to all documents isn't dealt to one task.
+        key = F.when(F.col("idx") < 8, F.col("compact"))
+        rows = rows.withColumn("__key", key).join(priors.select(F.col("vendor").alias("__key"), F.col("count").alias("prior")), "__key", "left").drop("__key")
         prior = F.col("prior")
     if stats is not None:
         names = ("known_vendors", "date_format_frequencies", "amount_q1", "amount_q3", "amount_mean", "amount_std")

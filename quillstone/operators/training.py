@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +47,15 @@ def with_vector(rows: DataFrame, label: str = "is_forged") -> DataFrame:
     return rows.withColumn("features", array_to_vector("vector")).withColumn("label", F.col(label).cast("double"))
 
 
+#: At most so many labelled rows are fitted, those with the smallest hash of their id; more would not fit one task's memory well.
+FIT_ROWS = 20_000
+
+
+def fit_rows(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """The rows that are fitted, in one partition: boosting runs hundreds of small jobs, which then are a task each."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).coalesce(1)
+
+
 def folds(rows: DataFrame, k: int = 5, seed: int = C.DEFAULT.seed) -> DataFrame:
     """rows (doc_id, label) with fold: within each label, documents in the order of a seeded hash go round the folds."""
     by = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
@@ -59,15 +67,11 @@ def forged_probability(model, rows: DataFrame) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, k: int = 5, settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """doc_id, label, score: each document scored by a model that hasn't seen its fold. rows: doc_id, features, label."""
-    dealt = folds(rows, k, settings.seed).cache()
+    """doc_id, label, fold, score: each document scored by a model that hasn't seen its fold. rows: doc_id, features, label; read k times over."""
+    dealt = folds(rows, k, settings.seed)
     out = None
     for i in range(k):
-        part = forged_probability(classifier(settings).fit(dealt.filter(F.col("fold") != i)), dealt.filter(F.col("fold") == i)).select("doc_id", "label", "score")
+        part = forged_probability(classifier(settings).fit(dealt.filter(F.col("fold") != i)), dealt.filter(F.col("fold") == i)).select("doc_id", "label", "fold", "score")
         out = part if out is None else out.unionByName(part)
     return out
 
-
-def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """For features that are columns, nulls as 0."""
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(rows.fillna(0.0, columns))

@@ -277,4 +277,13 @@ ORACLES = {
     "normalized_match_keys": "SELECT c_custkey, nullif(regexp_replace(lower(c_name || ' - ' || c_mktsegment), '[^0-9a-z]+', '', 'g'), '') AS match_key FROM customer",
     "document_summary": f"""WITH {SCORED} SELECT doc_id, coalesce(vendor, '') AS vendor, coalesce(date, '') AS date, coalesce(total, '') AS total, true AS ocr_text_present, CASE WHEN score >= {_d(0.45)} THEN 'Suspicious' ELSE 'Genuine' END AS status, round_even(score * 10000, 0) / 10000 AS score,
        {_d(0.45)} AS threshold, CAST(CAST(r1 AS INT) + CAST(r2 AS INT) + CAST(r3 AS INT) AS INT) AS reason_count, CASE WHEN r1 THEN '{C.REASONS[2]}' WHEN r2 THEN '{C.REASONS[4]}' WHEN r3 THEN '{C.REASONS[5]}' ELSE '' END AS strongest_signal FROM h_out""",
+    "vendor_of_words": f"WITH {RECEIPTS} SELECT doc_id, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:5], lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9\\s\\-/.:,$%]+') AND NOT {any_of('lower(x)', C.VENDOR_STOP_WORDS)})[1] AS vendor FROM receipts",
+    "label_counts": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
+    "year_of_date": """SELECT o_orderkey, raw, CASE WHEN raw ~ '^20[0-9]{2}-' THEN CAST(left(raw, 4) AS INT) WHEN raw ~ '/20[0-9]{2}$' THEN CAST(right(raw, 4) AS INT) WHEN raw ~ '[.-][0-9]{2}$' THEN 2000 + CAST(right(raw, 2) AS INT) END AS year
+       FROM (SELECT o_orderkey, unnest([strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%m.%d.%y'), strftime(o_orderdate, '%b'), '12 345']) AS raw FROM orders)""",
+    "collection_summary": """SELECT o_orderpriority, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean_amount, round(median(o_totalprice), 4) AS median_amount,
+       min(CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS INT) END) AS first_year, max(CASE WHEN year(o_orderdate) >= 2000 THEN CAST(year(o_orderdate) AS INT) END) AS last_year FROM orders GROUP BY o_orderpriority""",
+    "generated_text": "SELECT o_orderkey, regexp_replace(o_orderpriority, '-', ' ', 'g') || CASE WHEN o_orderstatus = 'O' THEN '' ELSE ' ' || o_orderstatus END AS text, CAST(NULL AS VARCHAR) AS blank FROM orders",
+    "null_baseline": "SELECT o_orderkey AS id, CAST(NULL AS VARCHAR) AS vendor, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS total, 0 AS is_forged FROM orders",
+    "vendor_top": f"WITH {RECEIPTS} SELECT vendor, count(*) AS n FROM receipts GROUP BY vendor ORDER BY n DESC, vendor LIMIT 20",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone import config as C
 from quillstone.functions import amounts, dates
 from quillstone.functions.text import normalized_for_match, text_features as text_features_of
-from quillstone.operators import anomaly, evaluate, extract, features, image, layout, summary, training
+from quillstone.operators import anomaly, evaluate, extract, features, image, layout, models, review, summary, training
 from quillstone.sources import views
 from quillstone.sources.views import raster_pixels, receipts, table
 
@@ -353,14 +353,56 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on all receipts, all receipts scored."""
+    """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on training.FIT_ROWS receipts at most, all receipts scored."""
     r = receipts(spark, sf_dir)
-    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth")
-    rows = rows.select("doc_id", "features", "label").orderBy(F.xxhash64("doc_id")).cache()
-    model = training.classifier().fit(rows)
+    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label").cache()
+    fitted = training.fit_rows(rows).cache()
+    model = training.classifier().fit(fitted)
+    fitted.unpersist()
     return training.forged_probability(model, rows).select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.counts_by(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+def vendor_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.top_values(receipts(spark, sf_dir), "vendor")
+
+
+def vendor_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = receipts(spark, sf_dir)
+    return review.simple_vendor_of(r, layout.words_of_text(r))
+
+
+def year_of_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    raw = F.explode(F.array(F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "MM.dd.yy"), F.date_format(d, "MMM"), F.lit("12 345")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", review.year_of_date(F.col("raw")).alias("year"))
+
+
+def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"))
+    out = review.collection_summary(rows, "o_orderpriority", "amount", "date")
+    return out.select("o_orderpriority", "n", F.round(F.col("mean_amount").cast("double"), 4).alias("mean_amount"), F.round("median_amount", 4).alias("median_amount"), "first_year", "last_year")
+
+
+def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat_ws("", F.lit(" \n"), F.regexp_replace("o_orderpriority", "-", "\t  "), F.lit("\n\n"), F.nullif("o_orderstatus", F.lit("O")), F.lit("  "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", review.clean_generated(raw).alias("text"), review.clean_generated(F.lit(" \n ")).alias("blank"))
+
+
+def null_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.null_baseline(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+def field_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes over the first page of all receipts: fields and suspicious regions."""
+    r = receipts(spark, sf_dir)
+    fields = extract.extract_from_text(r)
+    return review.overlays(fields, anomaly.suspicious_regions(layout.words_of_text(r), fields), 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -369,5 +411,6 @@ QUERIES = {
         training_stats, amount_zscore_iqr, known_vendor_hit, consistency_features, heuristic_score, forged_reasons, predict_without_words, feature_vector, suspicious_regions, raster_stats, raster_entropy, raster_blocks,
         raster_ela, page_feature_aggregate, image_features, field_match_eval, anomaly_metrics, threshold_calibration, label_overrides, prediction_validation, missing_extra_ids, duplicate_ids, latency_percentiles,
         normalized_match_keys, synthetic_receipts, document_summary, nlg_summary, prompt_text, analyze_documents, gbt_score,
+        label_counts, vendor_top, vendor_of_words, year_of_date, collection_summary, generated_text, null_baseline, field_overlays,
     )
 }

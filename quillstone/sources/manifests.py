@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import strip
@@ -115,6 +115,42 @@ def read_tesseract_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("conf", F.col("conf").try_cast("double")).filter((strip(F.col("text")) != "") & (F.col("conf") >= 0))
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 1) and value of a text file's lines that aren't blank.
+
+    Lines are counted within the blocks that tasks read, and blocks put in order by their place in the file, so a large file stays many tasks' work.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("f").orderBy("b")) - F.col("n"))
+    return rows.join(blocks, ["f", "b"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value").filter(strip(F.col("value")) != "")
+
+
+def load_pages(spark: SparkSession, folder: str, rasterise=None, dpi: int = 200) -> DataFrame:
+    """path, page_index, image of all documents in a folder: by suffix, PDF files through the rasteriser, others as one image. Without a rasteriser PDF files are left out."""
+    images = read_images(spark, folder)
+    return images if rasterise is None else images.unionByName(read_pdf_pages(spark, folder, rasterise, dpi))
+
+
+def pages_of_records(records: DataFrame, pages: DataFrame, folder: str) -> DataFrame:
+    """Records (id, image_path) with the pages of their files: doc_id, page_index, image. A record without a file has no pages."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/*", "/"), "/+", "/")
+    key = plain(F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_path")))
+    return records.select(F.col("id").alias("doc_id"), key.alias("key")).join(pages.withColumn("key", plain(F.col("path"))), "key").select("doc_id", "page_index", "image")
+
+
+def read_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """path, company, date, address, total (without commas, a number or null) of JSON files, one record each."""
+    rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "company string, date string, address string, total string").alias("e"))
+    return rows.select("path", "e.company", "e.date", "e.address", F.regexp_replace("e.total", ",", "").try_cast("double").alias("total"))
+
+
+def write_synthetic(records: DataFrame, path: str) -> DataFrame:
+    """Write made-up records as JSON lines and give the counts by label (is_forged, n)."""
+    records.write.option("ignoreNullFields", "false").json(path)
+    return records.groupBy(F.col("label.is_forged").alias("is_forged")).agg(F.count("*").alias("n"))
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """JSON lines in the order of column ordinal, nulls written. One file keeps the order, so it is one task's work: predictions are a few fields a document."""
     df.orderBy("ordinal").select("id", "vendor", "date", "total", "is_forged").coalesce(1).write.option("ignoreNullFields", "false").json(path)
