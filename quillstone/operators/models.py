@@ -43,6 +43,8 @@ def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | N
     plain = extract.extract_from_text(docs)
     amounts = plain.join(docs.select("doc_id", "true_vendor", "true_date"), "doc_id")
     stats = training.training_stats(amounts.select(F.col("vendor.value").alias("vendor"), "true_vendor", "true_date", F.col("total.value").try_cast("double").alias("amount")))
+    # One row, which is stored with the model anyway: held as such, it isn't computed again for each of its uses.
+    stats = docs.sparkSession.createDataFrame(stats.collect(), stats.schema)
     fields = extract.extract_from_text(docs, None, stats)
     every = features.feature_rows(docs, fields, stats, words, images).select("doc_id", "vector").join(docs.select("doc_id", "is_forged"), "doc_id")
     fitted = training.fit_rows(training.with_vector(every.filter("is_forged is not null")).select("doc_id", "features", "label"), rows).cache()
