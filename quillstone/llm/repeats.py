@@ -30,6 +30,8 @@ LENGTH = 400
 GRAM = 64
 #: Distinct stretches of a gram beyond which its windows are counted by digest.
 MOST = 2000
+#: Rows over which the stretches of a crowded gram spread.
+SALTS = 64
 #: Bytes of a block of whole grams' stretches.
 BLOCK = 1 << 21
 
@@ -226,11 +228,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     again = cut(found.join(often, "key"), "again")
     drop(found, often)
     distinct = cut(again.filter("mixed").groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "s", "w")).alias("at")), "distinct")
-    crowd = distinct.groupBy("key").agg(F.count("*").alias("kinds"))
-    wanted = distinct.join(crowd, "key").select(*digest, "kinds", "at.*")
+    # Only crowded grams are joined, each in SALTS rows (so at most SALTS for each `most` stretches), and their stretches spread over those.
+    crowd = distinct.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most)
+    crowd = crowd.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("crowded"))
+    wanted = distinct.withColumn("salt", F.pmod("d1", F.lit(SALTS)).cast("int")).join(crowd, ["key", "salt"], "left")
+    wanted = wanted.select(*digest, F.coalesce("crowded", F.lit(False)).alias("crowded"), "at.*")
     bodies = docs.select("k", "th", F.col("text").cast("binary").alias("b"))
     piece = F.expr(f"substring(b, s + 1, w + {length - 1})")
-    pieces = cut(wanted.join(bodies, ["k", "th"]).select(*digest, "kinds", piece.alias("piece")).withColumn("crowded", F.col("kinds") > most), "pieces")
+    pieces = cut(wanted.join(bodies, ["k", "th"]).select(*digest, "crowded", piece.alias("piece")), "pieces")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
