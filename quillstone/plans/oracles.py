@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quillstone import config as C
 
 NL = "chr(10)"
@@ -137,20 +139,21 @@ LINE_SCORE = _sum(
 )
 
 
-def offers(lines: str, conf: bool = False) -> str:
+def offers(lines: str, conf: bool = False, stats: bool = False) -> str:
     """CTEs from lines to scored amounts, t_scored."""
+    usual = f"+ CASE WHEN amount >= (SELECT q1 FROM stats) AND amount <= (SELECT q3 FROM stats) THEN {_d(0.5)} ELSE {_d(0.0)} END + CASE WHEN (SELECT s FROM stats) > 0 AND abs(amount - (SELECT m FROM stats)) > 3 * (SELECT s FROM stats) THEN {_d(-0.3)} ELSE {_d(0.0)} END"
     return f"""
 t_lines AS (SELECT *, {LINE_SCORE} AS line_score FROM {lines}),
 t_raw AS (SELECT * EXCLUDE (l), unnest(l) AS token, generate_subscripts(l, 1) AS ord FROM (SELECT *, regexp_extract_all(text, '{AMOUNT}') AS l FROM t_lines)),
 {normalized("t_raw", "t_norm")},
 t_shape AS (SELECT *, CAST(value AS DOUBLE) AS amount, {SHAPES} FROM t_norm WHERE value IS NOT NULL),
 t_scored AS (SELECT *, line_score + CASE WHEN amount > 0 THEN {_d(0.8)} ELSE {_d(0.0)} END + CASE WHEN abs(amount - round_even(amount, 0)) > 1e-6 THEN {_d(0.2)} ELSE {_d(0.0)} END
-   {f"+ CASE WHEN conf >= 65 THEN {_d(0.2)} ELSE {_d(0.0)} END" if conf else ""} + CASE WHEN contains(low, 'total') AND {any_of('low', C.SUBTOTAL_TERMS)} THEN {_d(-0.8)} ELSE {_d(0.0)} END
+   {usual if stats else ""} {f"+ CASE WHEN conf >= 65 THEN {_d(0.2)} ELSE {_d(0.0)} END" if conf else ""} + CASE WHEN contains(low, 'total') AND {any_of('low', C.SUBTOTAL_TERMS)} THEN {_d(-0.8)} ELSE {_d(0.0)} END
    + CASE WHEN date_like THEN {_d(-2.2)} ELSE {_d(0.0)} END + CASE WHEN phone_like THEN {_d(-2.0)} ELSE {_d(0.0)} END + CASE WHEN invoice_like THEN {_d(-1.8)} ELSE {_d(0.0)} END
    + CASE WHEN {" OR ".join(f"starts_with(low, '{t}')" for t in C.QUANTITY_STARTS)} THEN {_d(-1.2)} ELSE {_d(0.0)} END AS score FROM t_shape)"""
 
 
-TOTAL = f"""{offers("lines")},
+TOTAL_OF = f"""
 t_best AS (SELECT doc_id, first(value ORDER BY score DESC, idx, ord) AS value, first(amount ORDER BY score DESC, idx, ord) AS amount, max(score) AS score FROM t_scored WHERE score > -1 GROUP BY doc_id),
 t_sub AS (SELECT doc_id, list(amount) AS subs FROM t_scored WHERE {any_of('low', C.SUBTOTAL_TERMS)} GROUP BY doc_id),
 t_tax AS (SELECT doc_id, list(amount) AS taxes FROM t_scored WHERE {any_of('low', C.TAX_TERMS)} GROUP BY doc_id),
@@ -158,6 +161,8 @@ t_hits AS (SELECT b.*, len(list_filter(coalesce(subs, []), lambda s: len(list_fi
 t_fin AS (SELECT doc_id, value, amount, score + hits * {_d(1.2)} AS score FROM t_hits),
 total_out AS (SELECT r.doc_id, CASE WHEN score >= {_d(0.9)} THEN value END AS total, CASE WHEN score >= {_d(0.9)} THEN round(least({_d(1.0)}, score / {_d(3.0)}), 6) ELSE 0 END AS total_confidence FROM receipts r LEFT JOIN t_fin USING (doc_id))"""
 
+TOTAL = f"{offers('lines')}, {TOTAL_OF}"
+
 FIELDS = f"{RECEIPTS}, {LINES}, {VENDOR}, {DATE}, {TOTAL}, fields_out AS (SELECT * FROM vendor_out JOIN date_out USING (doc_id) JOIN total_out USING (doc_id))"
 
 WORDS = f"""
@@ -287,3 +292,111 @@ ORACLES = {
     "null_baseline": "SELECT o_orderkey AS id, CAST(NULL AS VARCHAR) AS vendor, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS total, 0 AS is_forged FROM orders",
     "vendor_top": f"WITH {RECEIPTS} SELECT vendor, count(*) AS n FROM receipts GROUP BY vendor ORDER BY n DESC, vendor LIMIT 20",
 }
+
+
+# The rest: the whole analysis with words, regions and sentences.
+
+#: Confidence of each field as it is, unrounded; a field that isn't found has 0.
+EXACT = f"""
+x_conf AS (SELECT r.doc_id, CASE WHEN v.score >= 1 THEN least({_d(1.0)}, v.score / {_d(3.0)}) ELSE 0 END AS cv, CASE WHEN d.score >= {_d(0.8)} THEN least({_d(1.0)}, d.score / {_d(3.0)}) ELSE 0 END AS cd,
+   CASE WHEN t.score >= {_d(0.9)} THEN least({_d(1.0)}, t.score / {_d(3.0)}) ELSE 0 END AS ct, CASE WHEN v.score >= 1 THEN v.value END AS vv, CASE WHEN d.score >= {_d(0.8)} THEN d.value END AS vd, CASE WHEN t.score >= {_d(0.9)} THEN t.value END AS vt
+   FROM receipts r LEFT JOIN v_best v USING (doc_id) LEFT JOIN d_best d USING (doc_id) LEFT JOIN t_fin t USING (doc_id))"""
+
+PAGES = RECEIPTS.replace("\nreceipts AS (", "\nwhole AS (") + f""",
+receipts AS (SELECT {{'d': doc_id, 'p': p}} AS doc_id, t AS text FROM (SELECT doc_id, unnest(string_split(text, {NL})) AS t, generate_subscripts(string_split(text, {NL}), 1) AS p FROM whole))"""
+
+PRIORS = "priors AS (SELECT lower(vendor) AS pv, count(*) AS pn FROM receipts GROUP BY 1)"
+WITH_PRIOR = f"{VENDOR_SCORE} + coalesce(least({_d(1.6)}, {_d(0.5)} + {_d(0.08)} * pn), {_d(0.0)}) + CASE WHEN pn IS NOT NULL THEN {_d(1.0)} ELSE {_d(0.0)} END AS score FROM v_lines LEFT JOIN priors ON pv = low)"
+KNOWN_FORMAT = f"ELSE {_d(0.4)} END + CASE WHEN regexp_matches(raw, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') THEN {_d(0.3)} ELSE {_d(0.0)} END"
+LEARNED = f"""{RECEIPTS}, {LINES}, {STATS}, {PRIORS}, {VENDOR.replace(f"{VENDOR_SCORE} AS score FROM v_lines)", WITH_PRIOR)}, {DATE.replace(f"ELSE {_d(0.4)} END", KNOWN_FORMAT)}, {offers("lines", stats=True)}, {TOTAL_OF},
+fields_out AS (SELECT * FROM vendor_out JOIN date_out USING (doc_id) JOIN total_out USING (doc_id))"""
+
+FIELD_LINES = f"""
+bx AS (SELECT doc_id, 0 AS i, 'vendor' AS field, first(idx ORDER BY score DESC, idx) AS idx, max(score) AS score, {_d(1.0)} AS least FROM v_scored GROUP BY doc_id
+  UNION ALL SELECT doc_id, 1, 'date', first(idx ORDER BY score DESC, idx, shape), max(score), {_d(0.8)} FROM d_cand GROUP BY doc_id
+  UNION ALL SELECT t.doc_id, 2, 'total', first(idx ORDER BY t.score DESC, idx, ord), max(f.score), {_d(0.9)} FROM t_scored t JOIN t_fin f ON t.doc_id = f.doc_id WHERE t.score > -1 GROUP BY t.doc_id),
+boxes AS (SELECT doc_id, i, field, score, l.top, l.bottom, l."right", greatest(0, l.top - 6) AS et, l.bottom + 6 AS eb, l."right" + greatest(6, CAST(round_even(l."right" * {_d(0.15)}, 0) AS INT)) AS er FROM bx JOIN lines l USING (doc_id, idx) WHERE score >= least)"""
+
+WORD_OFFERS = f"""{WORDS}, {WORD_LINES}, wl AS (SELECT w.doc_id, w.idx, w.text, w."left", w.top, w."right", w.bottom, lower(w.text) AS low, w.conf, max(w.bottom) OVER (PARTITION BY w.doc_id) AS max_bottom, count(*) OVER (PARTITION BY w.doc_id) AS n FROM word_lines w),
+{re.sub(r"\bt_", "u_", offers("wl", conf=True))}"""
+
+WORD_SLOTS = f"""
+near AS (SELECT doc_id, field, avg(confidence / 100) AS fc FROM boxes JOIN words w USING (doc_id) WHERE w.top < eb AND w.top + 8 > et AND w."left" < er AND w.width > 0 GROUP BY doc_id, field),
+clash AS (SELECT doc_id, CAST(count(DISTINCT u.value) AS DOUBLE) AS k FROM u_scored u JOIN c_out c USING (doc_id) WHERE u.score >= {_d(0.9)} AND c.a > 0 AND abs(u.amount - c.a) > {_d(0.06)} GROUP BY doc_id),
+seen AS (SELECT doc_id, avg(confidence / 100) AS ocr_mean_confidence, avg(CASE WHEN confidence / 100 < 0.5 THEN {_d(1.0)} ELSE {_d(0.0)} END) AS ocr_low_conf_ratio, CAST(count(*) AS DOUBLE) AS word_count FROM words GROUP BY doc_id)"""
+
+REGIONS = f"""
+o_top AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM u_scored),
+o_one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY score DESC, idx, ord) AS nth FROM o_top WHERE score >= greatest({_d(1.4)}, best - {_d(0.6)})),
+o_rank AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, ord) AS r, count(*) OVER (PARTITION BY doc_id) AS several FROM o_one WHERE nth = 1),
+o_diff AS (SELECT o.*, coalesce(o.value <> f.total, false) AS differ, sum(CAST(coalesce(o.value <> f.total, false) AS INT)) OVER (PARTITION BY o.doc_id) AS others FROM o_rank o JOIN fields_out f ON f.doc_id = o.doc_id WHERE several > 1),
+looks AS (
+  SELECT doc_id, 2 AS source, row_number() OVER (PARTITION BY doc_id ORDER BY {_d(1.0)} - least({_d(1.0)}, score / {_d(3.0)}) DESC, i) AS r, 0 AS x0, et AS y0, er AS x1, eb AS y1 FROM boxes WHERE score / {_d(3.0)} < {_d(0.5)}
+  UNION ALL SELECT doc_id, 3, r, "left", top, "right", bottom FROM o_diff WHERE CASE WHEN others > 0 THEN differ ELSE r > 1 END
+  UNION ALL SELECT doc_id, 4, row_number() OVER (PARTITION BY doc_id ORDER BY confidence, ord), "left", top, "left" + width, top + height FROM words WHERE confidence < 45),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source, r) AS spot FROM looks),
+apart AS (SELECT doc_id, x0, y0, x1, y1, min(spot) AS spot FROM placed WHERE spot <= 6 GROUP BY ALL),
+regions_out AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS INT) AS place, CAST(x0 AS INT) AS "left", CAST(y0 AS INT) AS top, CAST(x1 AS INT) AS "right", CAST(y1 AS INT) AS bottom, 0 AS page FROM apart)"""
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _listed(*cases: str) -> str:
+    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
+
+
+def _pick(options, index: str) -> str:
+    return f"[{', '.join(map(_q, options))}][CAST(({index}) % {len(options)} AS INT) + 1]"
+
+
+SENTENCES = f"""
+n_lists AS (SELECT *, {_listed(*(f"CASE WHEN coalesce({f}, '') = '' THEN '{f}' END" for f in C.FIELDS))} AS missing, {_listed(*(f"CASE WHEN {f} IS NOT NULL THEN '{f}' END" for f in C.FIELDS))} AS flagged,
+   score >= {_d(0.45)} AS forged, CAST(r1 AS INT) + CAST(r2 AS INT) + CAST(r3 AS INT) AS n_reasons FROM h_out),
+n_said AS (SELECT *, list_concat({_listed(_q(C.EVIDENCE[1]), f"CASE WHEN len(missing) > 0 THEN replace({_q(C.EVIDENCE[2])}, '%s', array_to_string(missing, '/')) END", f"CASE WHEN consistency_risk >= {_d(0.58)} THEN {_q(C.EVIDENCE[3])} END", f"CASE WHEN amount_zscore >= 2.5 OR amount_iqr_gap >= 1 THEN {_q(C.EVIDENCE[4])} END")},
+   list_transform(flagged, lambda f: replace({_q(C.EVIDENCE[5])}, '%s', f))) AS said FROM n_lists),
+n_parts AS (SELECT *, len(said) AS n, CASE WHEN score >= {_d(0.65)} OR len(said) >= 4 THEN 'strongly suggests' WHEN score >= {_d(0.45)} OR len(said) >= 2 THEN 'likely' ELSE 'possibly' END AS sure,
+   (CAST(round_even(score * 100, 0) AS INT) + 1 + n_reasons) % 7 AS variant FROM n_said)"""
+
+WORD_COLUMNS = {
+    **{c: "0" for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES)}, **{("text_line_count" if c == "line_count" else c): f"x.{c}" for c in C.TEXT_FEATURES}, **{c: f"c.{c}" for c in C.CONSISTENCY_FEATURES},
+    "ocr_mean_confidence": "s.ocr_mean_confidence", "ocr_low_conf_ratio": "s.ocr_low_conf_ratio", "line_count": "x.line_count", "word_count": "s.word_count", "vendor_confidence": "e.cv", "date_confidence": "e.cd", "total_confidence": "e.ct",
+    "field_presence": "c.field_presence", **{f"field_ela_{f}": "0" for f in C.FIELDS}, **{f"field_conf_{f}": f"coalesce((SELECT fc FROM near WHERE near.doc_id = c.doc_id AND field = '{f}'), 0)" for f in C.FIELDS},
+    **{f"field_present_{f}": f"CASE WHEN c.{f} IS NULL THEN 0 ELSE 1 END" for f in C.FIELDS}, "field_conflict_count": "coalesce(k.k, 0)", "amount": "c.a",
+}
+
+RECEIPT_TEXT = TEXT.replace("FROM documents)", "FROM (SELECT doc_id, '' AS lang, text FROM receipts))")
+_four = lambda e, d=4: f"printf('%.{d}f', round(CAST({e} AS DOUBLE), {d}))"
+_PROMPT_VALUES = {"consistency_risk": "consistency_risk", "amount_zscore": "amount_zscore", "amount_iqr_gap": "amount_iqr_gap", **{f"field_present_{f}": f"({f} IS NOT NULL)::INT" for f in C.FIELDS}}
+PROMPT_HEAD = (
+    "Prepare a forensic document analysis summary for this receipt.", "Requirements:", "- Write exactly 2 or 3 sentences.", "- Mention whether the receipt appears genuine or suspicious.",
+    "- Reference the anomaly score and the strongest evidence.", "- If fields are missing or low-confidence, mention that briefly.", "",
+)
+PROMPT_LINES = [
+    *map(_q, PROMPT_HEAD), f"'Anomaly score: ' || {_four('score')}", "'Decision threshold: 0.4500'", f"'Is forged: ' || CASE WHEN score >= {_d(0.45)} THEN 'True' ELSE 'False' END",
+    "'Reasons: ' || coalesce(nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {r} THEN {_q(C.REASONS[i])} END" for r, i in (("r1", 2), ("r2", 4), ("r3", 5))) + "), ''), 'None')", "'Extraction results:'",
+    *(f"'- {f.capitalize()}: value=' || coalesce(nullif({f}, ''), 'missing') || ', confidence=' || {_four(c, 3)}" for f, c in zip(C.FIELDS, ("cv", "cd", "ct"), strict=True)),
+    "'OCR text present: True'", "'Page count: 1'", "'Key feature values:'", *(f"'- {c}: ' || {_four(_PROMPT_VALUES.get(c, '0'))}" for c in C.PROMPT_FEATURES),
+]
+
+ORACLES |= {
+    "date_format_detect": f"WITH {DATE_STRINGS} SELECT CASE " + " ".join(f"WHEN regexp_matches(raw, '[0-9]{{4}}') = {str(f.find('%Y') >= 0).lower()} AND try_strptime(replace(raw, 'Sept', 'Sep'), '{f}') IS NOT NULL THEN '{f}'" for f in C.DATE_FORMATS) + " END AS format, count(*) AS n FROM date_strings GROUP BY 1",
+    "extract_fields_with_stats": f"WITH {LEARNED} SELECT * FROM fields_out",
+    "page_merge_best_field": f"""WITH {PAGES}, {LINES}, {VENDOR}, {DATE}, {TOTAL}, {EXACT} SELECT doc_id.d AS doc_id, """
+    + ", ".join(f"first(v{c} ORDER BY c{c} DESC, doc_id.p) AS {f}, round(max(c{c}), 6) AS {f}_confidence" for f, c in zip(C.FIELDS, "vdt", strict=True)) + " FROM x_conf GROUP BY 1",
+    "suspicious_regions": f"WITH {FIELDS}, {FIELD_LINES}, {WORD_OFFERS}, {REGIONS} SELECT * FROM regions_out",
+    "field_overlays": f"""WITH {FIELDS}, {FIELD_LINES}, {WORD_OFFERS}, {REGIONS},
+       shown AS (SELECT b.doc_id, 'field' AS kind, field || ': ' || CASE field WHEN 'vendor' THEN f.vendor WHEN 'date' THEN f.date ELSE f.total END AS label, 0 AS "left", CAST(top AS INT) AS top, CAST("right" AS INT) AS "right", CAST(bottom AS INT) AS bottom, 0 AS page FROM boxes b JOIN fields_out f USING (doc_id))
+       SELECT * FROM shown UNION ALL SELECT doc_id, 'suspicious', 'suspicious', "left", top, "right", bottom, page FROM regions_out""",
+    "feature_vector": f"WITH {SCORED}, {EXACT}, {FIELD_LINES}, {WORD_OFFERS}, {WORD_SLOTS}, {RECEIPT_TEXT} SELECT c.doc_id, 53 AS slots, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {c}" for c, e in WORD_COLUMNS.items())
+    + " FROM c_out c JOIN x_conf e USING (doc_id) JOIN seen s USING (doc_id) JOIN text_out x USING (doc_id) LEFT JOIN clash k USING (doc_id)",
+    "analyze_documents": f"""WITH {SCORED}, {FIELD_LINES}, {WORD_OFFERS}, {WORD_SLOTS}, {REGIONS}, counted AS (SELECT doc_id, count(*) AS n FROM regions_out GROUP BY doc_id),
+       judged AS (SELECT h.*, s.ocr_low_conf_ratio > {_d(0.35)} AS rw, CASE WHEN r1 THEN {_d(0.25)} ELSE {_d(0.0)} END + CASE WHEN s.ocr_low_conf_ratio > {_d(0.35)} THEN {_d(0.15)} ELSE {_d(0.0)} END + CASE WHEN r2 THEN {_d(0.1)} ELSE {_d(0.0)} END + CASE WHEN r3 THEN {_d(0.1)} ELSE {_d(0.0)} END AS total_score FROM h_out h JOIN seen s USING (doc_id))
+       SELECT doc_id, vendor, date, total, round(total_score, 6) AS score, CAST(total_score >= {_d(0.45)} AS INT) AS is_forged, concat_ws('; ', CASE WHEN r1 THEN {_q(C.REASONS[2])} END, CASE WHEN rw THEN {_q(C.REASONS[3])} END, CASE WHEN r2 THEN {_q(C.REASONS[4])} END, CASE WHEN r3 THEN {_q(C.REASONS[5])} END) AS reasons,
+       CAST(coalesce(n, 0) AS INT) AS n_regions FROM judged LEFT JOIN counted USING (doc_id)""",
+    "nlg_summary": f"""WITH {SCORED}, {SENTENCES} SELECT doc_id, CASE WHEN forged THEN {_pick(C.SUSPICIOUS_OPENERS, "variant")} || ' and ' || sure || ' alteration.' ELSE {_pick(C.GENUINE_OPENERS, "variant")} || ', although the available signals ' || sure || ' localized review.' END
+       || ' ' || {_pick(C.LEADS, "n + CAST(round_even(score * 10, 0) AS INT) + 4")} || ' ' || CASE WHEN n = 1 THEN said[1] ELSE array_to_string(said[1:n - 1], ', ') || ', and ' || said[n] END || '. '
+       || CASE WHEN forged AND len(flagged) > 0 THEN {_q(C.CLOSINGS[0])} WHEN len(missing) > 0 THEN {_q(C.CLOSINGS[1])} WHEN forged THEN {_q(C.CLOSINGS[2])} ELSE {_q(C.CLOSINGS[3])} END AS summary FROM n_parts""",
+    "prompt_text": f"WITH {SCORED}, {EXACT} SELECT doc_id, concat_ws({NL}, {', '.join(PROMPT_LINES)}) AS prompt FROM h_out JOIN x_conf USING (doc_id)",
+}

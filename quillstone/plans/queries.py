@@ -203,7 +203,8 @@ def predict_without_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _feature_rows(spark, sf_dir, with_words=True)
-    return rows.select("doc_id", F.size("vector").alias("slots"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    names = [*C.IMAGE_FEATURES, *C.ELA_FEATURES, *["text_line_count" if c == "line_count" else c for c in C.TEXT_FEATURES], *C.CONSISTENCY_FEATURES, *C.EXTRA_FEATURES, *C.LOCAL_FEATURES, "amount"]
+    return rows.select("doc_id", F.size("vector").alias("slots"), *[F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate(names)])
 
 
 def suspicious_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +401,7 @@ def field_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes over the first page of all receipts: fields and suspicious regions."""
     r = receipts(spark, sf_dir)
     fields = extract.extract_from_text(r)
-    return review.overlays(fields, anomaly.suspicious_regions(layout.words_of_text(r), fields), 0)
+    return review.overlays(fields, anomaly.suspicious_regions(layout.words_of_text(r), fields), 0).select("doc_id", "kind", "label", "box.*")
 
 
 QUERIES = {
