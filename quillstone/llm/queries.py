@@ -76,7 +76,16 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix)}
+def op11_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.erasure import erase_masters, read_back
+
+    folder = f"{shared_dir(spark)}/erasure-{uuid.uuid4().hex}"
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("clients", "clicks", "sales", "sale_lines")]
+    files = read_back(erase_masters(spark, *tables, folder), {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"})
+    return files.select("file_no", "n_rows", "n_erased", "cents", "rewritten", "table_name", "ids_sha256", "columns", "path")
+
+
+QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix, op11_cascading_erasure)}
 
 ORACLES = {
     "op9_exact_dedup": """
