@@ -85,9 +85,35 @@ def op11_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_no", "n_rows", "n_erased", "cents", "rewritten", "table_name", "ids_sha256", "columns", "path")
 
 
-QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix, op11_cascading_erasure)}
+def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix, op11_cascading_erasure, op12_pivot_phrases)}
 
 ORACLES = {
+    "op12_pivot_phrases": r"""
+        WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+        ws AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i:i + k - 1], 'string_agg', ' '))) AS gram FROM ws, range(1, 5) AS ks(k)),
+        counted AS (SELECT lang, k, gram, count(*) AS f FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+        frequent AS (SELECT *, string_split(gram, ' ') AS w FROM counted WHERE f >= 30),
+        cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM frequent WHERE k > 1),
+        halves AS (SELECT *, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail FROM cuts),
+        scored AS (SELECT h.lang, h.gram, h.k, h.w, h.f AS a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * h.f) // (l.f + r.f))::BIGINT AS score
+                   FROM halves h JOIN frequent l ON l.lang = h.lang AND l.gram = h.head JOIN frequent r ON r.lang = h.lang AND r.gram = h.tail),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+        spans AS (SELECT lang, k, f, w, unnest(range(2, k)) AS s FROM frequent WHERE k > 2),
+        inner_spans AS (SELECT lang, f, s, w, unnest(range(1, k - s + 2)) AS i FROM spans),
+        around AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS gram, max(f) AS longer FROM inner_spans GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN around o USING (lang, gram) WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank, gram AS phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
