@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import documents, shared_dir, tokenizer_path
+from quillstone.llm.common import cut, documents, shared_dir, tokenizer_path
 
 
 def op1_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,16 @@ def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix, op11_cascading_erasure, op12_pivot_phrases)}
+def op13_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.chat import read_windows, windows
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_windows(cut(windows(turns, tokenizer_path("byte_bpe_50k.json")), "windows"))
+
+
+QUERIES = {f.__name__: f for f in (op1_plane_files, op2_densified_oph, op3_two_pass_shuffle, op4_importance_resampling, op5_run_length_repeats, op6_speculative_bpe, op7_grouped_prefix_join, op8_viterbi_counts, op9_exact_dedup, op10_subset_sum_mix, op11_cascading_erasure, op12_pivot_phrases, op13_budgeted_windows)}
 
 ORACLES = {
     "op12_pivot_phrases": r"""
