@@ -27,7 +27,7 @@ LONGEST = 4
 WORDS, PAIRS, SLICES = 1 << 20, 1 << 23, 16
 #: Bytes of text that are cut into words at once, bytes of a batch, and words that a task knows at once.
 STRETCH, BATCH, KNOWN = 4 << 20, 6 << 20, 1_000_000
-#: A pivot with more occurrences is dealt to several tasks, by fragment.
+#: A pivot with more occurrences than this is dealt to several tasks, by fragment.
 PART = 1 << 17
 
 _END = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -170,7 +170,7 @@ def rarity(vocabulary: Vocabulary, levels: np.ndarray) -> tuple[np.ndarray, np.n
     return rank, level
 
 
-def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: np.ndarray, least: int) -> pa.RecordBatch | None:
+def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: np.ndarray, least: int, most: int = PART) -> pa.RecordBatch | None:
     """pivot, part, parts, at (words before the pivot), words, n: each word alone with its count, then fragments of two or more words."""
     rank, level = rarity(vocabulary, levels)
     h = vocabulary.hashes
@@ -207,7 +207,7 @@ def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bi
     if not len(alone):
         return None
     names = pa.array(vocabulary.words, pa.binary())
-    parts = 1 + (counted(level[np.concatenate((alone, columns[3]))]) // PART).astype(np.int64)
+    parts = 1 + (counted(level[np.concatenate((alone, columns[3]))]) // most).astype(np.int64)
     part = np.concatenate((np.zeros(len(alone), np.int64), (mixed >> np.uint64(20)).astype(np.int64))) % parts
     texts = pc.binary_join_element_wise(*[names.take(pa.array(c, mask=c == 0)) for c in columns], b" ", null_handling="skip")
     single = names.take(pa.array(alone))
@@ -218,7 +218,7 @@ def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bi
     })
 
 
-def fragments(texts: DataFrame, levels: np.ndarray, bits: np.ndarray, least: int) -> DataFrame:
+def fragments(texts: DataFrame, levels: np.ndarray, bits: np.ndarray, least: int, most: int = PART) -> DataFrame:
     """lang, pivot, part, parts, at, words, n of all texts; with an empty pivot the number of all words of a language."""
     schema = "lang string, pivot binary, part int, parts int, at int, words binary, n long"
 
@@ -228,7 +228,7 @@ def fragments(texts: DataFrame, levels: np.ndarray, bits: np.ndarray, least: int
             vocabulary = vocabulary_of(known, lang)
             ids = vocabulary.ids(some)
             out = [pa.RecordBatch.from_pydict({"pivot": pa.array([b""]), "part": pa.array([0], pa.int32()), "parts": pa.array([1], pa.int32()), "at": pa.array([0], pa.int32()), "words": pa.array([b""]), "n": [int((ids > 0).sum())]})]
-            if (made := fragments_of(vocabulary, ids, levels, bits, least)) is not None:
+            if (made := fragments_of(vocabulary, ids, levels, bits, least, most)) is not None:
                 out.append(made)
             for batch in out:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * batch.num_rows, pa.string()), *batch.columns], names=["lang", *batch.schema.names])
@@ -274,25 +274,25 @@ def _grams(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": list(lang), "gram": pa.array(gram, pa.binary()), "f": list(f), "parts": pa.array(parts, pa.int32())})
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30) -> DataFrame:
-    """lang, gram (space-joined string), f: every phrase of 1 to 4 words that occurs at least `least` times; with an empty gram the number of all words."""
+def frequent_phrases(docs: DataFrame, least: int = 30, most: int = PART) -> DataFrame:
+    """lang, gram (space-joined string), f: every phrase of 1 to 4 words that occurs at least `least` times; with an empty gram the number of all words. most: see PART."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     levels, bits = counters(texts, least)
-    found = fragments(texts, levels, bits, least).repartition(partitions(docs.sparkSession), "lang", "pivot", "part")
+    found = fragments(texts, levels, bits, least, most).repartition(partitions(docs.sparkSession), "lang", "pivot", "part")
     mined = found.sortWithinPartitions("lang", "pivot", "part").mapInArrow(mine, "lang string, gram binary, f long, parts int")
     # A pivot that is whole in one task has its counts; only those in parts still have to be added up.
     mined = mined.filter((F.col("f") >= least) | (F.col("parts") > 1) | (F.length("gram") == 0))
     return mined.groupBy("lang", F.col("gram").cast("string").alias("gram")).agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("gram") == ""))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, most: int = PART) -> DataFrame:
     """The best `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     ASCII letters are lower-cased, pieces end at . , ; : ! ? and line ends, words at spaces and tabs; null texts are empty, a null lang is 'und'. Phrases of 2
     to 4 words with count a >= least are scored floor(2000000 a / (l + r)) at their worst cut (ties: the first) and dropped when a longer phrase that holds them has
     at least `inside` per cent of their count. Order: score, a, then the phrase by bytes. An empty table gives no rows.
     """
-    grams = cut(frequent_phrases(docs, least), "phrases")
+    grams = cut(frequent_phrases(docs, least, most), "phrases")
     whole = grams.select("lang", "gram", "f")
     words = F.split("gram", " ", -1)
     found = grams.filter("gram != ''").withColumn("words", words).withColumn("k", F.size("words")).filter("k > 1")
