@@ -1,7 +1,8 @@
 """Image forensics: statistics of gray levels, edges, noise and blocks, and error levels of JPEG recompression.
 
-Images come as Spark's image structs (BGR bytes). Pixels are worked on in Arrow batches with numpy, once per page: the features and the
-hot blocks come from the same error-level map. Small rasters that are rows of pixels already have their statistics in DataFrame functions.
+Images come as Spark's image structs (BGR bytes). Pixels are worked on in batches with numpy, once per page: features, hot blocks and the error
+levels around fields come from one error-level map and its summed-area table. Gray rasters that are rows of pixels have the same features, error levels,
+and their skew, in DataFrame functions.
 
 The recompression is emulated: YCbCr, colours halved both ways, 8 by 8 cosine transform, the standard tables at the given
 quality. It isn't bit for bit what a codec gives.
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone import config as C
+from quillstone.functions.text import let
+from quillstone.operators.layout import expand_box
 
 # The standard quantisation tables of JPEG for brightness and colour.
 LUMA = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
@@ -37,9 +40,9 @@ def _through_blocks(plane: np.ndarray, q: np.ndarray) -> np.ndarray:
     h, w = plane.shape
     full = np.pad(plane - 128, ((0, -h % 8), (0, -w % 8)), "edge")
     blocks = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).transpose(0, 2, 1, 3)
-    kept = np.rint(COSINE @ blocks @ COSINE.T / q) * q
+    kept = np.rint(np.round(COSINE @ blocks @ COSINE.T, 6) / q) * q
     back = (COSINE.T @ kept @ COSINE).transpose(0, 2, 1, 3).reshape(full.shape)
-    return np.clip(np.rint(back[:h, :w] + 128), 0, 255)
+    return np.clip(np.rint(np.round(back[:h, :w], 6) + 128), 0, 255)
 
 
 def recompress(rgb: np.ndarray, quality: int = C.DEFAULT.jpeg_quality) -> np.ndarray:
@@ -86,7 +89,7 @@ def blur(gray: np.ndarray, radius: float = 2.0) -> np.ndarray:
     for axis in (0, 1):
         padded = np.pad(out, [(reach, reach) if i == axis else (0, 0) for i in (0, 1)], "edge")
         out = sum(k * np.take(padded, range(i, i + gray.shape[axis]), axis) for i, k in enumerate(kernel))
-    return np.rint(out)
+    return np.rint(np.round(out, 6))
 
 
 def base_features(rgb: np.ndarray) -> dict[str, float]:
@@ -104,20 +107,58 @@ def base_features(rgb: np.ndarray) -> dict[str, float]:
     return dict(zip(C.IMAGE_FEATURES, map(float, values), strict=True))
 
 
-def ela_features(ela: np.ndarray) -> dict[str, float]:
-    means = [t.mean() for _, _, t in tiles(ela, max(16, min(ela.shape) // 10))]
-    return dict(zip(C.ELA_FEATURES, map(float, (ela.mean(), ela.std(), ela.max(), (ela >= 25).mean(), np.std(means))), strict=True))
+def summed(a: np.ndarray) -> np.ndarray:
+    """The summed-area table: the sum of any rectangle is four look-ups in it."""
+    return np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
 
 
-def hot_blocks(ela: np.ndarray, page: int) -> list[dict]:
-    h, w = ela.shape
-    size = max(24, min(h, w) // 10)
+def area_mean(table: np.ndarray, left: int, top: int, right: int, bottom: int) -> float | None:
+    """The mean over the part of a rectangle that lies in the image; None if there is none."""
+    h, w = table.shape[0] - 1, table.shape[1] - 1
+    top, bottom, left, right = min(max(top, 0), h), min(bottom, h), min(max(left, 0), w), min(right, w)
+    if bottom <= top or right <= left:
+        return None
+    return float((table[bottom, right] - table[top, right] - table[bottom, left] + table[top, left]) / ((bottom - top) * (right - left)))
+
+
+def block_means(table: np.ndarray, size: int) -> list[tuple[int, int, float]]:
+    return [(y, x, area_mean(table, x, y, x + size, y + size)) for y in range(0, table.shape[0] - 1, size) for x in range(0, table.shape[1] - 1, size)]
+
+
+def ela_features(ela: np.ndarray, table: np.ndarray | None = None) -> dict[str, float]:
+    means = [m for _, _, m in block_means(summed(ela) if table is None else table, max(16, min(ela.shape) // 10))]
+    return dict(zip(C.ELA_FEATURES, map(float, (ela.mean(), ela.std(), ela.max(), (ela >= HIGH).mean(), np.std(means))), strict=True))
+
+
+#: Error levels from which a pixel counts as high, and from which a block or a field is hot.
+HIGH, HOT = 25, 18.0
+
+
+def hot_size(width: int, height: int) -> int:
+    return max(24, min(height, width) // 10)
+
+
+def hot_blocks(table: np.ndarray, page: int) -> list[dict]:
+    h, w = table.shape[0] - 1, table.shape[1] - 1
+    size = hot_size(w, h)
     return [
-        {"ela": float(t.mean()), "box": {"left": x, "top": y, "right": min(x + size, w), "bottom": min(y + size, h), "page": page}}
-        for y, x, t in tiles(ela, size) if t.mean() >= 18
+        {"ela": m, "box": {"left": x, "top": y, "right": min(x + size, w), "bottom": min(y + size, h), "page": page}}
+        for y, x, m in block_means(table, size) if m >= HOT
     ]
 
 
+def local_levels(table: np.ndarray, boxes: list[dict]) -> list[dict]:
+    """Of each box (field, box) of a page the room around it, within the page, and the mean error level there (null without a pixel)."""
+    h, w = table.shape[0] - 1, table.shape[1] - 1
+    out = []
+    for x in boxes:
+        b = x["box"]
+        dx, dy = max(6, round((b["right"] - b["left"]) * 0.15)), max(6, round((b["bottom"] - b["top"]) * 0.2))
+        room = {"left": max(0, b["left"] - dx), "top": max(0, b["top"] - dy), "right": min(w, b["right"] + dx), "bottom": min(h, b["bottom"] + dy), "page": b["page"]}
+        out.append({"field": x["field"], "local_ela": area_mean(table, room["left"], room["top"], room["right"], room["bottom"]), "room": room})
+    return out
+
+
 def rgb_of(image: dict) -> np.ndarray | None:
     """Spark's image struct as an array, red first; None if it can't be decoded."""
     h, w, n = image["height"], image["width"], image["nChannels"]
@@ -127,53 +168,68 @@ def rgb_of(image: dict) -> np.ndarray | None:
     return (a.repeat(3, 2) if n == 1 else a[..., 2::-1]).astype(float)
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_index, image) to doc_id, page_index, width, height, the 20 features and blocks (hot blocks of the error-level map).
+BOX = "struct<left:int,top:int,right:int,bottom:int,page:int>"
+BLOCKS = f"array<struct<ela:double,box:{BOX}>>"
+PATCHES = f"array<struct<field:string,local_ela:double,room:{BOX}>>"
 
-    A page that can't be decoded has zeros and no blocks.
+
+def boxes_of(fields: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, boxes: the fields' boxes (field, box) by the page that they lie on, held within the pages of their document."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.box").cast(BOX).alias("box")) for f in C.FIELDS]))
+    counted = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
+    rows = fields.select("doc_id", each.alias("x")).filter("x.box is not null").join(counted, "doc_id")
+    at = F.greatest(F.lit(0), F.least(F.col("x.box.page"), F.col("n_pages") - 1))
+    return rows.groupBy("doc_id", at.alias("page_index")).agg(F.collect_list("x").alias("boxes"))
+
+
+def page_features(pages: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """pages (doc_id, page_index, image) to doc_id, page_index, width, height, the 20 features, blocks (hot blocks of the error-level map) and patches.
+
+    fields: doc_id and field structs; patches are then the error levels around the boxes that lie on the page (see local_levels). Boxes
+    come to the pages, so pixels are decoded once and move in one join at most. A page that can't be decoded has zeros, no blocks and no patches.
     """
     names = (*C.IMAGE_FEATURES, *C.ELA_FEATURES)
-    blocks = "array<struct<ela:double,box:struct<left:int,top:int,right:int,bottom:int,page:int>>>"
     kind = dict(pages.dtypes)["doc_id"]
+    rows = pages.select("doc_id", "page_index", "image")
+    rows = rows.withColumn("boxes", F.lit(None).cast(f"array<struct<field:string,box:{BOX}>>")) if fields is None else rows.join(boxes_of(fields, pages), ["doc_id", "page_index"], "left")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for d, p, image in zip(batch.doc_id, batch.page_index, batch.image, strict=True):
+            out = []
+            for d, p, image, boxes in zip(batch.doc_id, batch.page_index, batch.image, batch.boxes, strict=True):
                 rgb = rgb_of(image)
-                row = {"doc_id": d, "page_index": p, "width": max(image["width"], 0), "height": max(image["height"], 0), "blocks": []} | dict.fromkeys(names, 0.0)
+                row = {"doc_id": d, "page_index": p, "width": max(image["width"], 0), "height": max(image["height"], 0), "blocks": [], "patches": []} | dict.fromkeys(names, 0.0)
                 if rgb is not None:
                     ela = error_levels(rgb)
-                    row |= base_features(rgb) | ela_features(ela) | {"blocks": hot_blocks(ela, int(p))}
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["doc_id", "page_index", "width", "height", *names, "blocks"])
+                    table = summed(ela)
+                    row |= base_features(rgb) | ela_features(ela, table) | {"blocks": hot_blocks(table, int(p)), "patches": local_levels(table, [] if boxes is None else boxes)}
+                out.append(row)
+            yield pd.DataFrame(out, columns=["doc_id", "page_index", "width", "height", *names, "blocks", "patches"])
 
-    schema = f"doc_id {kind}, page_index int, width int, height int, {', '.join(f'{n} double' for n in names)}, blocks {blocks}"
-    return pages.select("doc_id", "page_index", "image").mapInPandas(work, schema)
+    schema = f"doc_id {kind}, page_index int, width int, height int, {', '.join(f'{n} double' for n in names)}, blocks {BLOCKS}, patches {PATCHES}"
+    return rows.mapInPandas(work, schema)
 
 
 def document_features(pages: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Page features by document: the mean, but the largest ela_max and ela_high_ratio."""
+    """Page features by document: the mean, but the largest ela_max and ela_high_ratio; with patches, field_ela_<field> too."""
     most = ("ela_max", "ela_high_ratio")
     have = [c for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES) if c in pages.columns]
-    return pages.groupBy(by).agg(*[(F.max if c in most else F.avg)(c).alias(c) for c in have])
+    level = lambda f: F.get(F.filter("patches", lambda x: x["field"] == f), F.lit(0))["local_ela"]
+    local = [F.coalesce(F.max(level(f)), F.lit(0.0)).alias(f"field_ela_{f}") for f in C.FIELDS] if "patches" in pages.columns else []
+    return pages.groupBy(by).agg(*[(F.max if c in most else F.avg)(c).alias(c) for c in have], *local)
 
 
-def field_patches(pages: DataFrame, fields: DataFrame) -> DataFrame:
-    """Mean error level in the room around each field's box: doc_id, field, local_ela. fields: doc_id, field, page_index, room (box)."""
-    both = pages.join(fields, ["doc_id", "page_index"])
-    kind = dict(pages.dtypes)["doc_id"]
+def document_blocks(pages: DataFrame) -> DataFrame:
+    """doc_id, ela, box: what suspicious_regions takes as blocks."""
+    return pages.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+
+
+def document_patches(pages: DataFrame) -> DataFrame:
+    """doc_id, field, local_ela, room: what suspicious_regions takes as patches."""
+    return pages.select("doc_id", F.explode("patches").alias("p")).select("doc_id", "p.*")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for d, field, room, image in zip(batch.doc_id, batch.field, batch.room, batch.image, strict=True):
-                rgb = rgb_of(image)
-                patch = error_levels(rgb)[max(room["top"], 0) : room["bottom"], max(room["left"], 0) : room["right"]] if rgb is not None else np.zeros(0)
-                rows.append((d, field, float(patch.mean()) if patch.size else 0.0))
-            yield pd.DataFrame(rows, columns=["doc_id", "field", "local_ela"])
 
-    return both.select("doc_id", "field", "room", "image").mapInPandas(work, f"doc_id {kind}, field string, local_ela double")
+# Gray rasters as rows of pixels: by, y, x, v
 
 
 def raster_stats(pixels: DataFrame, by: str = "vec_id") -> DataFrame:
@@ -196,10 +252,158 @@ def raster_blocks(pixels: DataFrame, size: int, by: str = "vec_id") -> DataFrame
     return b.groupBy(by).agg(F.avg("s").alias("block_var_mean"), F.stddev_pop("s").alias("block_var_std"))
 
 
-def raster_ela(pixels: DataFrame, step: float = 16.0, by: str = "vec_id") -> DataFrame:
-    """Error levels of plain quantisation of gray levels: mean, deviation, largest, and the share of 25 % of the step or more."""
-    e = F.abs(F.col("v") - F.rint(F.col("v") / step) * step)
-    return pixels.withColumn("e", e).groupBy(by).agg(F.avg("e").alias("ela_mean"), F.stddev_pop("e").alias("ela_std"), F.max("e").alias("ela_max"), F.avg((F.col("e") >= step / 4).cast("double")).alias("ela_high_ratio"))
+def _extent(pixels: DataFrame, by: str) -> DataFrame:
+    return pixels.groupBy(by).agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"))
+
+
+def _matrix(m: np.ndarray):
+    return F.array(*[F.array(*map(F.lit, row.tolist())) for row in m])
+
+
+def _product(a, b):
+    """The product of two matrices as arrays of rows; b is given by its columns. Values are bound before they are used in lambdas, else each use would work them out again."""
+    times = lambda row, col: F.aggregate(F.zip_with(row, col, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return let(b, lambda columns: F.transform(a, lambda row: F.transform(columns, lambda col: times(row, col))))
+
+
+def _turned(m):
+    """A matrix of eight columns by its columns."""
+    return let(m, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.transform(rows, lambda row: F.get(row, j))))
+
+
+def raster_levels(pixels: DataFrame, quality: int = C.DEFAULT.jpeg_quality, by: str = "vec_id") -> DataFrame:
+    """pixels with e, their error level: how far a JPEG round trip at that quality moves a gray value.
+
+    Pixels meet in blocks of 8 by 8, whose missing rows and columns repeat the last ones; a block goes through the cosine transform, the standard table and back as
+    two products of small matrices. One shuffle deals the blocks.
+    """
+    up = lambda at, n: F.when(F.col(at) == F.col(n) - 1, F.sequence(F.col(at).cast("int"), (F.ceil(F.col(n) / 8) * 8 - 1).cast("int"))).otherwise(F.array(F.col(at).cast("int")))
+    full = pixels.select(by, "y", "x", "v").join(_extent(pixels, by), by).withColumn("fy", F.explode(up("y", "h"))).withColumn("fx", F.explode(up("x", "w")))
+    blocks = full.groupBy(by, "h", "w", F.floor(F.col("fy") / 8).cast("int").alias("by_"), F.floor(F.col("fx") / 8).cast("int").alias("bx_")).agg(F.sort_array(F.collect_list(F.struct("fy", "fx", "v"))).alias("p"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("p", i * 8 + 1, 8), lambda q: q["v"].cast("double") - 128.0))
+    q = _matrix(quantisation(LUMA, quality))
+    there = _product(_product(_matrix(COSINE), _turned(rows)), _matrix(COSINE))
+    kept = F.zip_with(there, q, lambda a, b: F.zip_with(a, b, lambda x, y: F.rint(F.round(x, 6) / y) * y))
+    back = _product(_product(_matrix(COSINE.T), _turned(kept)), _matrix(COSINE.T))
+    cells = blocks.withColumn("m", back).select(by, "h", "w", "by_", "bx_", F.posexplode("p").alias("i", "q"), "m")
+    value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(F.round(F.get(F.get("m", F.floor(F.col("i") / 8).cast("int")), F.col("i") % 8), 6) + 128.0)))
+    inside = cells.filter("q.fy < h and q.fx < w")
+    return inside.select(by, F.col("q.fy").alias("y"), F.col("q.fx").alias("x"), F.col("q.v").alias("v"), F.abs(F.col("q.v") - value).alias("e"))
+
+
+def raster_ela(pixels: DataFrame, quality: int = C.DEFAULT.jpeg_quality, by: str = "vec_id") -> DataFrame:
+    """The five error-level features of each raster."""
+    levels = raster_levels(pixels, quality, by)
+    sized = levels.join(_extent(pixels, by), by).withColumn("s", F.greatest(F.lit(16), F.floor(F.least("h", "w") / 10)))
+    tiles_ = sized.groupBy(by, F.floor(F.col("y") / F.col("s")).alias("ty"), F.floor(F.col("x") / F.col("s")).alias("tx")).agg(
+        F.count("*").alias("n"), F.sum("e").alias("s1"), F.sum(F.col("e") * F.col("e")).alias("s2"), F.max("e").alias("most"), F.sum((F.col("e") >= HIGH).cast("long")).alias("high")
+    )
+    n, mean = F.sum("n"), F.sum("s1") / F.sum("n")
+    # Error levels are whole numbers, so these sums are exact.
+    return tiles_.groupBy(by).agg(
+        mean.alias("ela_mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum("s2") / n - mean * mean)).alias("ela_std"), F.max("most").alias("ela_max"), (F.sum("high") / n).alias("ela_high_ratio"),
+        F.stddev_pop(F.col("s1") / F.col("n")).alias("ela_block_std"),
+    )
+
+
+def raster_stencils(pixels: DataFrame, by: str = "vec_id", radius: float = 2.0) -> DataFrame:
+    """edge_mean, edge_std, noise_std, noise_mean: a 3 by 3 stencil and a separable Gaussian over window frames of rows and columns, borders as in edges() and blur()."""
+    reach = int(3 * radius)
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * radius**2))
+    kernel = (kernel / kernel.sum()).tolist()
+    row, column = Window.partitionBy(by, "y").orderBy("x"), Window.partitionBy(by, "x").orderBy("y")
+
+    def whole(w):
+        return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def smooth(c: str, w):
+        first, last = F.first(c).over(whole(w)), F.last(c).over(whole(w))
+        terms = [F.lit(k) * (F.coalesce(F.lag(c, -d).over(w), first) if d < 0 else F.coalesce(F.lead(c, d).over(w), last) if d > 0 else F.col(c)) for d, k in zip(range(-reach, reach + 1), kernel, strict=True)]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        return total
+
+    near = lambda w: w.rowsBetween(-1, 1)
+    p = pixels.select(by, "y", "x", F.col("v").cast("double").alias("v"))
+    p = p.withColumns({"s": F.sum("v").over(near(column)), "g": smooth("v", column), "ny": F.count("*").over(near(column))})
+    p = p.withColumns({"s": F.sum("s").over(near(row)), "g": smooth("g", row), "nx": F.count("*").over(near(row))})
+    edge = F.when((F.col("ny") == 3) & (F.col("nx") == 3), F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * 9 - F.col("s")))).otherwise(F.col("v"))
+    p = p.select(by, edge.alias("edge"), (F.col("v") - F.rint(F.round("g", 6))).alias("noise"))
+    return p.groupBy(by).agg(F.avg("edge").alias("edge_mean"), F.stddev_pop("edge").alias("edge_std"), F.stddev_pop("noise").alias("noise_std"), F.avg(F.abs("noise")).alias("noise_mean"))
+
+
+#: The angles that are tried, in degrees.
+ANGLES = (-3.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0, 3.0)
+
+
+def raster_skew(pixels: DataFrame, by: str = "vec_id", above: int = 180) -> DataFrame:
+    """by, angle, score: of the nine angles the first whose rotation (as rotate(), of the image in black and white) has the highest variance of row sums.
+
+    Only pixels change places: each pixel of the turned image names its source, so the sums by turned row are a join on places and an aggregate.
+    """
+    size = _extent(pixels, by)
+    black = pixels.select(by, F.col("y").alias("sy"), F.col("x").alias("sx"), F.when(F.col("v") > above, 255).otherwise(0).alias("b"))
+    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(float(np.cos(np.deg2rad(a)))).alias("c"), F.lit(float(np.sin(np.deg2rad(a)))).alias("s")) for i, a in enumerate(ANGLES)]))
+    cy, cx = (F.col("h") - 1) / 2, (F.col("w") - 1) / 2
+    y, x = F.col("y") - cy, F.col("x") - cx
+    places = pixels.select(by, "y", "x").join(size, by).withColumn("t", turns)
+    places = places.select(
+        by, "h", "y", "t.turn", F.rint(F.round(F.col("t.c") * y + F.col("t.s") * x + cy, 9)).cast("int").alias("sy"), F.rint(F.round(F.col("t.c") * x - F.col("t.s") * y + cx, 9)).cast("int").alias("sx"),
+    )
+    sums = places.join(black, [by, "sy", "sx"], "left").groupBy(by, "turn", "y").agg(F.sum(F.coalesce("b", F.lit(255))).alias("line"))
+    n = F.count("*")
+    score = (n * F.sum(F.col("line") * F.col("line")) - F.sum("line") * F.sum("line")) / (n * n)  # whole numbers: exact
+    best = sums.groupBy(by, "turn").agg(score.alias("score")).groupBy(by).agg(F.max(F.struct("score", (-F.col("turn")).alias("at"))).alias("m"))
+    return best.select(by, F.element_at(F.array(*map(F.lit, ANGLES)), F.lit(1) - F.col("m.at")).alias("angle"), F.col("m.score").alias("score"))
+
+
+def raster_features(pixels: DataFrame, quality: int = C.DEFAULT.jpeg_quality, by: str = "vec_id") -> DataFrame:
+    """The 20 features of each gray raster, as base_features and ela_features have them."""
+    size = _extent(pixels, by)
+    sized = pixels.join(size, by).withColumn("s", F.greatest(F.lit(16), F.floor(F.least("h", "w") / 8)))
+    spread = sized.groupBy(by, F.floor(F.col("y") / F.col("s")).alias("ty"), F.floor(F.col("x") / F.col("s")).alias("tx")).agg(F.var_pop("v").alias("s"))
+    spread = spread.groupBy(by).agg(F.avg("s").alias("block_var_mean"), F.stddev_pop("s").alias("block_var_std"))
+    shape = size.select(by, (F.col("w") / F.col("h")).alias("aspect_ratio"), (F.col("w") * F.col("h")).cast("double").alias("total_pixels"))
+    out = raster_stats(pixels, by)
+    for part in (raster_stencils(pixels, by), raster_entropy(pixels, by), spread, shape, raster_ela(pixels, quality, by)):
+        out = out.join(part, by)
+    return out.select(by, *C.IMAGE_FEATURES, *C.ELA_FEATURES)
+
+
+def raster_pages(pages: DataFrame, pixels: DataFrame, fields: DataFrame, cell: int, quality: int, by: str = "vec_id") -> DataFrame:
+    """What page_features gives, for pages (doc_id, page_index, by) that are rasters: each pixel is a square of `cell` by `cell` units of the page.
+
+    Features are those of the raster. Blocks are of hot_size() units, which `cell` must divide, and patches take pixels by the area that they share with a field's room. A raster's levels are computed once, however
+    many pages show it.
+    """
+    levels, size = raster_levels(pixels, quality, by), _extent(pixels, by)
+    unit = F.greatest(F.lit(24), F.floor(F.least("h", "w") * cell / 10))
+    sized = levels.join(size, by).withColumn("b", unit).withColumn("width", F.col("w") * cell).withColumn("height", F.col("h") * cell)
+    corner = lambda c: F.floor(F.col(c) * cell / F.col("b")) * F.col("b")
+    hot = sized.groupBy(by, "b", "width", "height", corner("y").alias("top"), corner("x").alias("left")).agg(F.avg("e").alias("ela")).filter(F.col("ela") >= HOT)
+    hot = hot.groupBy(by).agg(F.collect_list(F.struct("ela", "left", "top", F.least(F.col("left") + F.col("b"), F.col("width")).alias("right"), F.least(F.col("top") + F.col("b"), F.col("height")).alias("bottom"))).alias("hot"))
+    cells = sized.groupBy(by, "width", "height").agg(F.collect_list(F.struct("y", "x", "e")).alias("cells"))
+    whole = raster_features(pixels, quality, by).join(cells, by).join(hot, by, "left")
+    rows = pages.select("doc_id", "page_index", by).join(whole, by).join(boxes_of(fields, pages), ["doc_id", "page_index"], "left")
+    box = lambda x: F.struct(*[x[c].cast("int").alias(c) for c in ("left", "top", "right", "bottom")], F.col("page_index").cast("int").alias("page"))
+    blocks = F.transform(F.coalesce("hot", F.array().cast("array<struct<ela:double,left:bigint,top:bigint,right:bigint,bottom:bigint>>")), lambda x: F.struct(x["ela"].alias("ela"), box(x).alias("box")))
+
+    def patch(x):
+        room = expand_box(x["box"], F.col("width").cast("int"), F.col("height").cast("int"))
+        span = lambda at, lo, hi: F.greatest(F.lit(0), F.least(hi, (at + 1) * cell) - F.greatest(lo, at * cell))
+        shared = lambda c, r: span(c["y"], r["top"], r["bottom"]) * span(c["x"], r["left"], r["right"])
+        return let(room, lambda r: F.struct(x["field"].alias("field"), _share(F.transform("cells", lambda c: F.struct(c["e"].alias("e"), shared(c, r).cast("double").alias("a")))).alias("local_ela"), r.alias("room")))
+
+    patches = F.transform(F.coalesce("boxes", F.array().cast(f"array<struct<field:string,box:{BOX}>>")), patch)
+    names = (*C.IMAGE_FEATURES, *C.ELA_FEATURES)
+    return rows.select("doc_id", "page_index", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), *names, blocks.cast(BLOCKS).alias("blocks"), patches.cast(PATCHES).alias("patches"))
+
+
+def _share(parts):
+    """The mean of e by the weights a; null without weight."""
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["a"])
+    return F.try_divide(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["a"] * x["e"]), total)
 
 
 def prepare_for_ocr(rgb: np.ndarray, min_width: int = C.DEFAULT.min_width) -> np.ndarray:
@@ -228,8 +432,8 @@ def rotate(gray: np.ndarray, degrees: float) -> np.ndarray:
     h, w = gray.shape
     a, (y, x) = np.deg2rad(degrees), np.mgrid[0:h, 0:w]
     y, x = y - (h - 1) / 2, x - (w - 1) / 2
-    sy = np.rint(np.cos(a) * y + np.sin(a) * x + (h - 1) / 2).astype(int)
-    sx = np.rint(np.cos(a) * x - np.sin(a) * y + (w - 1) / 2).astype(int)
+    sy = np.rint(np.round(np.cos(a) * y + np.sin(a) * x + (h - 1) / 2, 9)).astype(int)
+    sx = np.rint(np.round(np.cos(a) * x - np.sin(a) * y + (w - 1) / 2, 9)).astype(int)
     inside = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
     return np.where(inside, gray[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 255)
 
@@ -238,5 +442,4 @@ def skew_angle(gray: np.ndarray) -> float:
     """Of nine angles, the first with the highest variance of row sums of the image in black and white."""
     step = max(1, -(-max(gray.shape) // 900))
     small = np.where(gray[::step, ::step] > 180, 255.0, 0.0)
-    angles = (-3.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0, 3.0)
-    return angles[int(np.argmax([rotate(small, a).sum(1).var() for a in angles]))]
+    return ANGLES[int(np.argmax([rotate(small, a).sum(1).var() for a in ANGLES]))]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from quillstone import config as C
+from quillstone.operators.image import ANGLES, LUMA
+from quillstone.sources.views import CELL, QUALITY
+from quillstone.sources.views import PAGES as PAGE_COUNT
 
 NL = "chr(10)"
 MONEY = "DECIMAL(18,2)"
@@ -206,8 +210,48 @@ text_out AS (SELECT doc_id, lang, CASE WHEN solid THEN n ELSE 0 END AS text_leng
 
 PIXELS = """
 px AS (SELECT vec_id, label, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0, least(255, round_even(CAST(e AS DOUBLE) * 64 + 128, 0))) AS v FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
-ras AS (SELECT vec_id, avg(v) AS img_mean, stddev_pop(v) AS img_std, quantile_cont(v, 0.5) AS img_median, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM px GROUP BY vec_id),
-ela AS (SELECT vec_id, avg(e) AS ela_mean, stddev_pop(e) AS ela_std, max(e) AS ela_max, avg(CASE WHEN e >= 4 THEN 1.0 ELSE 0.0 END) AS ela_high_ratio FROM (SELECT vec_id, abs(v - round_even(v / 16, 0) * 16) AS e FROM px) GROUP BY vec_id)"""
+ras AS (SELECT vec_id, avg(v) AS img_mean, stddev_pop(v) AS img_std, quantile_cont(v, 0.5) AS img_median, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM px GROUP BY vec_id)"""
+
+
+def levels(quality: int) -> str:
+    """CTEs for lv, the pixels with the error level e of a JPEG round trip of 8 by 8 rasters, and ela, their features."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    table = ", ".join(LUMA.split())
+    return f"""
+cs AS (SELECT k, n, (CASE WHEN k = 0 THEN sqrt(CAST(0.125 AS DOUBLE)) ELSE CAST(0.5 AS DOUBLE) END) * cos((2 * n + 1) * k * pi() / 16) AS c FROM range(8) a(k), range(8) b(n)),
+qt AS (SELECT (i - 1) // 8 AS u, (i - 1) % 8 AS w, CAST(greatest(1, least(255, floor((t * {scale} + 50) / 100))) AS DOUBLE) AS q FROM (SELECT unnest([{table}]) AS t, generate_subscripts([{table}], 1) AS i)),
+f1 AS (SELECT vec_id, k AS u, x, sum(c * (v - 128)) AS s FROM px JOIN cs ON n = y GROUP BY vec_id, k, x),
+f2 AS (SELECT vec_id, u, k AS w, sum(c * s) AS s FROM f1 JOIN cs ON n = x GROUP BY vec_id, u, k),
+kq AS (SELECT vec_id, u, w, round_even(round(s, 6) / q, 0) * q AS s FROM f2 JOIN qt USING (u, w)),
+b1 AS (SELECT vec_id, n AS y, w, sum(c * s) AS s FROM kq JOIN cs ON k = u GROUP BY vec_id, n, w),
+b2 AS (SELECT vec_id, y, n AS x, sum(c * s) AS s FROM b1 JOIN cs ON k = w GROUP BY vec_id, y, n),
+lv AS (SELECT vec_id, y, x, v, abs(v - greatest(0, least(255, round_even(round(s, 6) + 128, 0)))) AS e FROM px JOIN b2 USING (vec_id, y, x)),
+ela AS (SELECT vec_id, avg(e) AS ela_mean, stddev_pop(e) AS ela_std, max(e) AS ela_max, avg(CASE WHEN e >= 25 THEN 1.0 ELSE 0.0 END) AS ela_high_ratio, CAST(0 AS DOUBLE) AS ela_block_std FROM lv GROUP BY vec_id)"""
+
+
+_kernel = [math.exp(-d * d / 8) for d in range(-6, 7)]
+STENCILS = f"""
+nb AS (SELECT a.vec_id, a.y, a.x, any_value(a.v) AS v, count(*) AS near, sum(b.v) AS s FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.y, a.x),
+kn AS (SELECT unnest([{', '.join(f"CAST({k / sum(_kernel)!r} AS DOUBLE)" for k in _kernel)}]) AS g, unnest(range(-6, 7)) AS d),
+g1 AS (SELECT a.vec_id, a.y, a.x, sum(g * b.v) AS s FROM px a, kn JOIN px b ON a.vec_id = b.vec_id AND a.x = b.x AND b.y = greatest(0, least(7, a.y + d)) GROUP BY a.vec_id, a.y, a.x),
+g2 AS (SELECT a.vec_id, a.y, a.x, sum(g * b.s) AS s FROM g1 a, kn JOIN g1 b ON a.vec_id = b.vec_id AND a.y = b.y AND b.x = greatest(0, least(7, a.x + d)) GROUP BY a.vec_id, a.y, a.x),
+noisy AS (SELECT vec_id, CASE WHEN near = 9 THEN greatest(0, least(255, 9 * v - nb.s)) ELSE v END AS edge, v - round_even(round(g2.s, 6), 0) AS noise FROM nb JOIN g2 USING (vec_id, y, x)),
+sten AS (SELECT vec_id, avg(edge) AS edge_mean, stddev_pop(edge) AS edge_std, stddev_pop(noise) AS noise_std, avg(abs(noise)) AS noise_mean FROM noisy GROUP BY vec_id)"""
+
+IMG = f"""{PIXELS}, {levels(QUALITY)}, {STENCILS},
+bits AS (SELECT vec_id, -sum(n / 64.0 * log2(n / 64.0)) AS entropy FROM (SELECT vec_id, floor(v / 4) AS b, CAST(count(*) AS DOUBLE) AS n FROM px GROUP BY ALL) GROUP BY vec_id),
+img AS (SELECT vec_id, img_mean, img_std, img_median, edge_mean, edge_std, noise_std, noise_mean, p95 - p5 AS dynamic_range, entropy, CAST(0 AS DOUBLE) AS block_var_std, img_std * img_std AS block_var_mean, CAST(1 AS DOUBLE) AS aspect_ratio,
+   CAST(64 AS DOUBLE) AS total_pixels, p5, p95, ela_mean, ela_std, ela_max, ela_high_ratio, ela_block_std FROM ras JOIN sten USING (vec_id) JOIN bits USING (vec_id) JOIN ela USING (vec_id))"""
+
+#: Rasters on the pages of receipts: the features of documents, hot cells and the error levels around fields (needs receipts and boxes).
+ON_PAGES = f"""{IMG},
+pg AS (SELECT doc_id, page_index, (doc_id * {PAGE_COUNT} + page_index) % (SELECT count(*) FROM embeddings) AS vec_id FROM receipts, range({PAGE_COUNT}) r(page_index)),
+di AS (SELECT doc_id, {', '.join(f"{'max' if c in ('ela_max', 'ela_high_ratio') else 'avg'}({c}) AS {c}" for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES))} FROM pg JOIN img USING (vec_id) GROUP BY doc_id),
+hot AS (SELECT doc_id, CAST(page_index AS INT) AS page, CAST(x * {CELL} AS INT) AS "left", CAST(y * {CELL} AS INT) AS top, CAST((x + 1) * {CELL} AS INT) AS "right", CAST((y + 1) * {CELL} AS INT) AS bottom, e AS ela FROM pg JOIN lv USING (vec_id) WHERE e >= 18),
+rooms AS (SELECT doc_id, i, field, score, 0 AS x0, et AS y0, least({8 * CELL}, er) AS x1, least({8 * CELL}, eb) AS y1 FROM boxes),
+shares AS (SELECT r.doc_id, field, e, CAST(greatest(0, least(y1, (y + 1) * {CELL}) - greatest(y0, y * {CELL})) * greatest(0, least(x1, (x + 1) * {CELL}) - greatest(x0, x * {CELL})) AS DOUBLE) AS a
+   FROM rooms r JOIN pg ON pg.doc_id = r.doc_id AND page_index = 0 JOIN lv USING (vec_id)),
+patched AS (SELECT doc_id, field, sum(a * e) / nullif(sum(a), 0) AS local_ela FROM shares GROUP BY doc_id, field)"""
 
 DOC_SCORES = f"{TEXT}, scores AS (SELECT doc_id, round(least(1.0, special_ratio * 3), 9) AS score, 1 - quality AS label FROM text_out JOIN labels USING (doc_id))"
 
@@ -262,8 +306,17 @@ ORACLES = {
     "raster_stats": f"WITH {PIXELS} SELECT vec_id, {rounded('img_mean', 'img_std', 'img_median', 'p5', 'p95')}, round(p95 - p5, 6) AS dynamic_range FROM ras",
     "raster_entropy": f"WITH {PIXELS}, b AS (SELECT vec_id, floor(v / 4) AS bin, count(*) AS n FROM px GROUP BY 1, 2) SELECT vec_id, round(-sum(n / 64.0::DOUBLE * log2(n / 64.0::DOUBLE)), 6) AS entropy FROM b GROUP BY vec_id",
     "raster_blocks": f"WITH {PIXELS}, b AS (SELECT vec_id, var_pop(v) AS s FROM px GROUP BY vec_id, y // 4, x // 4) SELECT vec_id, round(avg(s), 10) AS block_var_mean, round(stddev_pop(s), 6) AS block_var_std FROM b GROUP BY vec_id",
-    "raster_ela": f"WITH {PIXELS} SELECT vec_id, {rounded('ela_mean', 'ela_std', 'ela_max', 'ela_high_ratio')} FROM ela",
-    "page_feature_aggregate": f"WITH {PIXELS}, l AS (SELECT DISTINCT vec_id, label FROM px) SELECT label, round(avg(img_mean), 6) AS img_mean, round(avg(img_std), 6) AS img_std, round(avg(img_median), 6) AS img_median, round(avg(p95 - p5), 6) AS dynamic_range, round(avg(ela_mean), 6) AS ela_mean, round(max(ela_max), 6) AS ela_max, round(max(ela_high_ratio), 6) AS ela_high_ratio FROM ras JOIN ela USING (vec_id) JOIN l USING (vec_id) GROUP BY label",
+    "raster_ela": f"WITH {PIXELS}, {levels(QUALITY)} SELECT vec_id, {rounded(*C.ELA_FEATURES)} FROM ela",
+    "raster_error_levels": f"WITH {PIXELS}, {levels(C.DEFAULT.jpeg_quality)} SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(v AS BIGINT) AS v, CAST(e AS BIGINT) AS e FROM lv",
+    "raster_edges_noise": f"WITH {PIXELS}, {STENCILS} SELECT vec_id, {rounded('edge_mean', 'edge_std', 'noise_std', 'noise_mean')} FROM sten",
+    "raster_features": f"WITH {IMG} SELECT vec_id, {rounded(*C.IMAGE_FEATURES, *C.ELA_FEATURES)} FROM img",
+    "raster_skew": f"""WITH {PIXELS}, up AS (SELECT vec_id, y * 4 + i AS y, x * 4 + j AS x, CASE WHEN v > 180 THEN 255 ELSE 0 END AS b FROM px, range(4) a(i), range(4) d(j)),
+       an AS (SELECT unnest(range(9)) AS turn, unnest([{', '.join(f"CAST({a} AS DOUBLE)" for a in ANGLES)}]) AS deg),
+       turned AS (SELECT vec_id, turn, deg, y, round_even(round(cos(radians(deg)) * (y - 15.5) + sin(radians(deg)) * (x - 15.5) + 15.5, 9), 0) AS sy, round_even(round(cos(radians(deg)) * (x - 15.5) - sin(radians(deg)) * (y - 15.5) + 15.5, 9), 0) AS sx FROM up, an),
+       sums AS (SELECT a.vec_id, turn, deg, a.y, sum(coalesce(u.b, 255)) AS line FROM turned a LEFT JOIN up u ON u.vec_id = a.vec_id AND u.y = a.sy AND u.x = a.sx GROUP BY ALL),
+       vars AS (SELECT vec_id, turn, deg, CAST(count(*) * sum(line * line) - sum(line) * sum(line) AS DOUBLE) / (count(*) * count(*)) AS score FROM sums GROUP BY ALL)
+       SELECT vec_id, first(deg ORDER BY score DESC, turn) AS angle, round(max(score), 4) AS score FROM vars GROUP BY vec_id""",
+    "page_feature_aggregate": f"WITH {PIXELS}, {levels(QUALITY)}, l AS (SELECT DISTINCT vec_id, label FROM px) SELECT label, round(avg(img_mean), 6) AS img_mean, round(avg(img_std), 6) AS img_std, round(avg(img_median), 6) AS img_median, round(avg(p95 - p5), 6) AS dynamic_range, round(avg(ela_mean), 6) AS ela_mean, round(max(ela_max), 6) AS ela_max, round(max(ela_high_ratio), 6) AS ela_high_ratio FROM ras JOIN ela USING (vec_id) JOIN l USING (vec_id) GROUP BY label",
     "field_match_eval": f"WITH {FIELDS}, m AS (SELECT r.vendor AS tv, r.date AS td, r.total AS tt, f.* FROM receipts r JOIN fields_out f USING (doc_id)) "
     + " UNION ALL ".join(
         f"SELECT '{f}' AS field, count(*) FILTER (WHERE {f} IS NOT DISTINCT FROM {t}) AS exact, count(*) FILTER (WHERE nullif(regexp_replace(lower({f}), '[^0-9a-z]+', '', 'g'), '') IS NOT DISTINCT FROM nullif(regexp_replace(lower({t}), '[^0-9a-z]+', '', 'g'), '')) AS normalized, count(*) AS total FROM m"
@@ -339,6 +392,18 @@ apart AS (SELECT doc_id, x0, y0, x1, y1, min(spot) AS spot FROM placed WHERE spo
 regions_out AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS INT) AS place, CAST(x0 AS INT) AS "left", CAST(y0 AS INT) AS top, CAST(x1 AS INT) AS "right", CAST(y1 AS INT) AS bottom, 0 AS page FROM apart)"""
 
 
+IMAGE_REGIONS = (
+    REGIONS.replace("looks AS (\n", f"""looks AS (
+  SELECT doc_id, 1 AS source, r, "left" AS x0, top AS y0, "right" AS x1, bottom AS y1, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ela DESC, page, top, "left") AS r FROM hot) WHERE r <= 3
+  UNION ALL SELECT doc_id, 2, row_number() OVER (PARTITION BY doc_id ORDER BY greatest({_d(1.0)} - least({_d(1.0)}, score / {_d(3.0)}), coalesce(local_ela, 0) / {_d(18.0)}) DESC, i), x0, y0, x1, y1, 0
+     FROM rooms LEFT JOIN patched USING (doc_id, field) WHERE least({_d(1.0)}, score / {_d(3.0)}) < {_d(0.5)} OR coalesce(local_ela, 0) >= 18
+""")
+    .replace(REGIONS[REGIONS.index("  SELECT doc_id, 2 AS source") : REGIONS.index("  UNION ALL SELECT doc_id, 3")], "")
+    .replace('"right", bottom FROM o_diff', '"right", bottom, 0 FROM o_diff').replace("top + height FROM words", "top + height, 0 FROM words")
+    .replace("SELECT doc_id, x0, y0, x1, y1, min(spot)", "SELECT doc_id, x0, y0, x1, y1, page, min(spot)").replace("0 AS page FROM apart", "CAST(page AS INT) AS page FROM apart")
+)
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -360,9 +425,9 @@ n_parts AS (SELECT *, len(said) AS n, CASE WHEN score >= {_d(0.65)} OR len(said)
    (CAST(round_even(score * 100, 0) AS INT) + 1 + n_reasons) % 7 AS variant FROM n_said)"""
 
 WORD_COLUMNS = {
-    **{c: "0" for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES)}, **{("text_line_count" if c == "line_count" else c): f"x.{c}" for c in C.TEXT_FEATURES}, **{c: f"c.{c}" for c in C.CONSISTENCY_FEATURES},
+    **{c: f"di.{c}" for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES)}, **{("text_line_count" if c == "line_count" else c): f"x.{c}" for c in C.TEXT_FEATURES}, **{c: f"c.{c}" for c in C.CONSISTENCY_FEATURES},
     "ocr_mean_confidence": "s.ocr_mean_confidence", "ocr_low_conf_ratio": "s.ocr_low_conf_ratio", "line_count": "x.line_count", "word_count": "s.word_count", "vendor_confidence": "e.cv", "date_confidence": "e.cd", "total_confidence": "e.ct",
-    "field_presence": "c.field_presence", **{f"field_ela_{f}": "0" for f in C.FIELDS}, **{f"field_conf_{f}": f"coalesce((SELECT fc FROM near WHERE near.doc_id = c.doc_id AND field = '{f}'), 0)" for f in C.FIELDS},
+    "field_presence": "c.field_presence", **{f"field_ela_{f}": f"coalesce((SELECT local_ela FROM patched WHERE patched.doc_id = c.doc_id AND field = '{f}'), 0)" for f in C.FIELDS}, **{f"field_conf_{f}": f"coalesce((SELECT fc FROM near WHERE near.doc_id = c.doc_id AND field = '{f}'), 0)" for f in C.FIELDS},
     **{f"field_present_{f}": f"CASE WHEN c.{f} IS NULL THEN 0 ELSE 1 END" for f in C.FIELDS}, "field_conflict_count": "coalesce(k.k, 0)", "amount": "c.a",
 }
 
@@ -385,15 +450,18 @@ ORACLES |= {
     "extract_fields_with_stats": f"WITH {LEARNED} SELECT * FROM fields_out",
     "page_merge_best_field": f"""WITH {PAGES}, {LINES}, {VENDOR}, {DATE}, {TOTAL}, {EXACT} SELECT doc_id.d AS doc_id, """
     + ", ".join(f"first(v{c} ORDER BY c{c} DESC, doc_id.p) AS {f}, round(max(c{c}), 6) AS {f}_confidence" for f, c in zip(C.FIELDS, "vdt", strict=True)) + " FROM x_conf GROUP BY 1",
-    "suspicious_regions": f"WITH {FIELDS}, {FIELD_LINES}, {WORD_OFFERS}, {REGIONS} SELECT * FROM regions_out",
+    "suspicious_regions": f"WITH {FIELDS}, {FIELD_LINES}, {ON_PAGES}, {WORD_OFFERS}, {IMAGE_REGIONS} SELECT * FROM regions_out",
+    "field_error_levels": f'WITH {FIELDS}, {FIELD_LINES}, {ON_PAGES} SELECT doc_id, field, CAST(x0 AS INT) AS "left", CAST(y0 AS INT) AS top, CAST(x1 AS INT) AS "right", CAST(y1 AS INT) AS bottom, 0 AS page, round(local_ela, 6) AS local_ela FROM rooms LEFT JOIN patched USING (doc_id, field)',
+    "hot_blocks": f'WITH {RECEIPTS}, boxes AS (SELECT 0 AS doc_id, 0 AS i, \'\' AS field, 0 AS score, 0 AS et, 0 AS er, 0 AS eb), {ON_PAGES} SELECT doc_id, CAST(ela AS DOUBLE) AS ela, "left", top, "right", bottom, page FROM hot',
     "field_overlays": f"""WITH {FIELDS}, {FIELD_LINES}, {WORD_OFFERS}, {REGIONS},
        shown AS (SELECT b.doc_id, 'field' AS kind, field || ': ' || CASE field WHEN 'vendor' THEN f.vendor WHEN 'date' THEN f.date ELSE f.total END AS label, 0 AS "left", CAST(top AS INT) AS top, CAST("right" AS INT) AS "right", CAST(bottom AS INT) AS bottom, 0 AS page FROM boxes b JOIN fields_out f USING (doc_id))
        SELECT * FROM shown UNION ALL SELECT doc_id, 'suspicious', 'suspicious', "left", top, "right", bottom, page FROM regions_out""",
-    "feature_vector": f"WITH {SCORED}, {EXACT}, {FIELD_LINES}, {WORD_OFFERS}, {WORD_SLOTS}, {RECEIPT_TEXT} SELECT c.doc_id, 53 AS slots, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {c}" for c, e in WORD_COLUMNS.items())
-    + " FROM c_out c JOIN x_conf e USING (doc_id) JOIN seen s USING (doc_id) JOIN text_out x USING (doc_id) LEFT JOIN clash k USING (doc_id)",
-    "analyze_documents": f"""WITH {SCORED}, {FIELD_LINES}, {WORD_OFFERS}, {WORD_SLOTS}, {REGIONS}, counted AS (SELECT doc_id, count(*) AS n FROM regions_out GROUP BY doc_id),
-       judged AS (SELECT h.*, s.ocr_low_conf_ratio > {_d(0.35)} AS rw, CASE WHEN r1 THEN {_d(0.25)} ELSE {_d(0.0)} END + CASE WHEN s.ocr_low_conf_ratio > {_d(0.35)} THEN {_d(0.15)} ELSE {_d(0.0)} END + CASE WHEN r2 THEN {_d(0.1)} ELSE {_d(0.0)} END + CASE WHEN r3 THEN {_d(0.1)} ELSE {_d(0.0)} END AS total_score FROM h_out h JOIN seen s USING (doc_id))
-       SELECT doc_id, vendor, date, total, round(total_score, 6) AS score, CAST(total_score >= {_d(0.45)} AS INT) AS is_forged, concat_ws('; ', CASE WHEN r1 THEN {_q(C.REASONS[2])} END, CASE WHEN rw THEN {_q(C.REASONS[3])} END, CASE WHEN r2 THEN {_q(C.REASONS[4])} END, CASE WHEN r3 THEN {_q(C.REASONS[5])} END) AS reasons,
+    "feature_vector": f"WITH {SCORED}, {EXACT}, {FIELD_LINES}, {ON_PAGES}, {WORD_OFFERS}, {WORD_SLOTS}, {RECEIPT_TEXT} SELECT c.doc_id, 53 AS slots, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {c}" for c, e in WORD_COLUMNS.items())
+    + " FROM c_out c JOIN x_conf e USING (doc_id) JOIN seen s USING (doc_id) JOIN text_out x USING (doc_id) JOIN di USING (doc_id) LEFT JOIN clash k USING (doc_id)",
+    "analyze_documents": f"""WITH {SCORED}, {FIELD_LINES}, {ON_PAGES}, {WORD_OFFERS}, {WORD_SLOTS}, {IMAGE_REGIONS}, counted AS (SELECT doc_id, count(*) AS n FROM regions_out GROUP BY doc_id),
+       flags AS (SELECT h.*, ela_high_ratio > {_d(0.12)} AS ra, noise_std > 20 AS rn, s.ocr_low_conf_ratio > {_d(0.35)} AS rw FROM h_out h JOIN seen s USING (doc_id) JOIN di USING (doc_id)),
+       judged AS (SELECT *, least({_d(1.0)}, {' + '.join(f"CASE WHEN {r} THEN {_d(w)} ELSE {_d(0.0)} END" for r, w in (("ra", 0.25), ("rn", 0.15), ("r1", 0.25), ("rw", 0.15), ("r2", 0.1), ("r3", 0.1)))}) AS total_score FROM flags)
+       SELECT doc_id, vendor, date, total, round(total_score, 6) AS score, CAST(total_score >= {_d(0.45)} AS INT) AS is_forged, concat_ws('; ', {', '.join(f"CASE WHEN {r} THEN {_q(C.REASONS[i])} END" for i, r in enumerate(("ra", "rn", "r1", "rw", "r2", "r3")))}) AS reasons,
        CAST(coalesce(n, 0) AS INT) AS n_regions FROM judged LEFT JOIN counted USING (doc_id)""",
     "nlg_summary": f"""WITH {SCORED}, {SENTENCES} SELECT doc_id, CASE WHEN forged THEN {_pick(C.SUSPICIOUS_OPENERS, "variant")} || ' and ' || sure || ' alteration.' ELSE {_pick(C.GENUINE_OPENERS, "variant")} || ', although the available signals ' || sure || ' localized review.' END
        || ' ' || {_pick(C.LEADS, "n + CAST(round_even(score * 10, 0) AS INT) + 4")} || ' ' || CASE WHEN n = 1 THEN said[1] ELSE array_to_string(said[1:n - 1], ', ') || ', and ' || said[n] END || '. '

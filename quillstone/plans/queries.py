@@ -201,19 +201,41 @@ def predict_without_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.predict_without_words(rows).select("doc_id", F.round("score", 6).alias("score"), "is_forged")
 
 
+def _pages(spark: SparkSession, sf_dir: str, fields: DataFrame) -> DataFrame:
+    """Rasters as the pages of receipts, with features, hot blocks and the error levels around the fields."""
+    return image.raster_pages(views.receipt_pages(spark, sf_dir), raster_pixels(spark, sf_dir), fields, views.CELL, views.QUALITY)
+
+
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feature_rows(spark, sf_dir, with_words=True)
+    """All 53 slots of each receipt, of text, words and pages."""
+    r = receipts(spark, sf_dir)
+    fields = extract.extract_from_text(r)
+    rows = features.feature_rows(r, fields, _stats(r), layout.words_of_text(r), image.document_features(_pages(spark, sf_dir, fields)))
     names = [*C.IMAGE_FEATURES, *C.ELA_FEATURES, *["text_line_count" if c == "line_count" else c for c in C.TEXT_FEATURES], *C.CONSISTENCY_FEATURES, *C.EXTRA_FEATURES, *C.LOCAL_FEATURES, "amount"]
     return rows.select("doc_id", F.size("vector").alias("slots"), *[F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate(names)])
 
 
 def suspicious_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all four sources: hot blocks of pages, fields that are weak or stand where error levels are high, competing amounts, doubtful words."""
     r = receipts(spark, sf_dir)
-    found = anomaly.suspicious_regions(layout.words_of_text(r), extract.extract_from_text(r))
+    fields = extract.extract_from_text(r)
+    pages = _pages(spark, sf_dir, fields)
+    found = anomaly.suspicious_regions(layout.words_of_text(r), fields, image.document_blocks(pages), image.document_patches(pages))
     rows = found.select("doc_id", F.posexplode("regions").alias("place", "box"))
     return rows.select("doc_id", "place", "box.left", "box.top", "box.right", "box.bottom", "box.page")
 
 
+def field_error_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error level in the room around each field of each receipt."""
+    patches = image.document_patches(_pages(spark, sf_dir, _fields(spark, sf_dir)))
+    return patches.select("doc_id", "field", "room.*", F.round("local_ela", 6).alias("local_ela"))
+
+
+def hot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = image.document_blocks(_pages(spark, sf_dir, _fields(spark, sf_dir)))
+    return blocks.select("doc_id", F.round("ela", 6).alias("ela"), "box.*")
+
+
 def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = image.raster_stats(raster_pixels(spark, sf_dir))
     return s.select("vec_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
@@ -228,15 +250,35 @@ def raster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", F.round("block_var_mean", 10).alias("block_var_mean"), F.round("block_var_std", 6).alias("block_var_std"))
 
 
+def raster_error_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error level of each pixel under a JPEG round trip at the settings' quality."""
+    return image.raster_levels(raster_pixels(spark, sf_dir)).select("vec_id", "y", "x", F.col("v").cast("long").alias("v"), F.col("e").cast("long").alias("e"))
+
+
+def raster_edges_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = image.raster_stencils(raster_pixels(spark, sf_dir))
+    return s.select("vec_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
+def raster_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skew of each raster, each pixel of which is drawn as a square of four by four."""
+    return image.raster_skew(views.enlarged(raster_pixels(spark, sf_dir), 4)).withColumn("score", F.round("score", 4))
+
+
+def raster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = image.raster_features(raster_pixels(spark, sf_dir), views.QUALITY)
+    return s.select("vec_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
 def raster_ela(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = image.raster_ela(raster_pixels(spark, sf_dir))
+    s = image.raster_ela(raster_pixels(spark, sf_dir), views.QUALITY)
     return s.select("vec_id", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
 def page_feature_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters as pages, their labels as documents."""
     p = raster_pixels(spark, sf_dir)
-    pages = image.raster_stats(p).join(image.raster_ela(p), "vec_id").join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    pages = image.raster_stats(p).join(image.raster_ela(p, views.QUALITY), "vec_id").join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
     s = image.document_features(pages, "label")
     return s.select("label", *[F.round(c, 6).alias(c) for c in ("img_mean", "img_std", "img_median", "dynamic_range", "ela_mean", "ela_max", "ela_high_ratio")])
 
@@ -344,11 +386,12 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis: fields, all features with words, score, reasons, regions, and the prediction row."""
+    """The whole analysis: fields, all features of text, words and pages, score, reasons, regions, and the prediction row."""
     r = receipts(spark, sf_dir)
     words, fields = layout.words_of_text(r), extract.extract_from_text(r)
-    scored = anomaly.heuristic_score(features.feature_rows(r, fields, _stats(r), words))
-    regions = anomaly.suspicious_regions(words, fields)
+    pages = _pages(spark, sf_dir, fields)
+    scored = anomaly.heuristic_score(features.feature_rows(r, fields, _stats(r), words, image.document_features(pages)))
+    regions = anomaly.suspicious_regions(words, fields, image.document_blocks(pages), image.document_patches(pages))
     out = scored.join(regions, "doc_id", "left")
     return out.select("doc_id", *[F.col(f"{f}.value").alias(f) for f in C.FIELDS], F.round("score", 6).alias("score"), "is_forged", F.array_join("reasons", "; ").alias("reasons"), F.coalesce(F.size("regions"), F.lit(0)).alias("n_regions"))
 
@@ -409,8 +452,8 @@ QUERIES = {
     for f in (
         text_features, text_features_by_lang, conversation_merge_text, amount_tokens, amount_normalize, date_normalize, date_format_detect, date_candidates, extract_vendor, extract_date, extract_total,
         extract_fields, extract_fields_with_stats, simple_vendor, vendor_prior_counts, total_subtotal_tax_check, words_to_lines, ocr_confidence_stats, field_word_overlap, conflicting_amounts, page_merge_best_field,
-        training_stats, amount_zscore_iqr, known_vendor_hit, consistency_features, heuristic_score, forged_reasons, predict_without_words, feature_vector, suspicious_regions, raster_stats, raster_entropy, raster_blocks,
-        raster_ela, page_feature_aggregate, image_features, field_match_eval, anomaly_metrics, threshold_calibration, label_overrides, prediction_validation, missing_extra_ids, duplicate_ids, latency_percentiles,
+        training_stats, amount_zscore_iqr, known_vendor_hit, consistency_features, heuristic_score, forged_reasons, predict_without_words, feature_vector, suspicious_regions, field_error_levels, hot_blocks, raster_stats, raster_entropy, raster_blocks,
+        raster_ela, raster_error_levels, raster_edges_noise, raster_skew, raster_features, page_feature_aggregate, image_features, field_match_eval, anomaly_metrics, threshold_calibration, label_overrides, prediction_validation, missing_extra_ids, duplicate_ids, latency_percentiles,
         normalized_match_keys, synthetic_receipts, document_summary, nlg_summary, prompt_text, analyze_documents, gbt_score,
         label_counts, vendor_top, vendor_of_words, year_of_date, collection_summary, generated_text, null_baseline, field_overlays,
     )

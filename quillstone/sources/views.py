@@ -51,6 +51,25 @@ def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "label", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), v.alias("v"))
 
 
+#: Units of a page that a pixel of its raster is wide and high, pages of a receipt, and the quality at which rasters are recompressed.
+CELL, PAGES, QUALITY = 24, 2, 50
+
+
+def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_index, vec_id: two pages for each receipt, rasters laid on them in turn."""
+    n = table(spark, sf_dir, "embeddings").count()
+    ids = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    rows = ids.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(PAGES - 1))).alias("page_index"))
+    return rows.withColumn("vec_id", F.pmod(F.col("doc_id") * PAGES + F.col("page_index"), F.lit(max(n, 1))))
+
+
+def enlarged(pixels: DataFrame, times: int) -> DataFrame:
+    """Each pixel of a raster as a square of times by times."""
+    steps = F.sequence(F.lit(0), F.lit(times - 1))
+    rows = pixels.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    return rows.select("vec_id", "label", (F.col("y") * times + F.col("dy")).alias("y"), (F.col("x") * times + F.col("dx")).alias("x"), "v")
+
+
 def synthetic_receipts(spark: SparkSession, n: int = 300, forged_rate: float = 0.25, seed: int = C.DEFAULT.seed) -> DataFrame:
     """id, image_path, vendor, date, total, label: n made-up records, int(n * forged_rate) of them forged, by seeded hashes of the row number."""
 
