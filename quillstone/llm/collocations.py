@@ -2,12 +2,13 @@
 
 Words are ordered by counters of hashed words over all texts, rarest first (ties by hash, then by the word), so that every task knows the
 same order without holding a vocabulary. For each occurrence of a word a fragment is made: the word with up to three neighbours on either side, cut
-where a piece ends, where a word is rarer (to the left: or the same), where a word's counter is below the least count, and between two words
-whose counter as a pair is. Equal fragments of a batch are merged, and fragments are dealt by their pivot. Each n-gram of a fragment around
-its pivot is owned by it, and by no other occurrence of any word. Counters only bound counts from above: they order and cut, what is counted is exact.
+where a piece ends, where a word is rarer (to the left: or the same), and where the counter of the words up to there is below the least count. An n-gram belongs to
+the first occurrence of its rarest word in it. Those that start before the pivot come from one fragment, those that start at it from another, dealt by
+pivot and neighbour, so that all occurrences of an n-gram meet in one task and its count is final there. Equal fragments of a batch are merged before they are dealt.
 
-Counters have a fixed size (PAIRS and WORDS), 2 MB in all once they are levels and bits; that is all that is broadcast. With more text than
-they can tell apart, less is cut, and results are the same.
+Counters are of words and pairs in a first pass over the texts and of three and four words in a second one. They only bound counts from above: they order and cut, what is counted is
+exact. They have a fixed size (WORDS, GRAMS), 4 MB in all once they are levels and bits; that is all that is broadcast. With more text than they can tell apart, less is cut, and
+results are the same.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, drop, partitions
 
 LONGEST = 4
-WORDS, PAIRS, SLICES = 1 << 20, 1 << 23, 16
+WORDS, GRAMS, SLICES = 1 << 20, 1 << 23, 16
 #: Bytes of text that are cut into words at once, bytes of a batch, and words that a task knows at once.
 STRETCH, BATCH, KNOWN = 4 << 20, 6 << 20, 1_000_000
-#: A pivot with more occurrences than this is dealt to several tasks, by fragment.
+#: A pivot with more occurrences than this is dealt to several tasks, by neighbour.
 PART = 1 << 17
 
 _END = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -106,10 +107,20 @@ def vocabulary_of(known: dict[str, Vocabulary], lang: str) -> Vocabulary:
     return known.setdefault(lang, Vocabulary(lang))
 
 
-def pair_buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
     x = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + (first << np.uint64(31)))
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(32)).astype(np.int64) & (PAIRS - 1)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def buckets(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(32)).astype(np.int64) & (GRAMS - 1)
+
+
+def passes(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the counters of n-grams reach the least count."""
+    at = buckets(grams)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -122,40 +133,65 @@ def counted(level: np.ndarray) -> np.ndarray:
     return np.where(level < 128, level, 128 * 2.0 ** ((level.astype(float) - 128) / 4))
 
 
-def counters(texts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the words' counters, and for each pair counter whether it reaches `least`. texts: lang, text."""
+def tallies(texts: DataFrame, tell, sizes: tuple[int, ...], least: int) -> list[np.ndarray]:
+    """Counters over all texts (lang, text). tell(vocabulary, ids) gives, for each table, the places to count; the first table of size WORDS comes as levels, tables of size GRAMS as bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, pairs, known = np.zeros(WORDS, np.uint32), np.zeros(PAIRS, np.uint32), {}
+        tables, known = [np.zeros(n, np.uint32) for n in sizes], {}
         for lang, some in by_language(batches):
             vocabulary = vocabulary_of(known, lang)
-            ids = vocabulary.ids(some)
-            h = vocabulary.hashes[ids]
-            words += np.bincount((h[ids > 0] & np.uint64(WORDS - 1)).astype(np.int64), minlength=WORDS).astype(np.uint32)
-            both = (ids[:-1] > 0) & (ids[1:] > 0)
-            np.add.at(pairs, pair_buckets(h[:-1][both], h[1:][both]), np.uint32(1))
+            for table, places in zip(tables, tell(vocabulary, vocabulary.ids(some)), strict=True):
+                np.add.at(table, places, np.uint32(1))
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        out = {"slice": pa.array(range(SLICES), pa.int32()), "words": [squeeze(x.tobytes()) for x in np.split(words, SLICES)]}
-        yield pa.RecordBatch.from_pydict(out | {"pairs": [squeeze(x.tobytes()) for x in np.split(np.minimum(pairs, min(least, 255)).astype(np.uint8), SLICES)]})
+        for k, table in enumerate(tables):
+            if len(table) == GRAMS:  # all that is asked of these is whether they reach the least count
+                table = np.minimum(table, min(least, 255)).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"tally": pa.array([k] * SLICES, pa.int32()), "slice": pa.array(range(SLICES), pa.int32()), "counts": [squeeze(x.tobytes()) for x in np.split(table, SLICES)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
         loose = zstandard.ZstdDecompressor().decompress
-        words, pairs = np.zeros(WORDS // SLICES, np.int64), np.zeros(PAIRS // SLICES, np.int64)
-        for w, p in zip(rows["words"], rows["pairs"], strict=True):
-            words += np.frombuffer(loose(w), np.uint32)
-            pairs += np.frombuffer(loose(p), np.uint8)
-        # A task's counter stops at `least` or 255: with a higher least count the bit says what is certain, "not below 255".
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "words": [level_of(words).tobytes()], "pairs": [np.packbits(pairs >= min(least, 255)).tobytes()]})
-
-    schema = "slice int, words binary, pairs binary"
-    parts = sorted(texts.mapInArrow(count, schema).groupBy("slice").applyInPandas(add, schema).collect())
-    levels = np.frombuffer(b"".join(p["words"] for p in parts), np.uint8) if parts else np.zeros(WORDS, np.uint8)
-    bits = np.frombuffer(b"".join(p["pairs"] for p in parts), np.uint8) if parts else np.zeros(PAIRS // 8, np.uint8)
-    return levels, bits
+        size = sizes[int(rows["tally"].iloc[0])]
+        total = np.zeros(size // SLICES, np.int64)
+        for x in rows["counts"]:
+            total += np.frombuffer(loose(x), np.uint8 if size == GRAMS else np.uint32)
+        made = np.packbits(total >= min(least, 255)) if size == GRAMS else level_of(total)
+        return pd.DataFrame({"tally": rows["tally"].iloc[:1], "slice": rows["slice"].iloc[:1], "counts": [made.tobytes()]})
+
+    schema = "tally int, slice int, counts binary"
+    parts = sorted(texts.mapInArrow(count, schema).groupBy("tally", "slice").applyInPandas(add, schema).collect())
+    empty = [np.zeros(n // 8 if n == GRAMS else n, np.uint8) for n in sizes]
+    return [np.frombuffer(b"".join(p["counts"] for p in parts if p["tally"] == k), np.uint8) if parts else empty[k] for k in range(len(sizes))]
+
+
+def words_and_pairs(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = vocabulary.hashes[ids]
+    both = (ids[:-1] > 0) & (ids[1:] > 0)
+    return (h[ids > 0] & np.uint64(WORDS - 1)).astype(np.int64), buckets(mixed(h[:-1][both], h[1:][both]))
+
+
+class Context:
+    """Where words stand in the common order, and which n-grams from each word on may be frequent."""
+
+    def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: list[np.ndarray], least: int):
+        rank, self.level = rarity(vocabulary, levels)
+        place = np.where((ids > 0) & (self.level[ids] >= level_of(np.array([least]))[0]), rank[ids], -1)
+        pad = np.full(LONGEST, -1)
+        self.place, self.ids = np.concatenate((pad, place, pad)), np.concatenate((np.zeros(LONGEST, np.int32), ids, np.zeros(LONGEST, np.int32)))
+        h = vocabulary.hashes[self.ids]
+        known = self.place >= 0
+        self.grams, self.fine = [h], [known]
+        for k in range(1, LONGEST):
+            gram = mixed(self.grams[-1][:-1], h[k:])
+            fine = self.fine[-1][:-1] & self.fine[-1][1:] & known[k:]
+            if k <= len(bits):
+                at = np.flatnonzero(fine)
+                fine[at] = passes(gram[at], bits[k - 1])
+            self.grams.append(gram)
+            self.fine.append(fine)
 
 
 def rarity(vocabulary: Vocabulary, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,64 +206,63 @@ def rarity(vocabulary: Vocabulary, levels: np.ndarray) -> tuple[np.ndarray, np.n
     return rank, level
 
 
-def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: np.ndarray, least: int, most: int = PART) -> pa.RecordBatch | None:
-    """pivot, part, parts, at (words before the pivot), words, n: each word alone with its count, then fragments of two or more words."""
-    rank, level = rarity(vocabulary, levels)
-    h = vocabulary.hashes
-    place = np.where((ids > 0) & (level[ids] >= level_of(np.array([least]))[0]), rank[ids], -1)
-    pad = np.full(3, -1)
-    place, ids = np.concatenate((pad, place, pad)), np.concatenate((np.zeros(3, np.int32), ids, np.zeros(3, np.int32)))
-    bucket = pair_buckets(h[ids[:-1]], h[ids[1:]])
-    joined = (place[:-1] >= 0) & (place[1:] >= 0) & ((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
+def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART) -> pa.RecordBatch | None:
+    """pivot, part, at (words before the pivot), words, n: each word alone with its count, then fragments of two or more words."""
+    c = Context(vocabulary, ids, levels, bits, least)
+    ids, place, (_, pair, three, four) = c.ids, c.place, c.fine
     at = np.flatnonzero(place >= 0)
+    if not len(at):
+        return None
     own = place[at]
-    columns = np.zeros((7, len(at)), np.int32)
-    columns[3] = ids[at]
-    for step in (-1, 1):
-        reach = np.ones(len(at), bool)
-        for d in (1, 2, 3):
-            to = at + step * d
-            reach = reach & joined[np.minimum(to, to - step)]
-            reach = reach & (place[to] > own if step < 0 else place[to] >= own)
-            columns[3 + step * d] = np.where(reach, ids[to], 0)
-    some = (columns[2] > 0) | (columns[4] > 0)
-    columns = columns[:, some]
-    mixed = np.zeros(columns.shape[1], np.uint64)
-    for c in columns:
-        mixed = (mixed ^ np.where(c > 0, h[c], np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    order = np.argsort(mixed)
-    columns, mixed = columns[:, order], mixed[order]
+    rarer = lambda d: place[at + d] > own if d < 0 else place[at + d] >= own
+    left = [pair[at - 1] & rarer(-1)]
+    left.append(left[0] & three[at - 2] & rarer(-2))
+    left.append(left[1] & four[at - 3] & rarer(-3))
+    right = [pair[at] & rarer(1)]
+    right.append(right[0] & three[at] & rarer(2))
+    right.append(right[1] & four[at] & rarer(3))
+    through = left[0] & right[0] & three[at - 1]  # from before the pivot to behind it
+    beyond = through & four[at - 1] & rarer(2)
+    never = np.zeros(len(at), bool)
+    sides = []
+    for chosen, reach in ((left[0], (left[2], left[1], left[0], None, through, beyond, never)), (right[0], (never, never, never, None, *right))):
+        some = np.flatnonzero(chosen)
+        sides.append(np.stack([np.where(True if r is None else r[some], ids[at[some] + d], 0) for d, r in zip(range(-3, 4), reach, strict=True)]))
+    columns = np.concatenate(sides, 1)
+    h = vocabulary.hashes
+    key = np.zeros(columns.shape[1], np.uint64)
+    for column in columns:
+        key = mixed(key, np.where(column > 0, h[column], np.uint64(1)))
+    order = np.argsort(key)
+    columns = columns[:, order]
     # Equal fragments stand together; unequal ones with equal hashes may keep some apart, which only costs a row.
-    new = np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(0))) if columns.shape[1] else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    times = np.diff(np.concatenate((heads, [columns.shape[1]])))
-    columns, mixed = columns[:, heads], mixed[heads]
+    heads = np.flatnonzero(np.concatenate(([True], (columns[:, 1:] != columns[:, :-1]).any(0)))) if len(order) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate((heads, [len(order)])))
+    columns = columns[:, heads]
     alone, count = np.unique(ids[at], return_counts=True)
-    if not len(alone):
-        return None
     names = pa.array(vocabulary.words, pa.binary())
-    parts = 1 + (counted(level[np.concatenate((alone, columns[3]))]) // most).astype(np.int64)
-    part = np.concatenate((np.zeros(len(alone), np.int64), (mixed >> np.uint64(20)).astype(np.int64))) % parts
-    texts = pc.binary_join_element_wise(*[names.take(pa.array(c, mask=c == 0)) for c in columns], b" ", null_handling="skip")
+    parts = 1 + (counted(c.level[columns[3]]) // most).astype(np.int64)
+    neighbour = np.where(columns[2] > 0, columns[2], columns[4])
+    part = np.concatenate((np.zeros(len(alone), np.int64), (h[neighbour] >> np.uint64(20)).astype(np.int64) % parts))
+    texts = pc.binary_join_element_wise(*[names.take(pa.array(x, mask=x == 0)) for x in columns], b" ", null_handling="skip")
     single = names.take(pa.array(alone))
     return pa.RecordBatch.from_pydict({
-        "pivot": pa.concat_arrays([single, names.take(pa.array(columns[3]))]), "part": pa.array(part, pa.int32()), "parts": pa.array(parts, pa.int32()),
+        "pivot": pa.concat_arrays([single, names.take(pa.array(columns[3]))]), "part": pa.array(part, pa.int32()),
         "at": pa.array(np.concatenate((np.zeros(len(alone), np.int64), (columns[:3] > 0).sum(0))), pa.int32()),
         "words": pa.concat_arrays([single, texts]), "n": np.concatenate((count, times)).astype(np.int64),
     })
 
 
-def fragments(texts: DataFrame, levels: np.ndarray, bits: np.ndarray, least: int, most: int = PART) -> DataFrame:
-    """lang, pivot, part, parts, at, words, n of all texts; with an empty pivot the number of all words of a language."""
-    schema = "lang string, pivot binary, part int, parts int, at int, words binary, n long"
+def fragments(texts: DataFrame, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART) -> DataFrame:
+    """lang, pivot, part, at, words, n of all texts; with an empty pivot the number of all words of a language."""
+    schema = "lang string, pivot binary, part int, at int, words binary, n long"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
         for lang, some in by_language(batches):
             vocabulary = vocabulary_of(known, lang)
             ids = vocabulary.ids(some)
-            out = [pa.RecordBatch.from_pydict({"pivot": pa.array([b""]), "part": pa.array([0], pa.int32()), "parts": pa.array([1], pa.int32()), "at": pa.array([0], pa.int32()), "words": pa.array([b""]), "n": [int((ids > 0).sum())]})]
+            out = [pa.RecordBatch.from_pydict({"pivot": pa.array([b""]), "part": pa.array([0], pa.int32()), "at": pa.array([0], pa.int32()), "words": pa.array([b""]), "n": [int((ids > 0).sum())]})]
             if (made := fragments_of(vocabulary, ids, levels, bits, least, most)) is not None:
                 out.append(made)
             for batch in out:
@@ -236,53 +271,59 @@ def fragments(texts: DataFrame, levels: np.ndarray, bits: np.ndarray, least: int
     return texts.mapInArrow(make, schema)
 
 
-def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams around the pivots with their counts, pivot by pivot; rows come sorted by lang, pivot and part."""
-    held: list[tuple] = []
-    key, counts = None, {}
-    for batch in batches:
-        for lang, pivot, part, parts, at, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (own := (lang, pivot, part, parts)) != key:
-                if key is not None:
-                    held += [(key[0], g, f, key[3]) for g, f in counts.items()]
-                key, counts = own, {}
-                if len(held) > 50_000:
-                    yield _grams(held)
-                    held = []
-            if b" " not in words:
-                counts[words] = counts.get(words, 0) + n
-                continue
-            edges = [0]
-            space = words.find(b" ")
-            while space >= 0:
-                edges.append(space + 1)
-                space = words.find(b" ", space + 1)
-            edges.append(len(words) + 1)
-            last = len(edges) - 1
-            for lo in range(at + 1):
-                for hi in range(max(at + 1, lo + 2), min(last, lo + LONGEST) + 1):
-                    gram = words[edges[lo] : edges[hi] - 1]
-                    counts[gram] = counts.get(gram, 0) + n
-    if key is not None:
-        held += [(key[0], g, f, key[3]) for g, f in counts.items()]
-    if held:
-        yield _grams(held)
+def miner(least: int):
+    """The frequent n-grams around pivots, pivot by pivot; rows come sorted by lang, pivot and part, and hold all occurrences of theirs."""
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key, counts = None, {}
+        for batch in batches:
+            for lang, pivot, part, at, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (own := (lang, pivot, part)) != key:
+                    held += [(key[0], g, f) for g, f in counts.items() if f >= least or not g]
+                    key, counts = own, {}
+                    if len(held) > 50_000:
+                        yield _grams(held)
+                        held = []
+                if b" " not in words:
+                    counts[words] = counts.get(words, 0) + n
+                    continue
+                edges = [0]
+                space = words.find(b" ")
+                while space >= 0:
+                    edges.append(space + 1)
+                    space = words.find(b" ", space + 1)
+                edges.append(len(words) + 1)
+                for lo in range(at) if at else (0,):
+                    for hi in range(max(at + 1, lo + 2), min(len(edges) - 1, lo + LONGEST) + 1):
+                        gram = words[edges[lo] : edges[hi] - 1]
+                        counts[gram] = counts.get(gram, 0) + n
+        held += [(key[0], g, f) for g, f in counts.items() if f >= least or not g]
+        if held:
+            yield _grams(held)
+
+    return mine
 
 
 def _grams(rows: list[tuple]) -> pa.RecordBatch:
-    lang, gram, f, parts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_pydict({"lang": list(lang), "gram": pa.array(gram, pa.binary()), "f": list(f), "parts": pa.array(parts, pa.int32())})
+    lang, gram, f = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"lang": list(lang), "gram": pa.array(gram, pa.binary()), "f": list(f)})
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, most: int = PART) -> DataFrame:
     """lang, gram (space-joined string), f: every phrase of 1 to 4 words that occurs at least `least` times; with an empty gram the number of all words. most: see PART."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    levels, bits = counters(texts, least)
+    levels, pairs = tallies(texts, words_and_pairs, (WORDS, GRAMS), least)
+
+    def longer(vocabulary: Vocabulary, ids: np.ndarray) -> list[np.ndarray]:
+        c = Context(vocabulary, ids, levels, [pairs], least)
+        return [buckets(c.grams[k][c.fine[k]]) for k in (2, 3)]
+
+    bits = [pairs, *tallies(texts, longer, (GRAMS, GRAMS), least)]
     found = fragments(texts, levels, bits, least, most).repartition(partitions(docs.sparkSession), "lang", "pivot", "part")
-    mined = found.sortWithinPartitions("lang", "pivot", "part").mapInArrow(mine, "lang string, gram binary, f long, parts int")
-    # A pivot that is whole in one task has its counts; only those in parts still have to be added up.
-    mined = mined.filter((F.col("f") >= least) | (F.col("parts") > 1) | (F.length("gram") == 0))
-    return mined.groupBy("lang", F.col("gram").cast("string").alias("gram")).agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("gram") == ""))
+    mined = found.sortWithinPartitions("lang", "pivot", "part").mapInArrow(miner(least), "lang string, gram binary, f long")
+    # Only the numbers of all words of a language come from several tasks' rows of one pivot, which is whole too: no counts are left to add up.
+    return mined.select("lang", F.col("gram").cast("string").alias("gram"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, most: int = PART) -> DataFrame:
