@@ -7,7 +7,7 @@ the first occurrence of its rarest word in it. Those that start before the pivot
 pivot and neighbour, so that all occurrences of an n-gram meet in one task and its count is final there. Equal fragments of a batch are merged before they are dealt.
 
 Counters are of words and pairs in a first pass over the texts and of three and four words in a second one. They only bound counts from above: they order and cut, what is counted is
-exact. They have a fixed size (WORDS, GRAMS), 4 MB in all once they are levels and bits; that is all that is broadcast. With more text than they can tell apart, less is cut, and
+exact. They have a fixed size (WORDS, GRAMS), 13 MB in all once they are levels and bits; that is all that is broadcast. With more text than they can tell apart, less is cut, and
 results are the same.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, drop, partitions
 
 LONGEST = 4
-WORDS, GRAMS, SLICES = 1 << 20, 1 << 23, 16
+WORDS, GRAMS, SLICES = 1 << 20, 1 << 25, 64
 #: Bytes of text that are cut into words at once, bytes of a batch, and words that a task knows at once.
 STRETCH, BATCH, KNOWN = 4 << 20, 6 << 20, 1_000_000
 #: A pivot with more occurrences than this is dealt to several tasks, by neighbour.
@@ -139,15 +139,16 @@ def tallies(texts: DataFrame, tell, sizes: tuple[int, ...], least: int) -> list[
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tables, known = [np.zeros(n, np.uint32) for n in sizes], {}
+        # All that is asked of n-grams is whether they reach the least count, so a byte holds as much of theirs as matters.
+        enough = min(least, 255)
+        tables, known = [np.zeros(n, np.uint8 if n == GRAMS else np.uint32) for n in sizes], {}
         for lang, some in by_language(batches):
             vocabulary = vocabulary_of(known, lang)
             for table, places in zip(tables, tell(vocabulary, vocabulary.ids(some)), strict=True):
-                np.add.at(table, places, np.uint32(1))
+                at, n = np.unique(places, return_counts=True)
+                table[at] = np.minimum(table[at].astype(np.int64) + n, enough if table.dtype == np.uint8 else 0xFFFFFFFF)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for k, table in enumerate(tables):
-            if len(table) == GRAMS:  # all that is asked of these is whether they reach the least count
-                table = np.minimum(table, min(least, 255)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"tally": pa.array([k] * SLICES, pa.int32()), "slice": pa.array(range(SLICES), pa.int32()), "counts": [squeeze(x.tobytes()) for x in np.split(table, SLICES)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
