@@ -7,6 +7,7 @@ the earliest among equals. Scores are sums of doubles in a fixed order, since th
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,11 @@ from quillstone.functions import amounts, dates
 from quillstone.functions.text import collapse, has_any, split_lines, strip
 from quillstone.operators.layout import text_lines
 
+if TYPE_CHECKING:
+    from quillstone.operators.training import Stats
+
 BOX = ("left", "top", "right", "bottom", "page")
+AMOUNTS = ("amount_q1", "amount_q3", "amount_mean", "amount_std")
 
 
 def _plus(score: Column, when: Column, value) -> Column:
@@ -57,7 +62,7 @@ def vendor_score(prior: Column | None = None, known: Column | None = None) -> Co
 
 
 def date_candidates(formats: Column | None = None) -> Column:
-    """A line's dates as structs (score, order, iso, raw), those that no format fits left out. formats: map keyed by known formats."""
+    """A line's dates as structs (score, order, iso, raw), those that no format fits left out. formats: array of known formats."""
     found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?i){p}"), F.lit(0)) for p in C.DATE_SHAPES]))
     context = F.when(has_any(F.col("compact"), C.DATE_TERMS), 0.6).otherwise(0.0) + F.when(has_any(F.col("compact"), C.DATE_STRONG_TERMS), 0.2).otherwise(0.0)
     timed = F.col("text").rlike(C.TIME)
@@ -66,7 +71,7 @@ def date_candidates(formats: Column | None = None) -> Column:
         day = dates.normalize_date(raw)
         s = F.lit(1.2) + context + F.when(day["ambiguous"], -0.2).otherwise(0.4)
         if formats is not None:
-            s = _plus(s, F.coalesce(F.map_contains_key(formats, F.coalesce(dates.detect_format(raw), F.lit(""))), F.lit(False)), 0.3)
+            s = _plus(s, F.coalesce(F.array_contains(formats, F.coalesce(dates.detect_format(raw), F.lit(""))), F.lit(False)), 0.3)
         s = _plus(_plus(s, timed, -0.7), F.col("conf") >= 70, 0.3)
         return F.struct(s.alias("score"), (-i).alias("order"), day["iso"].alias("iso"), raw.alias("raw"))
 
@@ -122,25 +127,24 @@ def _field(best: Column, least: float, value: str, raw: str) -> Column:
     )
 
 
-def extract_fields(df: DataFrame, priors: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def extract_fields(df: DataFrame, priors: DataFrame | None = None, stats: Stats | None = None) -> DataFrame:
     """doc_id, lines to doc_id and vendor, date, total: structs of value, confidence, box and raw_value.
 
-    priors: vendor (lower case), count. stats: one row with known_vendors, date_format_frequencies, amount_q1, amount_q3,
-    amount_mean and amount_std; it is one row whatever the input, so it goes to every task. Documents without lines have
-    null values and confidence 0.
+    priors: vendor (lower case), count. stats: see training_stats; its one row of numbers and its formats, no more than there are in config, go to every
+    task, its vendors are joined. Documents without lines have null values and confidence 0.
     """
     rows, prior, known, formats, numbers = exploded(df), None, None, None, None
+    # Only the first eight lines can be a vendor; other lines get no key that could meet one, so a line common to all documents isn't dealt to one task.
+    first = lambda c: F.when(F.col("idx") < 8, F.col(c))
     if priors is not None:
-        # Only the first eight lines can be a vendor; other lines get no key that could meet one, so a line common to all documents isn't dealt to one task.
-        key = F.when(F.col("idx") < 8, F.col("compact"))
-        rows = rows.withColumn("__key", key).join(priors.select(F.col("vendor").alias("__key"), F.col("count").alias("prior")), "__key", "left").drop("__key")
+        rows = rows.withColumn("__key", first("compact")).join(priors.select(F.col("vendor").alias("__key"), F.col("count").alias("prior")), "__key", "left").drop("__key")
         prior = F.col("prior")
     if stats is not None:
-        names = ("known_vendors", "date_format_frequencies", "amount_q1", "amount_q3", "amount_mean", "amount_std")
-        one = stats.select(*[F.col(c).alias(f"st_{c}") for c in names], F.transform("known_vendors", lambda v: F.lower(strip(v))).alias("st_known")).limit(1)
-        rows = rows.crossJoin(F.broadcast(one))
-        known, formats = F.array_contains("st_known", F.col("norm")), F.col("st_date_format_frequencies")
-        numbers = {c: F.col(f"st_{c}") for c in names[2:]}
+        names = stats.known.select(F.lower(strip(F.col("vendor"))).alias("__key")).filter("__key != ''").distinct().withColumn("is_known", F.lit(True))
+        rows = rows.withColumn("__key", first("norm")).join(names, "__key", "left").drop("__key")
+        few = stats.formats.agg(F.collect_set("format").alias("st_formats"))
+        rows = rows.crossJoin(F.broadcast(stats.numbers.select(*[F.col(c).alias(f"st_{c}") for c in AMOUNTS]).limit(1).crossJoin(F.broadcast(few))))
+        known, formats, numbers = F.col("is_known"), F.col("st_formats"), {c: F.col(f"st_{c}") for c in AMOUNTS}
     rows = rows.withColumn("line_score", line_score())
     low = F.col("norm")
     rows = rows.select(
@@ -163,7 +167,7 @@ def extract_fields(df: DataFrame, priors: DataFrame | None = None, stats: DataFr
     return out.unionByName(bare)
 
 
-def extract_from_text(df: DataFrame, priors: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def extract_from_text(df: DataFrame, priors: DataFrame | None = None, stats: Stats | None = None) -> DataFrame:
     """As extract_fields, from doc_id and text."""
     return extract_fields(df.select("doc_id", text_lines(F.col("text")).alias("lines")), priors, stats)
 

@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone import config as C
 from quillstone.functions import amounts
 from quillstone.functions.text import let, split_lines, strip, text_features
-from quillstone.operators.extract import amount_candidates, exploded, line_score
+from quillstone.operators.extract import AMOUNTS, amount_candidates, exploded, line_score
 from quillstone.operators.layout import expand_box, lines_of_words, overlap_ratio
+from quillstone.operators.search import with_any
 
+if TYPE_CHECKING:
+    from quillstone.operators.training import Stats
 
-def consistency_features(text: Column, amount: Column, vendor: Column, stats: dict[str, Column]) -> Column:
-    """Struct of the seven consistency features. stats: amount_mean, amount_std, amount_q1, amount_q3, vendors; null ones count as 0 or none.
 
-    stats["vendors"] are lower case without white space around them, as plain_vendors gives them.
-    """
+def consistency_features(text: Column, amount: Column, hit: Column, stats: dict[str, Column]) -> Column:
+    """Struct of the seven consistency features. stats: amount_mean, amount_std, amount_q1, amount_q3 (null: 0); hit: whether the text or the vendor has a known vendor (see vendor_hits)."""
     num = lambda c: F.coalesce(stats[c].try_cast("double"), F.lit(0.0))
     q1, q3 = num("amount_q1"), num("amount_q3")
-    vendors = F.coalesce(stats["vendors"], F.array().cast("array<string>"))
     one = F.lit(1.0)
 
     def from_text(t: Column) -> Column:
         lines = F.filter(split_lines(t), lambda x: x.rlike(r"(?U)\S"))
         numeric = let(lines, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda y: y.rlike(r"\p{Nd}"))).cast("double") / F.size(x)).otherwise(0.0))
-        named = let(F.lower(t), lambda low: (low != "") & F.exists(vendors, lambda v: F.contains(low, v)))
-        return F.struct(amounts.plain_tokens(t).alias("tokens"), numeric.alias("numeric"), named.alias("named"))
+        return F.struct(amounts.plain_tokens(t).alias("tokens"), numeric.alias("numeric"))
 
     def compared(k: Column) -> Column:
         readable = F.filter(k["tokens"], lambda x: x.rlike(r"^(?:\d+\.?\d*|\.\d+)$"))
         gap = F.coalesce(F.array_min(F.transform(readable, lambda x: F.abs(x.cast("double") - amount))), amount)
-        hit = k["named"] | F.coalesce(F.array_contains(vendors, F.lower(strip(vendor))), F.lit(False))
         off = F.when(amount < q1, (q1 - amount) / (q3 - q1)).when(amount > q3, (amount - q3) / (q3 - q1)).otherwise(0.0)
         return F.struct(
             F.when(F.arrays_overlap(k["tokens"], amounts.amount_variants(amount)), 1.0).otherwise(0.0).alias("inside"),
             F.when((amount > 0) & (num("amount_std") > 1e-6), F.abs(amount - num("amount_mean")) / num("amount_std")).otherwise(0.0).alias("z"),
-            F.when((amount > 0) & (q3 - q1 > 1e-6), off).otherwise(0.0).alias("iqr"), F.when(hit, 1.0).otherwise(0.0).alias("hit"), k["numeric"].alias("numeric"),
+            F.when((amount > 0) & (q3 - q1 > 1e-6), off).otherwise(0.0).alias("iqr"), F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0).alias("hit"), k["numeric"].alias("numeric"),
             F.when(amount > 0, gap).otherwise(0.0).alias("gap"),
         )
 
@@ -51,8 +51,16 @@ def consistency_features(text: Column, amount: Column, vendor: Column, stats: di
     return let(let(let(strip(F.coalesce(text, F.lit(""))), from_text), compared), with_risk)
 
 
-def plain_vendors(vendors: Column) -> Column:
-    return F.filter(F.transform(vendors, lambda v: F.lower(strip(v))), lambda v: v != "")
+def vendor_hits(docs: DataFrame, vendors: DataFrame) -> DataFrame:
+    """doc_id of the docs (doc_id, text, vendor) whose text contains a vendor (vendors: vendor), or whose vendor is one, whatever the case."""
+    plain = F.lower(strip(F.col("vendor")))
+    rows = docs.select("doc_id", F.lower(strip(F.coalesce(F.col("text"), F.lit("")))).alias("text"), plain.alias("exact"))
+    if dict(docs.dtypes)["doc_id"] == "bigint":
+        return with_any(rows.withColumnRenamed("doc_id", "at"), vendors.select(plain.alias("pattern"))).withColumnRenamed("at", "doc_id")
+    # Other ids travel by their hash, and documents that share one by chance are told apart by their texts' hash.
+    at = F.xxhash64("doc_id", "text", "exact")
+    found = with_any(rows.withColumn("at", at), vendors.select(plain.alias("pattern")))
+    return rows.withColumn("at", at).join(found, "at", "left_semi").select("doc_id")
 
 
 def word_features(words: DataFrame) -> DataFrame:
@@ -94,17 +102,23 @@ def field_word_overlap(fields: DataFrame, words: DataFrame, width: int = 1 << 20
     return hit.groupBy("doc_id", "field").agg(F.avg(F.col("confidence") / 100.0).alias("field_conf"), F.count("*").alias("words"))
 
 
-def feature_rows(docs: DataFrame, fields: DataFrame, stats: DataFrame, words: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+#: The columns of feature_rows in the order of the vector.
+VECTOR = (*C.IMAGE_FEATURES, *C.ELA_FEATURES, *("text_line_count" if c == "line_count" else c for c in C.TEXT_FEATURES), *C.CONSISTENCY_FEATURES, *C.EXTRA_FEATURES, *C.LOCAL_FEATURES, "amount")
+
+
+def feature_rows(docs: DataFrame, fields: DataFrame, stats: Stats, words: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """One row a document with all features as columns, `amount` and the 53-slot vector.
 
-    docs: doc_id, text. stats: one row (see training_stats). images: doc_id and image features, else zeros. The text's line
+    docs: doc_id, text. stats: see training_stats. images: doc_id and image features, else zeros. The text's line
     count and the layout's are text_line_count and line_count.
     """
-    joined = docs.select("doc_id", "text").join(fields, "doc_id").crossJoin(F.broadcast(stats.limit(1).withColumn("vendors", plain_vendors(F.col("vendors")))))
+    joined = docs.select("doc_id", "text").join(fields, "doc_id")
+    hits = vendor_hits(joined.select("doc_id", "text", F.col("vendor.value").alias("vendor")), stats.vendors).withColumn("vendor_hit", F.lit(True))
+    joined = joined.join(hits, "doc_id", "left").crossJoin(F.broadcast(stats.numbers.limit(1)))
     joined = joined.withColumn("amount", F.coalesce(amounts.parse_amount(F.col("total.value")), F.lit(0.0)))
     text = text_features(F.coalesce(F.col("text"), F.lit("")))
-    known = {c: F.col(c) for c in ("amount_mean", "amount_std", "amount_q1", "amount_q3", "vendors")}
-    joined = joined.withColumn("tf", text).withColumn("cf", consistency_features(F.col("text"), F.col("amount"), F.col("vendor.value"), known))
+    known = {c: F.col(c) for c in AMOUNTS}
+    joined = joined.withColumn("tf", text).withColumn("cf", consistency_features(F.col("text"), F.col("amount"), F.col("vendor_hit"), known))
     n_lines = F.size(F.filter(split_lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: x.rlike(r"(?U)\S"))).cast("double")
     joined = joined.withColumn("line_count", n_lines).withColumn("field_presence", field_presence())
     for f in C.FIELDS:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import config as C
+from quillstone.functions import amounts
 from quillstone.operators import anomaly, extract, features, training
-from quillstone.operators.training import FIT_ROWS
+from quillstone.operators.training import FIT_ROWS, Stats
+from quillstone.sources.shared import settled
 
 #: Rows and classes without which no model is fitted.
 LEAST_ROWS, FOLDS = 6, 5
@@ -20,9 +22,9 @@ LEAST_ROWS, FOLDS = 6, 5
 
 @dataclass
 class Bundle:
-    """What training leaves: statistics (one row), the threshold, and a model where there were rows enough."""
+    """What training leaves: statistics, the threshold, and a model where there were rows enough."""
 
-    stats: DataFrame
+    stats: Stats
     threshold: float = C.DEFAULT.threshold
     model: GBTClassificationModel | None = None
     forged_ratio: float = 0.0
@@ -34,18 +36,19 @@ class Bundle:
         return "heuristic" if self.model is None else type(self.model).__name__
 
 
-def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | None = None, settings: C.Settings = C.DEFAULT, rows: int = FIT_ROWS) -> Bundle:
-    """Two passes over docs (doc_id, text, true_vendor, true_date, is_forged): statistics of what is extracted, then features under them and the fit.
+def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | None = None, settings: C.Settings = C.DEFAULT, rows: int = FIT_ROWS, fields: DataFrame | None = None) -> Bundle:
+    """Two passes over docs (doc_id, text, true_vendor, true_date, true_total, is_forged): statistics of what is extracted, then features under them and the fit.
 
-    At most `rows` documents are fitted and cross-validated, those with the smallest hash of their id; the statistics are of all. The
+    Amounts are the true totals where there are any, else the extracted ones (see training_stats). docs may lack true_total; fields may be given. Fields of the second pass are those of the first: the statistics
+    aren't known when documents are read for training. At most `rows` documents are fitted and cross-validated, those with the smallest hash of their id; the statistics are of all. The
     threshold is calibrated on scores from outside the folds. Too few rows or one class: the rule score stands in for a model.
     """
-    plain = extract.extract_from_text(docs)
-    amounts = plain.join(docs.select("doc_id", "true_vendor", "true_date"), "doc_id")
-    stats = training.training_stats(amounts.select(F.col("vendor.value").alias("vendor"), "true_vendor", "true_date", F.col("total.value").try_cast("double").alias("amount")))
-    # One row, which is stored with the model anyway: held as such, it isn't computed again for each of its uses.
-    stats = docs.sparkSession.createDataFrame(stats.collect(), stats.schema)
-    fields = extract.extract_from_text(docs, None, stats)
+    fields = settled(extract.extract_from_text(docs), "train-fields") if fields is None else fields
+    total = F.col("true_total") if "true_total" in docs.columns else F.lit(None).cast("string")
+    known = fields.join(docs.select("doc_id", "true_vendor", "true_date", amounts.parse_amount(total.cast("string")).alias("true_amount")), "doc_id")
+    stats = training.training_stats(known.select(F.col("vendor.value").alias("vendor"), "true_vendor", "true_date", amounts.parse_amount(F.col("total.value")).alias("amount"), "true_amount"))
+    # Tables that are stored with the model anyway: written once, they aren't computed again for each of their uses.
+    stats = Stats(stats.numbers, *(settled(t, f"train-{n}") for n, t in (("vendors", stats.vendors), ("known", stats.known), ("formats", stats.formats))))
     every = features.feature_rows(docs, fields, stats, words, images).select("doc_id", "vector").join(docs.select("doc_id", "is_forged"), "doc_id")
     fitted = training.fit_rows(training.with_vector(every.filter("is_forged is not null")).select("doc_id", "features", "label"), rows).cache()
     try:
@@ -71,10 +74,14 @@ def _accuracy():
     return F.avg(((F.col("score") > 0.5).cast("double") == F.col("label")).cast("double"))
 
 
+TABLES = ("numbers", "vendors", "known", "formats")
+
+
 def save(bundle: Bundle, path: str) -> None:
-    """Statistics as Parquet, the numbers as JSON, the model in Spark ML's own format, in folders under path."""
-    spark = bundle.stats.sparkSession
-    bundle.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    """Statistics as Parquet tables, the numbers as JSON, the model in Spark ML's own format, in folders under path."""
+    spark = bundle.stats.numbers.sparkSession
+    for t in TABLES:
+        getattr(bundle.stats, t).write.mode("overwrite").parquet(f"{path}/stats/{t}")
     if bundle.model is not None:
         bundle.model.write().overwrite().save(f"{path}/model")
     known = {"model_type": bundle.model_type, "feature_count": None if bundle.model is None else bundle.model.numFeatures} | {k: getattr(bundle, k) for k in ("threshold", "forged_ratio", "train_accuracy", "validation_accuracy")}
@@ -84,7 +91,7 @@ def save(bundle: Bundle, path: str) -> None:
 def load(spark: SparkSession, path: str) -> Bundle | None:
     """What save() wrote; None where statistics or numbers are absent."""
     try:
-        stats, about = spark.read.parquet(f"{path}/stats"), json.loads(spark.read.text(f"{path}/about").first().value)
+        stats, about = Stats(*(spark.read.parquet(f"{path}/stats/{t}") for t in TABLES)), json.loads(spark.read.text(f"{path}/about").first().value)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -94,12 +101,22 @@ def load(spark: SparkSession, path: str) -> Bundle | None:
 
 
 def scored(bundle: Bundle, rows: DataFrame) -> DataFrame:
-    """Feature rows with score and is_forged: by the model, or without one by the rules."""
+    """Feature rows with score, reasons and is_forged: by the model, or without one by the rules and the settings' threshold."""
     if bundle.model is None:
-        return anomaly.heuristic_score(rows, bundle.threshold)
+        return anomaly.heuristic_score(rows)
     ready = training.with_vector(rows.withColumn("is_forged", F.lit(0)))
     out = training.forged_probability(bundle.model, ready).drop("features", "label", "rawPrediction", "probability", "prediction")
-    return out.withColumn("is_forged", (F.col("score") >= bundle.threshold).cast("int"))
+    return out.withColumns({"reasons": F.array(F.lit(C.MODEL_REASON)), "is_forged": (F.col("score") >= bundle.threshold).cast("int")})
+
+
+def scored_without_words(bundle: Bundle, rows: DataFrame) -> DataFrame:
+    """The second surface, from text and amount alone: of the model if there is one, on the features with those of words, fields and images set as predict_without_words has them; else of the rules."""
+    if bundle.model is None:
+        return anomaly.predict_without_words(rows)
+    has = (F.col("amount") > 0).cast("double")
+    plain = {c: F.lit(0.0) for c in (*C.IMAGE_FEATURES, *C.ELA_FEATURES, "ocr_mean_confidence", "ocr_low_conf_ratio", "word_count", "vendor_confidence", "date_confidence", *C.LOCAL_FEATURES)}
+    rows = rows.withColumns({**plain, "total_confidence": has, "field_presence": has})
+    return scored(bundle, rows.withColumn("vector", F.array(*[F.col(c) for c in features.VECTOR])))
 
 
 def predict(bundle: Bundle, docs: DataFrame, lines: DataFrame | None = None, words: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:

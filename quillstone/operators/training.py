@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -9,28 +11,46 @@ from pyspark.sql import functions as F
 
 from quillstone import config as C
 from quillstone.functions.dates import detect_format
+from quillstone.functions.quantiles import percentiles
 from quillstone.functions.text import collapse, strip
 
 
-def training_stats(records: DataFrame) -> DataFrame:
-    """records (vendor: predicted, true_vendor, true_date, amount) to one row of statistics.
+@dataclass
+class Stats:
+    """What a training set teaches, as tables: numbers (one row), vendors (vendor: predicted ones, distinct), known (vendor, n: true ones), formats (format, n: of true dates, of which there are few)."""
+
+    numbers: DataFrame
+    vendors: DataFrame
+    known: DataFrame
+    formats: DataFrame
+
+
+NUMBERS = ("n_amounts", "amount_mean", "amount_std", "amount_q1", "amount_q3", "amount_min", "amount_max")
+
+
+def training_stats(records: DataFrame) -> Stats:
+    """records (vendor: predicted, true_vendor, true_date, amount: predicted, true_amount if known) to statistics.
 
-    amount_mean, std (population), q1, q3 (interpolated), min, max over all amounts given; vendors: sorted distinct predicted ones;
-    known_vendors and vendor_frequencies: true ones; date_format_frequencies: of true dates. Sets and maps are as large as there are
-    vendors: they are meant for a training set, not for a corpus.
+    Mean, deviation (population) and quartiles (interpolated) are of the true amounts where there is any, else of the predicted ones; least and largest are of true
+    amounts only. Without any they are 0. Quartiles come from histograms; no set or list of values is held anywhere.
     """
-    numbers = records.agg(
-        F.count("amount").alias("n_amounts"), F.coalesce(F.avg("amount"), F.lit(0.0)).alias("amount_mean"), F.coalesce(F.stddev_pop("amount"), F.lit(0.0)).alias("amount_std"),
-        F.coalesce(F.percentile("amount", 0.25), F.lit(0.0)).alias("amount_q1"), F.coalesce(F.percentile("amount", 0.75), F.lit(0.0)).alias("amount_q3"),
-        F.coalesce(F.min("amount"), F.lit(0.0)).alias("amount_min"), F.coalesce(F.max("amount"), F.lit(0.0)).alias("amount_max"),
-        F.array_sort(F.collect_set(F.nullif(strip(F.col("vendor")), F.lit("")))).alias("vendors"), F.array_sort(F.collect_set(F.nullif(strip(F.col("true_vendor")), F.lit("")))).alias("known_vendors"),
-    )
-
-    def counts(key, name):
-        pairs = records.select(key.alias("k")).filter("k is not null and k != ''").groupBy("k").agg(F.count("*").cast("int").alias("n"))
-        return pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-
-    return numbers.crossJoin(counts(strip(F.col("true_vendor")), "vendor_frequencies")).crossJoin(counts(detect_format(F.col("true_date")), "date_format_frequencies"))
+    true = F.col("true_amount") if "true_amount" in records.columns else F.lit(None)
+    each = F.explode(F.array(F.struct(F.lit(True).alias("true"), true.cast("double").alias("v")), F.struct(F.lit(False).alias("true"), F.col("amount").cast("double").alias("v"))))
+    counts = records.select(each.alias("x")).select("x.*").filter("v is not null and not isnan(v)").groupBy("true", "v").agg(F.count("*").alias("n")).persist()
+    try:
+        mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+        sums = {r["true"]: r for r in counts.groupBy("true").agg(F.sum("n").alias("n"), mean.alias("mean"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+        of = True in sums
+        n, average, low, high = sums[of][1:] if sums else (0, 0.0, 0.0, 0.0)
+        own = counts.filter(F.col("true") == of)
+        spread = own.agg(F.sum(F.col("n") * (F.col("v") - average) * (F.col("v") - average)) / max(n, 1)).first()[0] if n else 0.0
+        q1, q3 = percentiles(own, n, low, high, (0.25, 0.75)) if n else (0.0, 0.0)
+    finally:
+        counts.unpersist()
+    row = (n, average, spread**0.5, q1, q3, low if of else 0.0, high if of else 0.0)
+    numbers = records.sparkSession.createDataFrame([row], "n_amounts long, " + ", ".join(f"{c} double" for c in NUMBERS[1:]))
+    tally = lambda key, name: records.select(key.alias(name)).filter(f"{name} is not null and {name} != ''").groupBy(name).agg(F.count("*").alias("n"))
+    return Stats(numbers, tally(strip(F.col("vendor")), "vendor").select("vendor"), tally(strip(F.col("true_vendor")), "vendor"), tally(detect_format(F.col("true_date")), "format"))
 
 
 def vendor_priors(records: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from quillstone.functions import amounts, dates
 from quillstone.functions.text import normalized_for_match, text_features as text_features_of
 from quillstone.operators import anomaly, evaluate, extract, features, image, layout, models, review, summary, training
 from quillstone.sources import views
+from quillstone.sources.shared import settled
 from quillstone.sources.views import raster_pixels, receipts, table
 
 LONG = "long"
@@ -111,8 +112,9 @@ def extract_fields_with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(extract.extract_from_text(r, training.vendor_priors(r), _stats(r)), *C.FIELDS)
 
 
-def _stats(r: DataFrame) -> DataFrame:
-    return training.training_stats(r.select("vendor", F.col("vendor").alias("true_vendor"), F.col("date").alias("true_date"), F.col("total").cast("double").alias("amount")))
+def _stats(r: DataFrame) -> training.Stats:
+    total = F.col("total").cast("double")
+    return training.training_stats(r.select("vendor", F.col("vendor").alias("true_vendor"), F.col("date").alias("true_date"), total.alias("amount"), total.alias("true_amount")))
 
 
 def total_subtotal_tax_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,11 +160,13 @@ def page_merge_best_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stats(receipts(spark, sf_dir))
-    return s.select(
-        "n_amounts", *[F.round(c, 4).alias(c) for c in ("amount_mean", "amount_std", "amount_q1", "amount_q3", "amount_min", "amount_max")], F.size("vendors").alias("n_vendors"),
-        F.element_at("vendors", 1).alias("first_vendor"), F.size("vendor_frequencies").alias("n_known"), F.aggregate(F.map_values("date_format_frequencies"), F.lit(0), lambda a, x: a + x).alias("n_dates"),
-        F.size("date_format_frequencies").alias("n_formats"),
-    )
+    numbers = s.numbers.select("n_amounts", *[F.round(c, 4).alias(c) for c in training.NUMBERS[1:]])
+    for part in (
+        s.vendors.agg(F.count("*").cast("int").alias("n_vendors"), F.min("vendor").alias("first_vendor")), s.known.agg(F.count("*").cast("int").alias("n_known")),
+        s.formats.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_dates"), F.count("*").cast("int").alias("n_formats")),
+    ):
+        numbers = numbers.crossJoin(part)
+    return numbers
 
 
 def amount_zscore_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,7 +403,8 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on training.FIT_ROWS receipts at most, all receipts scored."""
     r = receipts(spark, sf_dir)
-    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label").cache()
+    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label")
+    rows = settled(rows, "gbt-rows")
     fitted = training.fit_rows(rows).cache()
     model = training.classifier().fit(fitted)
     fitted.unpersist()

@@ -92,19 +92,35 @@ def read_pdf_pages(spark: SparkSession, folder: str, rasterise=None, dpi: int =
     return files.mapInPandas(pages, schema)
 
 
-def ocr_words(pages: DataFrame, recognise=None) -> DataFrame:
-    """Raw OCR column arrays of pages (doc_id, page_index, image) by a plug-in: recognise(image as a dict) gives a dict of lists."""
+def ocr_words(pages: DataFrame, recognise=None, prepare=None) -> DataFrame:
+    """Raw OCR column arrays of pages (doc_id, page_index, image) by a plug-in: recognise(image as a dict) gives a dict of lists.
+
+    With prepare(image as a dict), which gives a gray array or None, recognise takes that array; a page without one, or on which the engine fails, has empty
+    arrays and the reason in `problem`. Decoding, preparing and reading are one pass over the pixels.
+    """
     if recognise is None:
         raise RuntimeError("OCR needs an engine: pass a function of an image, or read a table of words")
     arrays = ("text", "left", "top", "width", "height", "conf", "line_num", "block_num", "par_num")
-    schema = "doc_id string, page_index int, " + ", ".join(f"{c} array<string>" for c in arrays)
+    schema = "doc_id string, page_index int, " + ", ".join(f"{c} array<string>" for c in arrays) + ", problem string"
+
+    def one(image: dict) -> dict:
+        if prepare is None:
+            return recognise(image)
+        nothing = {c: [] for c in arrays}
+        if (ready := prepare(image)) is None:
+            return nothing | {"problem": "the image can't be decoded"}
+        try:
+            return recognise(ready)
+        except Exception as e:  # an engine's failure on a page is a row, not the end of the job
+            return nothing | {"problem": f"{type(e).__name__}: {e}"}
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            found = [recognise(dict(x)) for x in batch.image]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype(str), "page_index": batch.page_index} | {c: [[None if v is None else str(v) for v in f[c]] for f in found] for c in arrays})
+            found = [one(dict(x)) for x in batch.image]
+            columns = {c: [[None if v is None else str(v) for v in f[c]] for f in found] for c in arrays}
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype(str), "page_index": batch.page_index} | columns | {"problem": [f.get("problem") for f in found]})
 
     return pages.select("doc_id", "page_index", "image").mapInPandas(run, schema)
 
@@ -127,9 +143,13 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, folder: str, rasterise=None, dpi: int = 200) -> DataFrame:
-    """path, page_index, image of all documents in a folder: by suffix, PDF files through the rasteriser, others as one image. Without a rasteriser PDF files are left out."""
+    """path, page_index, image of all documents in a folder: by suffix, PDF files through the rasteriser, others as one image. PDF files without a rasteriser are an error."""
     images = read_images(spark, folder)
-    return images if rasterise is None else images.unionByName(read_pdf_pages(spark, folder, rasterise, dpi))
+    if rasterise is not None:
+        return images.unionByName(read_pdf_pages(spark, folder, rasterise, dpi))
+    if spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder).select("path").limit(1).count():
+        raise RuntimeError("PDF pages need a rasteriser: pass a function of bytes and dpi")
+    return images
 
 
 def pages_of_records(records: DataFrame, pages: DataFrame, folder: str) -> DataFrame:
@@ -151,11 +171,29 @@ def write_synthetic(records: DataFrame, path: str) -> DataFrame:
     return records.groupBy(F.col("label.is_forged").alias("is_forged")).agg(F.count("*").alias("n"))
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """JSON lines in the order of column ordinal, nulls written. One file keeps the order, so it is one task's work: predictions are a few fields a document."""
-    df.orderBy("ordinal").select("id", "vendor", "date", "total", "is_forged").coalesce(1).write.option("ignoreNullFields", "false").json(path)
+#: Predictions in one file.
+FILE_ROWS = 1_000_000
+
+
+def write_predictions(df: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """JSON lines in the order of column ordinal, nulls written, about `rows` a file: files are ranges of ordinals, so that concatenated by name they are in order, and each is a task's work."""
+    files = max(1, -(-df.count() // rows))
+    ordered = df.repartitionByRange(files, "ordinal").sortWithinPartitions("ordinal")
+    ordered.select("id", "vendor", "date", "total", "is_forged").write.option("ignoreNullFields", "false").json(path)
+
+
+def read_ordered_records(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest records with ordinal, their line's number."""
+    rows = read_numbered_lines(spark, path).withColumn("r", F.from_json("value", RECORD, {"mode": "FAILFAST"}))
+    return validate_records(rows.select(F.col("line_no").alias("ordinal"), "r.*"))
 
 
-def stats_json(stats: DataFrame) -> DataFrame:
-    """A row of statistics as JSON with sorted keys."""
-    return stats.select(F.to_json(F.struct(*sorted(stats.columns)), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+def stats_json(stats) -> DataFrame:
+    """Training statistics (see training_stats) as one JSON document with sorted keys: by its form it holds all vendors, so it is an export of a training set, nothing reads it back."""
+    listed = lambda df, c: df.agg(F.array_sort(F.collect_list(c)).alias("x"))
+    mapped = lambda df, c: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias("x"))
+    row = stats.numbers.drop("n_amounts")
+    lower = stats.known.select(F.lower("vendor").alias("vendor")).distinct()
+    for name, part in (("vendors", listed(stats.vendors, "vendor")), ("known_vendors", listed(lower, "vendor")), ("vendor_frequencies", mapped(stats.known, "vendor")), ("date_format_frequencies", mapped(stats.formats, "format"))):
+        row = row.crossJoin(part.withColumnRenamed("x", name))
+    return row.select(F.to_json(F.struct(*sorted(row.columns)), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))

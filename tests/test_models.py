@@ -46,8 +46,7 @@ def test_too_few_rows_leave_the_rules(spark, docs, tmp_path):
 
 def test_predict_manifest(spark, docs, tmp_path):
     given = spark.createDataFrame([("Bright Market", "Bright Market", "2024-01-02", 20.0), ("Shop", "Shop", "2024-01-03", 30.0)], "vendor string, true_vendor string, true_date string, amount double")
-    stats = training_stats(given)
-    bundle = models.Bundle(spark.createDataFrame(stats.collect(), stats.schema))
+    bundle = models.Bundle(training_stats(given))
     words = [("a", 0, i, t, x, y, 40, 10, 90.0, 1, 1, n) for i, (t, x, y, n) in enumerate([("Bright", 10, 5, 1), ("Market", 55, 5, 1), ("Date:", 10, 20, 2), ("2024-01-24", 50, 20, 2), ("TOTAL", 10, 35, 3), ("45.60", 60, 35, 3)])]
     records = spark.createDataFrame([(1, "b", "b.png"), (0, "a", "a.png")], "ordinal int, id string, image_path string")
     out = models.predict_manifest(bundle, records, spark.createDataFrame(words, WORD))
