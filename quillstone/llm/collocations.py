@@ -4,7 +4,7 @@ Words are ordered by counters of hashed words over all texts, rarest first (ties
 same order without holding a vocabulary. For each occurrence of a word a fragment is made: the word with up to three neighbours on either side, cut
 where a piece ends, where a word is rarer (to the left: or the same), and where the counter of the words up to there is below the least count. An n-gram belongs to
 the first occurrence of its rarest word in it. Those that start before the pivot come from one fragment, those that start at it from another, dealt by
-pivot and neighbour, so that all occurrences of an n-gram meet in one task and its count is final there. Equal fragments of a batch are merged before they are dealt.
+pivot and neighbour, so that all occurrences of an n-gram meet in one task and its count is final there. A task merges its equal fragments and packs those of a bucket of pivots into one compressed row before they are dealt.
 
 Counters are of words and pairs in a first pass over the texts and of three and four words in a second one. They only bound counts from above: they order and cut, what is counted is
 exact. They have a fixed size (WORDS, GRAMS), 13 MB in all once they are levels and bits; that is all that is broadcast. With more text than they can tell apart, less is cut, and
@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, drop, partitions
+from quillstone.llm.common import cut, few_rows, partitions
 
 LONGEST = 4
 WORDS, GRAMS, SLICES = 1 << 20, 1 << 25, 64
 #: Bytes of text that are cut into words at once, bytes of a batch, and words that a task knows at once.
 STRETCH, BATCH, KNOWN = 4 << 20, 6 << 20, 1_000_000
+#: Fragments that a task merges at once, and buckets for each partition: a task counts the n-grams of one bucket at a time.
+HELD, BUCKETS = 1_500_000, 2
 #: A pivot with more occurrences than this is dealt to several tasks, by neighbour.
 PART = 1 << 17
 
@@ -207,8 +209,8 @@ def rarity(vocabulary: Vocabulary, levels: np.ndarray) -> tuple[np.ndarray, np.n
     return rank, level
 
 
-def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART) -> pa.RecordBatch | None:
-    """pivot, part, at (words before the pivot), words, n: each word alone with its count, then fragments of two or more words."""
+def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART, into: int = 1) -> pa.RecordBatch | None:
+    """bucket (below `into`, by pivot and part), at (words before the pivot), words, n: each word alone with its count, then fragments of two or more words."""
     c = Context(vocabulary, ids, levels, bits, least)
     ids, place, (_, pair, three, four) = c.ids, c.place, c.fine
     at = np.flatnonzero(place >= 0)
@@ -244,64 +246,90 @@ def fragments_of(vocabulary: Vocabulary, ids: np.ndarray, levels: np.ndarray, bi
     names = pa.array(vocabulary.words, pa.binary())
     parts = 1 + (counted(c.level[columns[3]]) // most).astype(np.int64)
     neighbour = np.where(columns[2] > 0, columns[2], columns[4])
-    part = np.concatenate((np.zeros(len(alone), np.int64), (h[neighbour] >> np.uint64(20)).astype(np.int64) % parts))
+    part = (h[neighbour] >> np.uint64(20)).astype(np.int64) % parts
     texts = pc.binary_join_element_wise(*[names.take(pa.array(x, mask=x == 0)) for x in columns], b" ", null_handling="skip")
-    single = names.take(pa.array(alone))
+    owner = np.concatenate((h[alone], mixed(h[columns[3]], part.astype(np.uint64))))
+    before = np.concatenate((np.zeros(len(alone), np.int64), (columns[:3] > 0).sum(0)))
     return pa.RecordBatch.from_pydict({
-        "pivot": pa.concat_arrays([single, names.take(pa.array(columns[3]))]), "part": pa.array(part, pa.int32()),
-        "at": pa.array(np.concatenate((np.zeros(len(alone), np.int64), (columns[:3] > 0).sum(0))), pa.int32()),
-        "words": pa.concat_arrays([single, texts]), "n": np.concatenate((count, times)).astype(np.int64),
+        "bucket": (owner >> np.uint64(11)).astype(np.int64) % into, "at": pa.array(before, pa.int8()), "words": pa.concat_arrays([names.take(pa.array(alone)), texts]), "n": np.concatenate((count, times)).astype(np.int64),
     })
 
 
-def fragments(texts: DataFrame, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART) -> DataFrame:
-    """lang, pivot, part, at, words, n of all texts; with an empty pivot the number of all words of a language."""
-    schema = "lang string, pivot binary, part int, at int, words binary, n long"
+def packed(lang: str, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Fragments of one language as a compressed list for each bucket: words, at and n of each, which '.' ends and ',' parts, since no word has either."""
+    import zstandard
+
+    whole = pa.Table.from_batches(rows).group_by(["bucket", "at", "words"]).aggregate([("n", "sum")]).combine_chunks()
+    order = pc.sort_indices(whole, sort_keys=[("bucket", "ascending"), ("words", "ascending")])
+    whole = whole.take(order)
+    bucket = whole.column("bucket").to_numpy()
+    text = lambda c: whole.column(c).cast(pa.string()).cast(pa.binary())
+    lines = pc.binary_join_element_wise(whole.column("words"), text("at"), text("n_sum"), b",").to_pylist()
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    data = [squeeze(b".".join(lines[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edges[:-1]], pa.int32()), "lang": pa.array([lang] * len(data), pa.string()), "data": data})
+
+
+def fragments(texts: DataFrame, levels: np.ndarray, bits: list[np.ndarray], least: int, most: int = PART, into: int = 200) -> DataFrame:
+    """bucket, lang, data: all texts' fragments, packed by the bucket of their pivot; without words, the number of all words of a language. A task merges its equal fragments, HELD at once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
+        held: dict[str, list[pa.RecordBatch]] = {}
         for lang, some in by_language(batches):
             vocabulary = vocabulary_of(known, lang)
             ids = vocabulary.ids(some)
-            out = [pa.RecordBatch.from_pydict({"pivot": pa.array([b""]), "part": pa.array([0], pa.int32()), "at": pa.array([0], pa.int32()), "words": pa.array([b""]), "n": [int((ids > 0).sum())]})]
-            if (made := fragments_of(vocabulary, ids, levels, bits, least, most)) is not None:
-                out.append(made)
-            for batch in out:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * batch.num_rows, pa.string()), *batch.columns], names=["lang", *batch.schema.names])
+            rows = held.setdefault(lang, [])
+            rows.append(pa.RecordBatch.from_pydict({"bucket": [0], "at": pa.array([0], pa.int8()), "words": [b""], "n": [int((ids > 0).sum())]}))
+            if (made := fragments_of(vocabulary, ids, levels, bits, least, most, into)) is not None:
+                rows.append(made)
+            if sum(b.num_rows for x in held.values() for b in x) > HELD:
+                largest = max(held, key=lambda x: sum(b.num_rows for b in held[x]))
+                yield packed(largest, held.pop(largest))
+        for lang, rows in held.items():
+            yield packed(lang, rows)
 
-    return texts.mapInArrow(make, schema)
+    return texts.mapInArrow(make, "bucket int, lang string, data binary")
 
 
 def miner(least: int):
-    """The frequent n-grams around pivots, pivot by pivot; rows come sorted by lang, pivot and part, and hold all occurrences of theirs."""
+    """The frequent n-grams of each bucket, which holds all occurrences of its own; rows come sorted by bucket and lang."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor().decompress
         key, counts = None, {}
-        for batch in batches:
-            for lang, pivot, part, at, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (own := (lang, pivot, part)) != key:
-                    held += [(key[0], g, f) for g, f in counts.items() if f >= least or not g]
-                    key, counts = own, {}
-                    if len(held) > 50_000:
-                        yield _grams(held)
-                        held = []
-                if b" " not in words:
-                    counts[words] = counts.get(words, 0) + n
-                    continue
-                edges = [0]
-                space = words.find(b" ")
-                while space >= 0:
-                    edges.append(space + 1)
-                    space = words.find(b" ", space + 1)
-                edges.append(len(words) + 1)
-                for lo in range(at) if at else (0,):
-                    for hi in range(max(at + 1, lo + 2), min(len(edges) - 1, lo + LONGEST) + 1):
-                        gram = words[edges[lo] : edges[hi] - 1]
-                        counts[gram] = counts.get(gram, 0) + n
-        held += [(key[0], g, f) for g, f in counts.items() if f >= least or not g]
-        if held:
-            yield _grams(held)
+
+        def found() -> list[tuple]:
+            return [(key[1], g, f) for g, f in counts.items() if f >= least or not g]
+
+        for batch in few_rows(batches, 64):
+            for bucket, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, lang) != key:
+                    if key is not None and (rows := found()):
+                        yield _grams(rows)
+                    key, counts = (bucket, lang), {}
+                for line in loose(data).split(b"."):
+                    words, at, n = line.split(b",")
+                    n = int(n)
+                    space = words.find(b" ")
+                    if space < 0:
+                        counts[words] = counts.get(words, 0) + n
+                        continue
+                    edges = [0]
+                    while space >= 0:
+                        edges.append(space + 1)
+                        space = words.find(b" ", space + 1)
+                    edges.append(len(words) + 1)
+                    at, last = int(at), len(edges) - 1
+                    for lo in range(at) if at else (0,):
+                        for hi in range(max(at + 1, lo + 2), min(last, lo + LONGEST) + 1):
+                            gram = words[edges[lo] : edges[hi] - 1]
+                            counts[gram] = counts.get(gram, 0) + n
+        if key is not None and (rows := found()):
+            yield _grams(rows)
 
     return mine
 
@@ -321,9 +349,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, most: int = PART) -> Data
         return [buckets(c.grams[k][c.fine[k]]) for k in (2, 3)]
 
     bits = [pairs, *tallies(texts, longer, (GRAMS, GRAMS), least)]
-    found = fragments(texts, levels, bits, least, most).repartition(partitions(docs.sparkSession), "lang", "pivot", "part")
-    mined = found.sortWithinPartitions("lang", "pivot", "part").mapInArrow(miner(least), "lang string, gram binary, f long")
-    # Only the numbers of all words of a language come from several tasks' rows of one pivot, which is whole too: no counts are left to add up.
+    into = BUCKETS * partitions(docs.sparkSession)
+    found = fragments(texts, levels, bits, least, most, into).repartition(partitions(docs.sparkSession), "bucket", "lang")
+    mined = found.sortWithinPartitions("bucket", "lang").mapInArrow(miner(least), "lang string, gram binary, f long")
     return mined.select("lang", F.col("gram").cast("string").alias("gram"), "f")
 
 
