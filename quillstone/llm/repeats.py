@@ -221,19 +221,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
             out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in rows]
             yield pa.RecordBatch.from_arrays([*map(pa.array, key), pa.array(out[0].astype(np.int32)), pa.array(out[1].astype(np.int32)), *map(pa.array, out[2:])], names=["k", "th", "s", "w", "key", "d1", "d2"])
 
-    found = cut(docs.select("k", "th", "text").mapInArrow(name, "k long, th long, s int, w int, key long, d1 long, d2 long"), "stretches")
-    often = found.groupBy("key").agg(F.count("*").alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2")).filter("n > 1")
+    # Rows that share a key have one text: it is named once, with their number, and where that is above one all its windows are repeated.
+    same = cut(docs.groupBy("k", "th").agg(F.count("*").alias("rows")).filter("rows > 1"), "same-rows")
+    named = cut(docs.select("k", "th", "text").mapInArrow(name, "k long, th long, s int, w int, key long, d1 long, d2 long"), "named")
+    told = named.join(same, ["k", "th"], "left")
+    once = told.filter("rows is not null").groupBy("k", "th", "s", "w", *digest).agg(F.max("rows").alias("rows"))
+    found = cut(told.filter("rows is null").withColumn("rows", F.lit(1).cast("long")).unionByName(once), "stretches")
+    drop(named)
+    often = found.groupBy("key").agg(F.sum("rows").alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2")).filter("n > 1")
     # Written first: then the join's sides are mere exchanges, and Spark splits a gram that a large part of the texts share.
     often = cut(often.select("key", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed")), "often")
     again = cut(found.join(often, "key"), "again")
     drop(found, often)
-    distinct = cut(again.filter("mixed").groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "s", "w")).alias("at")), "distinct")
+    distinct = cut(again.filter("mixed").groupBy(*digest).agg(F.sum("rows").alias("n"), F.min(F.struct("k", "th", "s", "w")).alias("at")), "distinct")
     # Only crowded grams are joined, each in SALTS rows (so at most SALTS for each `most` stretches), and their stretches spread over those.
     crowd = distinct.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most)
     crowd = crowd.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("crowded"))
     wanted = distinct.withColumn("salt", F.pmod("d1", F.lit(SALTS)).cast("int")).join(crowd, ["key", "salt"], "left")
     wanted = wanted.select(*digest, F.coalesce("crowded", F.lit(False)).alias("crowded"), "at.*")
     bodies = docs.select("k", "th", F.col("text").cast("binary").alias("b"))
+    several = bodies.join(same, ["k", "th"], "left_semi").groupBy("k", "th").agg(F.max("b").alias("b"))
+    bodies = bodies.join(same, ["k", "th"], "left_anti").unionByName(several)
     piece = F.expr(f"substring(b, s + 1, w + {length - 1})")
     pieces = cut(wanted.join(bodies, ["k", "th"]).select(*digest, "crowded", piece.alias("piece")), "pieces")
 
@@ -254,8 +262,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 if size >= block and row[0] != held[-1][0]:
                     yield out(held)
                     held, size = [], 0
-                if held and row[:3] == held[-1][:3]:
-                    continue  # of rows that repeat an id and text, one stands for all
                 held.append(row)
                 size += len(row[3])
         if held:
@@ -275,7 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 same = [pa.array(np.full(len(ids), batch.column(c)[i].as_py(), np.int64)) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())], names=["key", "d1", "d2", "o", "h1", "h2"])
 
-    each = pieces.filter("crowded").select(*digest, "piece").dropDuplicates(digest).mapInArrow(windows, "key long, d1 long, d2 long, o int, h1 long, h2 long")
+    each = pieces.filter("crowded").select(*digest, "piece").mapInArrow(windows, "key long, d1 long, d2 long, o int, h1 long, h2 long")
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
     counted = each.join(twice, ["h1", "h2"]).select(*digest, "o", F.lit(1).alias("m"))
     # Of runs of single windows, neighbours make one.
@@ -288,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     hits = again.filter("mixed").join(marks, digest).select("k", "th", (F.col("s") + F.col("o")).alias("a"), (F.col("s") + F.col("o") + F.col("m") + length - 1).alias("z"))
     hits = hits.unionByName(again.filter("not mixed").select("k", "th", F.col("s").alias("a"), (F.col("s") + F.col("w") + length - 1).alias("z")))
     out = cut(hits.groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
-    drop(again, distinct, pieces)
+    drop(again, distinct, pieces, same)
     return out
 
 

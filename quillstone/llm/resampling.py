@@ -86,19 +86,19 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return share(target) - share(raw)
 
 
-def log_weight(text: str | None, ratios: np.ndarray) -> float | None:
+def log_weight(text: str | None, ratios: np.ndarray, scale: float = SCALE) -> float | None:
     """None for a text without n-grams, of which the models say nothing."""
     found = buckets_of(text)
-    return SCALE * float(ratios[found].mean()) if len(found) else None
+    return scale * float(ratios[found].mean()) if len(found) else None
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
     """The weight from which on documents count as good: of those that keep at least `keep` of the good ones, one that drops the most bad ones.
 
-    Among equals, the middle of the widest gap. With one kind only, a weight that keeps all.
+    Among equals, the middle of the widest gap. With one kind only, or none, there is nothing to tell apart: minus infinity keeps all.
     """
     if good.all() or not good.any():
-        return float(weights.min()) if len(weights) else -math.inf
+        return -math.inf
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     below_bad, below_good = np.concatenate(([0], np.cumsum(~g))), np.concatenate(([0], np.cumsum(g)))
@@ -109,25 +109,25 @@ def best_cut(weights: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float
     return float((low[best] + high[best]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, scale: float = SCALE) -> tuple[np.ndarray, float]:
     """The log ratio of each bucket and the cut. Labels: doc_id, quality (1 is good); null labels and ids are left out."""
     chosen = labels.select("doc_id", (F.col("quality") == 1).alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
     # At most `labelled` ids, so the broadcast is bounded.
     texts = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
     ratios = log_ratios(gram_counts(texts.filter("good and half = 0")), gram_counts(docs))
-    held = weigh(texts.filter("half = 1").select("good", "text"), ratios).select("good", "log_weight").dropna().toPandas()
+    held = weigh(texts.filter("half = 1").select("good", "text"), ratios, scale).select("good", "log_weight").dropna().toPandas()
     return ratios, best_cut(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def weigh(docs: DataFrame, ratios: np.ndarray, scale: float = SCALE) -> DataFrame:
     """docs with log_weight beside their own columns (of which none may have that name), in place."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            out = pa.array([log_weight(t, shared.value) for t in batch.column(at).to_pylist()], pa.float64())
+            out = pa.array([log_weight(t, shared.value, scale) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "log_weight"])
 
     from pyspark.sql import types as T
@@ -162,20 +162,21 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None, temperature: float = TEMPERATURE, scale: float = SCALE) -> DataFrame:
     """docs' columns as struct row, log_weight, key and kept.
 
-    k: how many documents to draw; None: as many as weigh at least the labelled cut. temperature 0 makes the draw a plain
+    k: how many documents to draw; None: as many as weigh at least the labelled cut (the mode for cleaning: weights then lie far apart on both sides of the cut, so that noise hardly moves any document across
+    it). With a k below that and a smaller scale the draw is a sample by weight, in which lighter documents take the place of heavier ones. temperature 0 makes the draw a plain
     choice of the k heaviest. A text without n-grams (null, empty, one byte) has no weight and isn't kept. Keys that tie with
     the k-th are all kept. Rows that repeat an id and text have the same noise. Without labels of both kinds all documents
     with a weight are kept. An empty table gives an empty result.
     """
-    ratios, least = fit(docs, labels)
+    ratios, least = fit(docs, labels, scale=scale)
     plain = docs.select(whole_row(docs).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    scores = cut(weigh(plain.drop("row"), ratios).select(gumbel_key(seed, temperature).alias("key"), "log_weight").dropna(), "keys")
+    scores = cut(weigh(plain.drop("row"), ratios, scale).select(gumbel_key(seed, temperature).alias("key"), "log_weight").dropna(), "keys")
     last = kth_largest(scores, scores.filter(F.col("log_weight") >= least).count() if k is None else min(k, scores.count()))
     kept = F.lit(False) if last is None else F.coalesce(F.col("key") >= last, F.lit(False))
-    return weigh(plain, ratios).withColumn("key", gumbel_key(seed, temperature)).select("row", "log_weight", "key", kept.alias("kept"))
+    return weigh(plain, ratios, scale).withColumn("key", gumbel_key(seed, temperature)).select("row", "log_weight", "key", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 42, k: int | None = None) -> DataFrame:

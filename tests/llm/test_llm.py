@@ -416,6 +416,26 @@ def test_remove_repeats(spark, empty, odd, most):
     assert Counter((x.doc_id, bytes(x.kept)) for x in remove_repeats(odd, 40, 16, most, 3000, with_text=True).collect()) == want
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_copies_of_a_row_are_named_once(spark, most):
+    """What is known of a text doesn't grow with the number of rows that repeat it, with an id or without."""
+    from quillstone.llm.repeats import remove_repeats, repeated_spans
+
+    r = random.Random(11)
+    body = "".join(r.choice("abcdefghij ") for _ in range(700))
+    sizes = []
+    for copies in (2, 200, 2000):
+        rows = [(None, body)] * copies + [(5, body[:300])] * 3 + [(6, "x" + body[100:200]), (7, "lone " * 3), (8, "".join(r.choice("klmnopqrst") for _ in range(200)))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
+        spans = repeated_spans(keyed, 40, 16, most, 3000).collect()
+        assert len({(x.k, x.th) for x in spans}) == len(spans)
+        sizes.append(sorted(len(x.spans) for x in spans))
+        got = Counter((x.doc_id, x.n_bytes, x.n_removed) for x in remove_repeats(docs, 40, 16, most, 3000).collect())
+        assert got == {(None, 700, 700): copies, (5, 300, 300): 3, (6, 101, 100): 1, (7, 15, 0): 1, (8, 200, 0): 1}
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
 def test_run_length_index():
     from quillstone.llm.repeats import RunIndex, long_repeats, suffix_array
 
@@ -461,8 +481,14 @@ def test_resampling(spark, empty, odd):
     assert [kth_largest(few, i) for i in range(7)] == [None, 9.0, 5.0, 5.0, 2.0, 2.0, 1.0]
     assert best_cut(np.array([0.0, 1, 5, 6]), np.array([False, False, True, True])) == 3.0
     assert resample(odd, labels).count() == odd.count() and resample(empty, labels).count() == 0
-    none = spark.createDataFrame([], "doc_id long, quality int")
-    assert resample(docs, none).count() == 362
+    # With one kind of label, or none, there is nothing to tell apart: all that have a weight stay.
+    for own in (labels.filter("quality = 1"), labels.filter("quality = 0"), spark.createDataFrame([], "doc_id long, quality int")):
+        assert Counter((x.kept, x.log_weight is None) for x in resample(docs, own).collect()) == {(True, False): 360, (False, True): 2}
+    # A draw of half the documents by small weights: some that stay out are heavier than some that stay in.
+    drawn = resample(docs, labels, k=180, scale=8.0).collect()
+    assert sum(x.kept for x in drawn) == 180
+    out, in_ = ([x.log_weight for x in drawn if x.log_weight is not None and x.kept == side] for side in (False, True))
+    assert sum(w > np.median(in_) for w in out) > 3 and np.mean(in_) > np.mean(out)
 
 
 def test_resampling_against_brute_force(spark, odd):
