@@ -109,20 +109,31 @@ class Spans:
         return head + self.turns, len(head) + self.new
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows with `at`, their place in their conversation (conv_id, turn, role, text; nulls first)."""
+def told(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """rows (conv_id, turn, role, text) as conv_id, at (their place in the conversation by turn, role and text; nulls first), role, body (the turn as written) and tokens.
+
+    Turns are sorted by ranges and counted where they lie. Only the first conversation of a range can have begun before it, so what is added to those counts is
+    a row a range at most.
+    """
     order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role")]
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartitionByRange(n, *order, F.xxhash64("text")).sortWithinPartitions(*order, F.asc_nulls_first("text"))
-    dealt = cut(dealt.withColumn("place", F.monotonically_increasing_id()), "turns")
-    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    dealt = dealt.withColumn("part", part).withColumn("within", within).drop("place")
-    # Of each conversation a row for each range that it reaches: sums over those give the numbers of the turns before.
-    stats = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("turns"), F.min("within").alias("first"))
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order, F.substring("text", 1, 64)).sortWithinPartitions(*order, F.asc_nulls_first("text"))
+    bodies = dealt.select("conv_id", F.spark_partition_id().alias("part"), "role", turn_text(F.col("role"), F.col("text")).alias("body"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, last, nth = library_cache(tokenizer), "none yet", 0
+        for batch in few_rows(batches):
+            _, offsets = ids_of(Pieces(batch.column("body"), keep_runs=True), cache)
+            places = []
+            for conv in batch.column("conv_id").to_pylist():
+                last, nth = conv, nth + 1 if conv == last else 0
+                places.append(nth)
+            yield batch.append_column("tokens", pa.array(np.diff(offsets).astype(np.int64))).append_column("nth", pa.array(places, pa.int64()))
+
+    found = cut(bodies.mapInArrow(count, "conv_id long, part int, role string, body string, tokens long, nth long"), "turns")
     before = F.sum("turns").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("turns")
-    stats = stats.withColumn("before", before).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "first", "before")
-    met = dealt.join(stats, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    return met.withColumn("at", F.col("within") - F.col("first") + F.col("before")).drop("part", "within", "first", "before", "c", "p")
+    begun = found.groupBy("conv_id", "part").agg(F.count("*").alias("turns")).withColumn("before", before).filter("before > 0").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before")
+    met = found.join(F.broadcast(begun), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return met.select("conv_id", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("at"), "role", "body", "tokens")
 
 
 def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
@@ -134,22 +145,14 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
     empty = F.lit("")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer)
-        for batch in few_rows(batches):
-            _, offsets = ids_of(Pieces(batch.column("body"), keep_runs=True), cache)
-            yield batch.append_column("tokens", pa.array(np.diff(offsets).astype(np.int64)))
-
-    ordered = numbered(rows)
-    bodies = ordered.select("conv_id", "at", "role", turn_text(F.col("role"), F.col("text")).alias("body"))
-    told = cut(bodies.mapInArrow(count, "conv_id long, at long, role string, body string, tokens long"), "turns-told")
-    own = told.withColumn("block", F.floor(F.col("at") / block)).withColumn("kind", F.lit(2))
+    turns_ = told(rows, tokenizer)
+    own = turns_.withColumn("block", F.floor(F.col("at") / block)).withColumn("kind", F.lit(2))
     # The last turns of a block are history for the next one (a turn has two tokens at least, and history reaches no further back); the system turn goes to each block after its own.
     tail = own.filter(F.col("at") % block >= block - min(block, max(1, history // 2))).withColumn("block", F.col("block") + 1).withColumn("kind", F.lit(1))
-    last = told.groupBy("conv_id").agg(F.floor(F.max("at") / block).alias("last"), F.min(F.when(F.col("role") == "system", F.col("at"))).alias("sys"))
+    last = turns_.groupBy("conv_id").agg(F.floor(F.max("at") / block).alias("last"), F.min(F.when(F.col("role") == "system", F.col("at"))).alias("sys"))
     last = last.withColumnRenamed("conv_id", "c")
     long = last.filter("last > 0 and sys is not null")
-    system = told.join(long, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("sys"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("kind", F.lit(0))
+    system = turns_.join(long, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("sys"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("kind", F.lit(0))
     system = system.filter(F.col("block") > F.floor(F.col("sys") / block)).select(own.columns)
     dealt = own.unionByName(tail).unionByName(system).repartition(partitions(turns.sparkSession), "conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "at")
 
