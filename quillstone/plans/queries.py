@@ -73,6 +73,17 @@ def date_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "idx", "c.raw", "c.iso", F.round("c.score", 6).alias("score"))
 
 
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts for queries that read them more than once: written once, not joined together for each use."""
+    return settled(receipts(spark, sf_dir), "receipts")
+
+
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Receipts and their fields, both written once."""
+    r = _receipts(spark, sf_dir)
+    return r, settled(extract.extract_from_text(r), "fields")
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_from_text(receipts(spark, sf_dir))
 
@@ -108,7 +119,7 @@ def vendor_prior_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_fields_with_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full rule set: vendor priors, known vendors, date formats and amount statistics from the receipts themselves."""
-    r = receipts(spark, sf_dir)
+    r = _receipts(spark, sf_dir)
     return _flat(extract.extract_from_text(r, training.vendor_priors(r), _stats(r)), *C.FIELDS)
 
 
@@ -142,12 +153,13 @@ def ocr_confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.field_word_overlap(_fields(spark, sf_dir), _words(spark, sf_dir)).withColumn("field_conf", F.round("field_conf", 6))
+    r = _receipts(spark, sf_dir)
+    return features.field_word_overlap(extract.extract_from_text(r), layout.words_of_text(r)).withColumn("field_conf", F.round("field_conf", 6))
 
 
 def conflicting_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = receipts(spark, sf_dir).select("doc_id", F.col("shown_total").cast("double").alias("total"))
-    return features.conflicting_amounts(_words(spark, sf_dir), totals)
+    r = _receipts(spark, sf_dir)
+    return features.conflicting_amounts(layout.words_of_text(r), r.select("doc_id", F.col("shown_total").cast("double").alias("total")))
 
 
 def page_merge_best_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +171,7 @@ def page_merge_best_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stats(receipts(spark, sf_dir))
+    s = _stats(_receipts(spark, sf_dir))
     numbers = s.numbers.select("n_amounts", *[F.round(c, 4).alias(c) for c in training.NUMBERS[1:]])
     for part in (
         s.vendors.agg(F.count("*").cast("int").alias("n_vendors"), F.min("vendor").alias("first_vendor")), s.known.agg(F.count("*").cast("int").alias("n_known")),
@@ -178,9 +190,8 @@ def amount_zscore_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feature_rows(spark: SparkSession, sf_dir: str, with_words: bool = False) -> DataFrame:
-    r = receipts(spark, sf_dir)
-    words = layout.words_of_text(r) if with_words else None
-    return features.feature_rows(r, extract.extract_from_text(r), _stats(r), words)
+    r, fields = _read(spark, sf_dir)
+    return features.feature_rows(r, fields, _stats(r), layout.words_of_text(r) if with_words else None)
 
 
 def known_vendor_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +223,7 @@ def _pages(spark: SparkSession, sf_dir: str, fields: DataFrame) -> DataFrame:
 
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 53 slots of each receipt, of text, words and pages."""
-    r = receipts(spark, sf_dir)
-    fields = extract.extract_from_text(r)
+    r, fields = _read(spark, sf_dir)
     rows = features.feature_rows(r, fields, _stats(r), layout.words_of_text(r), image.document_features(_pages(spark, sf_dir, fields)))
     names = [*C.IMAGE_FEATURES, *C.ELA_FEATURES, *["text_line_count" if c == "line_count" else c for c in C.TEXT_FEATURES], *C.CONSISTENCY_FEATURES, *C.EXTRA_FEATURES, *C.LOCAL_FEATURES, "amount"]
     return rows.select("doc_id", F.size("vector").alias("slots"), *[F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate(names)])
@@ -221,9 +231,8 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suspicious_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all four sources: hot blocks of pages, fields that are weak or stand where error levels are high, competing amounts, doubtful words."""
-    r = receipts(spark, sf_dir)
-    fields = extract.extract_from_text(r)
-    pages = _pages(spark, sf_dir, fields)
+    r, fields = _read(spark, sf_dir)
+    pages = settled(_pages(spark, sf_dir, fields), "pages")
     found = anomaly.suspicious_regions(layout.words_of_text(r), fields, image.document_blocks(pages), image.document_patches(pages))
     rows = found.select("doc_id", F.posexplode("regions").alias("place", "box"))
     return rows.select("doc_id", "place", "box.left", "box.top", "box.right", "box.bottom", "box.page")
@@ -305,8 +314,9 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_match_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _fields(spark, sf_dir).select("doc_id", *[F.col(f"{f}.value").alias(f"pred_{f}") for f in C.FIELDS])
-    return evaluate.field_matches(found.join(receipts(spark, sf_dir), "doc_id"))
+    r = _receipts(spark, sf_dir)
+    found = extract.extract_from_text(r).select("doc_id", *[F.col(f"{f}.value").alias(f"pred_{f}") for f in C.FIELDS])
+    return evaluate.field_matches(found.join(r.select("doc_id", *C.FIELDS), "doc_id"))
 
 
 def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,12 +379,14 @@ def normalized_match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.synthetic_receipts(spark)
+    """A made-up record for each order."""
+    return views.synthetic_records(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = anomaly.heuristic_score(_feature_rows(spark, sf_dir))
-    return rows.join(receipts(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    r, fields = _read(spark, sf_dir)
+    rows = anomaly.heuristic_score(features.feature_rows(r, fields, _stats(r)))
+    return rows.join(r.select("doc_id", "text"), "doc_id")
 
 
 def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,9 +403,8 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis: fields, all features of text, words and pages, score, reasons, regions, and the prediction row."""
-    r = receipts(spark, sf_dir)
-    words, fields = layout.words_of_text(r), extract.extract_from_text(r)
-    pages = _pages(spark, sf_dir, fields)
+    r, fields = _read(spark, sf_dir)
+    words, pages = layout.words_of_text(r), settled(_pages(spark, sf_dir, fields), "pages")
     scored = anomaly.heuristic_score(features.feature_rows(r, fields, _stats(r), words, image.document_features(pages)))
     regions = anomaly.suspicious_regions(words, fields, image.document_blocks(pages), image.document_patches(pages))
     out = scored.join(regions, "doc_id", "left")
@@ -402,8 +413,8 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on training.FIT_ROWS receipts at most, all receipts scored."""
-    r = receipts(spark, sf_dir)
-    rows = training.with_vector(_feature_rows(spark, sf_dir, with_words=True).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label")
+    r, fields = _read(spark, sf_dir)
+    rows = training.with_vector(features.feature_rows(r, fields, _stats(r), layout.words_of_text(r)).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label")
     rows = settled(rows, "gbt-rows")
     fitted = training.fit_rows(rows).cache()
     model = training.classifier().fit(fitted)
@@ -420,7 +431,7 @@ def vendor_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = receipts(spark, sf_dir)
+    r = _receipts(spark, sf_dir)
     return review.simple_vendor_of(r, layout.words_of_text(r))
 
 
@@ -447,8 +458,7 @@ def null_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes over the first page of all receipts: fields and suspicious regions."""
-    r = receipts(spark, sf_dir)
-    fields = extract.extract_from_text(r)
+    r, fields = _read(spark, sf_dir)
     return review.overlays(fields, anomaly.suspicious_regions(layout.words_of_text(r), fields), 0).select("doc_id", "kind", "label", "box.*")
 
 

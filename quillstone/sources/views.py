@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone import config as C
+from quillstone.functions.quantiles import kth_smallest
 
 ITEMS = 5
 MONEY = "decimal(18,2)"
@@ -71,7 +72,16 @@ def enlarged(pixels: DataFrame, times: int) -> DataFrame:
 
 
 def synthetic_receipts(spark: SparkSession, n: int = 300, forged_rate: float = 0.25, seed: int = C.DEFAULT.seed) -> DataFrame:
-    """id, image_path, vendor, date, total, label: n made-up records, int(n * forged_rate) of them forged, by seeded hashes of the row number."""
+    """n made-up records, see synthetic_records."""
+    return synthetic_records(spark.range(n).withColumnRenamed("id", "n"), forged_rate, seed)
+
+
+def synthetic_records(numbers: DataFrame, forged_rate: float = 0.25, seed: int = C.DEFAULT.seed) -> DataFrame:
+    """id, image_path, vendor, date, total, label: a made-up record for each number n (distinct), int(count * forged_rate) of them forged, by seeded hashes of n.
+
+    Those with the smallest hashes are forged; the last of these hashes is found by histograms.
+    """
+    numbers = numbers.select(F.col("n").cast("long").alias("id0"))
 
     def u(k: int):
         return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "id0"), 11) + 0.5) / float(1 << 53)
@@ -79,8 +89,15 @@ def synthetic_receipts(spark: SparkSession, n: int = 300, forged_rate: float = 0
     def pick(values, k: int):
         return F.element_at(F.array(*map(F.lit, values)), F.floor(u(k) * len(values)).cast("int") + 1)
 
-    forged = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(0), "id0"), "id0")) <= int(n * forged_rate)
-    rows = spark.range(n).withColumnRenamed("id", "id0").withColumn("forged", forged)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(0), "id0"), 12).cast("double")
+    counts = numbers.groupBy(place.alias("v")).agg(F.count("*").alias("n"))
+    total, low, high = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("v"), F.max("v")).first()
+    wanted = int(total * forged_rate)
+    last = kth_smallest(counts, wanted - 1, low, high) if wanted else -1.0
+    below = counts.filter(F.col("v") < last).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if wanted else 0
+    tie = F.row_number().over(Window.partitionBy("place").orderBy("id0")) <= wanted - below
+    rows = numbers.withColumn("place", place)
+    rows = rows.filter(F.col("place") != last).withColumn("forged", F.col("place") < last).unionByName(rows.filter(F.col("place") == last).withColumn("forged", tie)).drop("place")
     vendor = F.when(~F.col("forged"), pick(C.COMMON_VENDORS, 2)).when(u(1) < 0.3, pick(C.SUSPICIOUS_VENDORS, 3)).when(u(1) < 0.6, pick(C.COMMON_VENDORS, 2))
     wild = F.when(u(4) < 0.35, pick((100.0, 200.0, 500.0, 1000.0, 50.0, 250.0, 750.0), 5)).when(u(4) < 0.65, 800 + 1200 * u(6)).otherwise(0.01 + 1.99 * u(6))
     amount = F.when(F.col("forged"), wild).otherwise(F.greatest(F.lit(1.5), F.least(F.lit(150.0), -35 * F.log(u(7)))))
@@ -88,7 +105,7 @@ def synthetic_receipts(spark: SparkSession, n: int = 300, forged_rate: float = 0
     weekday = F.weekday(day)
     moved = F.when(F.col("forged") & (u(9) < 0.5) & (weekday < 5), F.date_add(day, (F.lit(5) - weekday + F.floor(u(10) * 2)).cast("int"))).otherwise(day)
     date = F.when(F.col("forged") & (u(11) < 0.2), None).otherwise(F.date_format(moved, "yyyy-MM-dd"))
-    name = F.concat(F.lit("syn"), F.lpad(F.col("id0").cast("string"), 4, "0"))
+    name = F.format_string("syn%04d", "id0")
     return rows.select(
         name.alias("id"), F.concat(F.lit("dummy_data/train/"), name, F.lit(".png")).alias("image_path"), vendor.alias("vendor"), date.alias("date"),
         F.round(amount, 2).cast("string").alias("total"), F.struct(F.col("forged").cast("int").alias("is_forged")).alias("label"),
