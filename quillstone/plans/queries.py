@@ -221,10 +221,15 @@ def _pages(spark: SparkSession, sf_dir: str, fields: DataFrame) -> DataFrame:
     return image.raster_pages(views.receipt_pages(spark, sf_dir), raster_pixels(spark, sf_dir), fields, views.CELL, views.QUALITY)
 
 
+def _all_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Receipts, and their features of text, words and pages."""
+    r, fields = _read(spark, sf_dir)
+    return r, features.feature_rows(r, fields, _stats(r), layout.words_of_text(r), image.document_features(_pages(spark, sf_dir, fields)))
+
+
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 53 slots of each receipt, of text, words and pages."""
-    r, fields = _read(spark, sf_dir)
-    rows = features.feature_rows(r, fields, _stats(r), layout.words_of_text(r), image.document_features(_pages(spark, sf_dir, fields)))
+    rows = _all_features(spark, sf_dir)[1]
     names = [*C.IMAGE_FEATURES, *C.ELA_FEATURES, *["text_line_count" if c == "line_count" else c for c in C.TEXT_FEATURES], *C.CONSISTENCY_FEATURES, *C.EXTRA_FEATURES, *C.LOCAL_FEATURES, "amount"]
     return rows.select("doc_id", F.size("vector").alias("slots"), *[F.round(F.get("vector", F.lit(i)), 6).alias(c) for i, c in enumerate(names)])
 
@@ -412,9 +417,9 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A boosted classifier on receipts' features, with words, by the settings' trees; fitted on training.FIT_ROWS receipts at most, all receipts scored."""
-    r, fields = _read(spark, sf_dir)
-    rows = training.with_vector(features.feature_rows(r, fields, _stats(r), layout.words_of_text(r)).join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label")
+    """A boosted classifier on receipts' features, of text, words and pages, by the settings' trees; fitted on training.FIT_ROWS receipts at most, all receipts scored."""
+    r, rows = _all_features(spark, sf_dir)
+    rows = training.with_vector(rows.join(r.select("doc_id", F.col("is_forged").alias("truth")), "doc_id"), "truth").select("doc_id", "features", "label")
     rows = settled(rows, "gbt-rows")
     fitted = training.fit_rows(rows).cache()
     model = training.classifier().fit(fitted)
