@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, drop, few_rows, partitions, word_spans
+from quillstone.llm.common import cut, drop, few_rows, partitions, whole_row, word_spans
 from quillstone.llm.components import components
 
 WORDS = 4
@@ -369,13 +369,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, like: int = LIKE) ->
 def keep_first(docs: DataFrame, words: int = 5, like: int = 80) -> DataFrame:
     """docs with one row of each component, one with its smallest doc_id (null where it has no other), and all wordless rows; their columns as they are."""
     rows = _components(docs, words, like).filter("f is not null").withColumn("first", F.struct(*ROW) == F.col("f"))
-    key = [f"__{c}" for c in ROW]
-    own = [F.col(c).alias(n) for c, n in zip(ROW, key, strict=True)]
-    gone = rows.filter("not first").select(*own).distinct()
-    copies = rows.filter("first").groupBy(*own).count().filter("count > 1").select(key)
-    left = docs.select("*", *[c.alias(n) for n, c in zip(key, _row_key(), strict=True)]).join(gone.hint("merge"), key, "left_anti")
+    gone = rows.filter("not first").select(*ROW).distinct()
+    copies = rows.filter("first").groupBy(*ROW).count().filter("count > 1").select(*ROW)
+    # The table's own columns travel in a struct, so that their names can't clash.
+    left = docs.select(whole_row(docs).alias("row"), *[c.alias(n) for n, c in zip(ROW, _row_key(), strict=True)]).join(gone.hint("merge"), list(ROW), "left_anti")
     if copies.isEmpty():
-        return left.drop(*key)
+        return left.select("row.*")
     # Copies under one id are alike in all keys: one of them stays.
-    one = left.join(copies, key, "left_semi").dropDuplicates(key)
-    return left.join(copies, key, "left_anti").unionByName(one).drop(*key)
+    one = left.join(copies, list(ROW), "left_semi").dropDuplicates(list(ROW))
+    return left.join(copies, list(ROW), "left_anti").unionByName(one).select("row.*")

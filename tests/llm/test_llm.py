@@ -143,6 +143,10 @@ def test_subset_sum():
         assert all(0 <= c <= counts[n] for n, c in take.items())
         got, total = sum(n * c for n, c in take.items()), sum(n * c for n, c in counts.items())
         assert got <= max(budget, 0) and (budget < total or got == total)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {x + n * k for x in sums for k in range(c + 1) if x + n * k <= budget}
+        assert got == max(sums)  # the best sum that there is
 
 
 def test_subset_sum_of_long_documents():
@@ -586,8 +590,8 @@ def test_repeats_in_shuffle(spark, repeats, tmp_path):
     assert read_shards(spark, str(tmp_path / "none")).select("row.doc_id", "size", "shard", "slot", "law", "grown_shard").count() == 0
 
 
-def test_fisher_yates_of_a_bucket(spark):
-    """One bucket against a second Fisher-Yates shuffle of the records in hash order, with the seeded generator of Spark's shuffle()."""
+def test_a_bucket_is_in_the_order_of_sparks_shuffle(spark):
+    """The records of one bucket stand in the order that Spark's seeded shuffle() gives their hash order: nothing before or after it moves them."""
     from quillstone.llm.shards import two_pass_shuffle
 
     docs = table(spark, texts(30, 17))
