@@ -5,7 +5,7 @@
 2. A gram that is named once has no repeats. Where all stretches of a gram are equal (by a 128-bit digest), all are repeats.
 3. Only the distinct stretches of other grams are compared: those of a gram come to one block, whose run-length index says for
    each window whether it occurs elsewhere in the block.
-4. A gram with too many distinct stretches for a block has its windows counted by 128-bit digest instead, which any number of tasks share.
+4. A gram with too many distinct stretches for a block has the 128-bit digests of its windows dealt to groups instead, as many as keep a group's size, in which equal windows meet.
 
 The index: the suffix array of a block gives its Burrows-Wheeler transform, of which the runs are kept with the
 suffixes at their ends. Only there, where the transform changes, are neighbouring suffixes compared; between two such
@@ -30,6 +30,8 @@ LENGTH = 400
 GRAM = 64
 #: Distinct stretches of a gram beyond which its windows are counted by digest.
 MOST = 2000
+#: Stretches of a crowded gram whose windows one group has at least.
+FEW = 500
 #: Rows over which the stretches of a crowded gram spread.
 SALTS = 64
 #: Bytes of a block of whole grams' stretches.
@@ -236,14 +238,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     distinct = cut(again.filter("mixed").groupBy(*digest).agg(F.sum("rows").alias("n"), F.min(F.struct("k", "th", "s", "w")).alias("at")), "distinct")
     # Only crowded grams are joined, each in SALTS rows (so at most SALTS for each `most` stretches), and their stretches spread over those.
     crowd = distinct.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most)
-    crowd = crowd.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("crowded"))
+    crowd = crowd.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), (1 + F.floor(F.col("kinds") / max(most, FEW))).alias("groups"))
     wanted = distinct.withColumn("salt", F.pmod("d1", F.lit(SALTS)).cast("int")).join(crowd, ["key", "salt"], "left")
-    wanted = wanted.select(*digest, F.coalesce("crowded", F.lit(False)).alias("crowded"), "at.*")
+    wanted = wanted.select(*digest, "groups", "at.*")
     bodies = docs.select("k", "th", F.col("text").cast("binary").alias("b"))
     several = bodies.join(same, ["k", "th"], "left_semi").groupBy("k", "th").agg(F.max("b").alias("b"))
     bodies = bodies.join(same, ["k", "th"], "left_anti").unionByName(several)
     piece = F.expr(f"substring(b, s + 1, w + {length - 1})")
-    pieces = cut(wanted.join(bodies, ["k", "th"]).select(*digest, "crowded", piece.alias("piece")), "pieces")
+    pieces = cut(wanted.join(bodies, ["k", "th"]).select(*digest, "groups", piece.alias("piece")), "pieces")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -268,22 +270,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
             yield out(held)
 
     n = partitions(docs.sparkSession)
-    few = pieces.filter("not crowded").select(*digest, "piece").repartition(n, "key").sortWithinPartitions(*digest)
+    few = pieces.filter("groups is null").select(*digest, "piece").repartition(n, "key").sortWithinPartitions(*digest)
     indexed = few.mapInArrow(mark, "key long, d1 long, d2 long, o int, m int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digests of a stretch's windows by groups, in which equal ones meet: packed, with the windows' places."""
         import xxhash
 
         for batch in few_rows(batches):
+            rows: list[tuple] = []
             for i in range(batch.num_rows):
-                raw = memoryview(batch.column(3)[i].as_buffer())
-                ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[o : o + length]) for o in range(len(raw) - length + 1)]), "<i8").reshape(-1, 2)
-                same = [pa.array(np.full(len(ids), batch.column(c)[i].as_py(), np.int64)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())], names=["key", "d1", "d2", "o", "h1", "h2"])
-
-    each = pieces.filter("crowded").select(*digest, "piece").mapInArrow(windows, "key long, d1 long, d2 long, o int, h1 long, h2 long")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
-    counted = each.join(twice, ["h1", "h2"]).select(*digest, "o", F.lit(1).alias("m"))
+                raw = memoryview(batch.column(4)[i].as_buffer())
+                ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[o : o + length]) for o in range(len(raw) - length + 1)]), "<u8").reshape(-1, 2)
+                group = (ids[:, 0] >> np.uint64(8)) % np.uint64(batch.column(3)[i].as_py())
+                order = np.argsort(group, kind="stable")
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]))
+                own = tuple(batch.column(c)[i].as_py() for c in range(3))
+                rows += [(*own, int(group[order[lo]]), order[lo:hi].astype("<i4").tobytes(), ids[order[lo:hi]].tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=[*digest, "g", "o", "h"])
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of a group that another one equals. A group has about as many windows as `most` stretches."""
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            o, h = (np.frombuffer(b"".join([r[k] for r in held]), t) for k, t in ((4, "<i4"), (5, "<u8")))
+            whose = np.repeat(np.arange(len(held)), [len(r[4]) // 4 for r in held])
+            h = h.reshape(-1, 2)
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            same = np.concatenate(([False], (h[order[1:]] == h[order[:-1]]).all(1), [False]))
+            hit = order[same[:-1] | same[1:]]
+            ids = [np.array([r[c] for r in held], np.int64)[whose[hit]] for c in range(3)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(o[hit].astype(np.int32))], names=[*digest, "o"])
+
+        for batch in few_rows(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (row[0], row[3]) != (held[0][0], held[0][3]):
+                    yield out()
+                held.append(row)
+        if held:
+            yield out()
+
+    each = pieces.filter("groups is not null").select(*digest, "groups", "piece").mapInArrow(windows, "key long, d1 long, d2 long, g long, o binary, h binary")
+    met = each.repartition(n, "key", "g").sortWithinPartitions("key", "g")
+    counted = met.mapInArrow(twice, "key long, d1 long, d2 long, o int").withColumn("m", F.lit(1))
     # Of runs of single windows, neighbours make one.
     from pyspark.sql import Window
 
