@@ -54,13 +54,8 @@ def consistency_features(text: Column, amount: Column, hit: Column, stats: dict[
 def vendor_hits(docs: DataFrame, vendors: DataFrame) -> DataFrame:
     """doc_id of the docs (doc_id, text, vendor) whose text contains a vendor (vendors: vendor), or whose vendor is one, whatever the case."""
     plain = F.lower(strip(F.col("vendor")))
-    rows = docs.select("doc_id", F.lower(strip(F.coalesce(F.col("text"), F.lit("")))).alias("text"), plain.alias("exact"))
-    if dict(docs.dtypes)["doc_id"] == "bigint":
-        return with_any(rows.withColumnRenamed("doc_id", "at"), vendors.select(plain.alias("pattern"))).withColumnRenamed("at", "doc_id")
-    # Other ids travel by their hash, and documents that share one by chance are told apart by their texts' hash.
-    at = F.xxhash64("doc_id", "text", "exact")
-    found = with_any(rows.withColumn("at", at), vendors.select(plain.alias("pattern")))
-    return rows.withColumn("at", at).join(found, "at", "left_semi").select("doc_id")
+    rows = docs.select(F.col("doc_id").alias("at"), F.lower(strip(F.coalesce(F.col("text"), F.lit("")))).alias("text"), plain.alias("exact"))
+    return with_any(rows, vendors.select(plain.alias("pattern"))).withColumnRenamed("at", "doc_id")
 
 
 def word_features(words: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: str, rasterise=No
 def predict_folder(spark: SparkSession, bundle: models.Bundle, folder: str, path: str, recognise, rasterise=None) -> None:
     """Read test.jsonl and its images in `folder`, and write one prediction a record to `path`, in the manifest's order. A record whose file is missing or can't be read has null fields."""
     records, pages = read_documents(spark, folder, "test.jsonl", rasterise)
-    out = analyze(records, pages, recognise, bundle)
-    manifests.write_predictions(out.select(F.col("doc_id").alias("id"), *[F.col(f"{f}.value").alias(f) for f in C.FIELDS], "is_forged", "ordinal"), path)
+    out = analyze(records, pages, recognise, bundle).select(F.col("doc_id").alias("id"), *[F.col(f"{f}.value").alias(f) for f in C.FIELDS], "is_forged", "ordinal")
+    manifests.write_predictions(settled(out, "predictions"), path)
 
 
 def train_folder(spark: SparkSession, folder: str, recognise, rasterise=None, settings: C.Settings = C.DEFAULT) -> models.Bundle:

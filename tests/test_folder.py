@@ -114,6 +114,8 @@ def test_texts_with_any(spark, shard):
     known = {p for p in patterns if p}
     assert sorted(x.at for x in got) == sorted(i for i, t, e in texts if e in known or any(p in (t or "") for p in known))
     assert search.with_any(spark.createDataFrame(texts, "at long, text string, exact string"), spark.createDataFrame([], "pattern string"), shard).count() == 0
+    named = spark.createDataFrame([(f"d{i}", t, e) for i, t, e in texts], "at string, text string, exact string")
+    assert sorted(x.at for x in search.with_any(named, spark.createDataFrame([(p,) for p in patterns], "pattern string"), shard).collect()) == sorted(f"d{x.at}" for x in got)
 
 
 def test_percentiles(spark):
