@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import few_rows
+from quillstone.llm.common import few_bytes
 from quillstone.llm.pieces import Cache, Pieces, ids_of
 
 #: Stands for a word's end within a token's characters; no byte maps to it.
@@ -218,13 +218,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = bpe_of(tokenizer)
-        for batch in few_rows(batches, 2000):
+        for batch in few_bytes(batches):
             ids, offsets = ids_of(Pieces(batch.column(width), keep_runs=False), cache)
-            raw, at = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
-            flat = ids.tolist()
-            texts = [bpe.decode(flat[a // 4 : b // 4]) for a, b in zip(at, at[1:], strict=False)]
+            ids_sha, decoded_sha = [], []
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                one = ids[a:b]
+                ids_sha.append(hashlib.sha256(one.astype("<u4").tobytes()).hexdigest())
+                decoded_sha.append(hashlib.sha256(bpe.decode(one.tolist()).encode()).hexdigest())
             columns = [batch.column(i) for i in range(width)]
-            columns += [pa.array(np.diff(offsets)), pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
+            columns += [pa.array(np.diff(offsets)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])

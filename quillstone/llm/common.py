@@ -87,6 +87,19 @@ def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa
             yield batch.slice(i, rows)
 
 
+def few_bytes(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """As few_rows, and halved until a part has at most `size` bytes or a single row: what Python holds at once then hangs on the longest text, not on the rows' average."""
+    for part in few_rows(batches, rows):
+        parts = [part]
+        while parts:
+            part = parts.pop()
+            if part.nbytes > size and part.num_rows > 1:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that an operator's own columns can't clash with them."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])

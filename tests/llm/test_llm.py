@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import tokenizer_path
+from quillstone.llm.common import few_bytes, tokenizer_path
 
 ODD = ["", None, " ", "\n", "a  b", "a\n\nb\n\n\nc d", "  x", "x  ", "\x00a b", "don't  we'll", "<|endoftext|>foo <|endoftext|> bar", "ΣΑΣ İstanbul Éé", "日本語 テスト 12", "a" * 900, "emoji 🙂 </w> x</w>y", "\nfoo", "▁x ▁"]
 SCHEMA = "doc_id long, text string, source string, row string, kept boolean, size long, digest string, `a.b` int"
@@ -195,6 +195,16 @@ def test_id_files(spark, empty, odd, tmp_path):
         assert keys == [None, 5] and sizes.tolist() == [7, 149_993] and (back == ids).all()
 
 
+def test_batches_are_cut_by_bytes():
+    texts = ["a" * 10, None, "", "b" * 5000, "c" * 900, "d" * 900, "é" * 600, ""] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    parts = list(few_bytes([batch], rows=7, size=2000))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or (p.num_rows <= 7 and p.nbytes <= 2000) for p in parts)
+    assert any(p.num_rows > 1 for p in parts) and any(p.nbytes > 2000 for p in parts)
+    assert not list(few_bytes([batch.slice(0, 0)]))
+
+
 def test_speculative_bpe(spark, empty, odd):
     from quillstone.llm.bpe import SpeculativeBPE, encode_decode
     from quillstone.llm.pieces import library
