@@ -1,6 +1,6 @@
 """What plans must not do on tables whose files are small for what they hold."""
 
-from quillstone.operators import image
+from quillstone.operators import extract, image
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -8,3 +8,15 @@ def plan(df) -> str:
 def test_skew_sends_no_pixels_to_the_driver(spark):
     pixels = spark.range(4).selectExpr("id AS vec_id", "explode(sequence(0, 63)) AS i").selectExpr("vec_id", "0 AS label", "CAST(i DIV 8 AS INT) AS y", "CAST(i % 8 AS INT) AS x", "CAST(i * 4 AS DOUBLE) AS v")
     assert "SortMergeJoin" in plan(image.raster_skew(pixels)) and image.raster_skew(pixels).count() == 4
+
+def _texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Bright Market\nDate: 2024-01-24\nSubtotal 40.00\nTax 5.60\nTOTAL 45.60"), (2, ""), (3, None), (4, "\x1c \n")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "texts"))
+    return spark.read.parquet(str(tmp_path / "texts"))
+
+def test_fields_of_texts_need_no_shuffle(spark, tmp_path):
+    df = _texts(spark, tmp_path)
+    fields = extract.extract_from_text(df)
+    assert "Exchange" not in plan(fields)
+    got = {r.doc_id: (r.vendor.value, r.date.value, r.total.value) for r in fields.collect()}
+    assert got == {1: ("Bright Market", "2024-01-24", "45.60"), 2: (None,) * 3, 3: (None,) * 3, 4: (None,) * 3}
