@@ -1,22 +1,46 @@
 """What plans must not do on tables whose files are small for what they hold."""
 
-from quillstone.operators import extract, image
+from pyspark.sql import functions as F
+
+from quillstone.operators import extract, features, image, layout
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
+
 def test_skew_sends_no_pixels_to_the_driver(spark):
     pixels = spark.range(4).selectExpr("id AS vec_id", "explode(sequence(0, 63)) AS i").selectExpr("vec_id", "0 AS label", "CAST(i DIV 8 AS INT) AS y", "CAST(i % 8 AS INT) AS x", "CAST(i * 4 AS DOUBLE) AS v")
     assert "SortMergeJoin" in plan(image.raster_skew(pixels)) and image.raster_skew(pixels).count() == 4
 
+
 def _texts(spark, tmp_path):
     df = spark.createDataFrame([(1, "Bright Market\nDate: 2024-01-24\nSubtotal 40.00\nTax 5.60\nTOTAL 45.60"), (2, ""), (3, None), (4, "\x1c \n")], "doc_id long, text string")
     df.write.parquet(str(tmp_path / "texts"))
     return spark.read.parquet(str(tmp_path / "texts"))
 
+
+def test_words_meet_fields_by_document(spark, tmp_path):
+    df = _texts(spark, tmp_path)
+    for words in (layout.document_words(df), layout.words_of_text(df)):
+        near = features.field_word_overlap(extract.extract_from_text(df), words)
+        assert "Broadcast" not in plan(near)
+        assert {r.field: r.words for r in near.collect()} == {"vendor": 4, "date": 6, "total": 4}
+
+
 def test_fields_of_texts_need_no_shuffle(spark, tmp_path):
     df = _texts(spark, tmp_path)
     fields = extract.extract_from_text(df)
     assert "Exchange" not in plan(fields)
     got = {r.doc_id: (r.vendor.value, r.date.value, r.total.value) for r in fields.collect()}
     assert got == {1: ("Bright Market", "2024-01-24", "45.60"), 2: (None,) * 3, 3: (None,) * 3, 4: (None,) * 3}
+
+
+def test_lines_are_cut_within_a_document(spark, tmp_path):
+    df = _texts(spark, tmp_path)
+    lines = layout.lines_of_words(layout.document_words(df))
+    assert "Exchange" not in plan(lines)
+    by_rows = layout.lines_of_words(layout.words_of_text(df))
+    assert lines.orderBy("doc_id").collect() == by_rows.orderBy("doc_id").collect() and [r.doc_id for r in lines.collect()] == [1]
+    totals = df.select("doc_id", F.lit(45.6).alias("total"))
+    assert {r.doc_id: r.field_conflict_count for r in features.conflicting_amounts(layout.document_words(df), totals).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
