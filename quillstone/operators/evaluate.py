@@ -70,8 +70,11 @@ def prediction_problems(lines: DataFrame) -> DataFrame:
 
 def missing_and_extra(expected: DataFrame, given: DataFrame) -> DataFrame:
     """id and kind: 'missing' for expected ids that aren't given, 'extra' for the reverse."""
-    e, g = expected.select("id").distinct(), given.select("id").distinct()
-    return e.join(g, "id", "left_anti").withColumn("kind", F.lit("missing")).unionByName(g.join(e, "id", "left_anti").withColumn("kind", F.lit("extra")))
+    side = lambda df, bit: df.select("id", F.lit(bit).alias("side"))
+    found = side(expected, 1).unionByName(side(given, 2)).groupBy("id").agg(F.bit_or("side").alias("side"))
+    # A null id is no id: it is missing and extra wherever it stands.
+    kinds = F.array_compact(F.array(*[F.when((F.col("side") == bit) | F.col("id").isNull() & (F.col("side") == 3), kind) for bit, kind in ((1, "missing"), (2, "extra"))]))
+    return found.select("id", F.explode(kinds).alias("kind"))
 
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
