@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import extract, features, image, layout
+from quillstone.operators import evaluate, extract, features, image, layout
 
 
 def plan(df) -> str:
@@ -44,3 +44,18 @@ def test_lines_are_cut_within_a_document(spark, tmp_path):
     assert lines.orderBy("doc_id").collect() == by_rows.orderBy("doc_id").collect() and [r.doc_id for r in lines.collect()] == [1]
     totals = df.select("doc_id", F.lit(45.6).alias("total"))
     assert {r.doc_id: r.field_conflict_count for r in features.conflicting_amounts(layout.document_words(df), totals).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_missing_and_extra_in_one_pass(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    got = evaluate.missing_and_extra(ids(1, 1, 2, 3, None), ids(2, 4, 4, None))
+    assert "Join" not in plan(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "missing"), (3, "missing"), (None, "missing"), (4, "extra"), (None, "extra")], key=repr)
+    assert [tuple(r) for r in evaluate.missing_and_extra(ids(1), ids(1, None)).collect()] == [(None, "extra")]
+
+
+def test_texts_of_known_vendors_are_not_searched(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "no name", " ACME "), (2, "at acme corp", None), (3, "other", "Other"), (4, None, "")], "doc_id long, text string, vendor string")
+    vendors, searched, search = spark.createDataFrame([("Acme",), ("",), (None,)], "vendor string"), [], features.with_any
+    monkeypatch.setattr(features, "with_any", lambda rows, patterns: searched.extend(r["at"] for r in rows.collect()) or search(rows, patterns))
+    assert sorted(r.doc_id for r in features.vendor_hits(docs, vendors).collect()) == [1, 2] and sorted(searched) == [2, 3, 4]
