@@ -26,8 +26,10 @@ from quillstone.llm.pieces import Cache, Pieces, ids_of
 #: Stands for a word's end within a token's characters; no byte maps to it.
 END = "\x01"
 NEVER = np.int64(1) << 60
-#: Up to so many characters, looking at all pairs again is faster than a queue.
-SHORT = 24
+#: Up to so many characters, looking through all pairs' ranks again is faster than a queue.
+SHORT = 64
+#: How many characters say how long a token that begins with them can be.
+LEAD = 3
 
 
 def byte_letters() -> list[str]:
@@ -55,11 +57,12 @@ class SpeculativeBPE:
             self.tokens[i] = t
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.made = np.full(n, -1, np.int64)  # the rank of the merge that makes it
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        letters = {c: c for c in self.letters} | {c + suffix: c + END for c in self.letters}
+        every = self.letters.values()
+        letters = {c: c for c in every} | {c + suffix: c + END for c in every}
         form = {self.vocab[t]: f for t, f in letters.items() if t in self.vocab}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -71,7 +74,11 @@ class SpeculativeBPE:
                 self.left[new], self.right[new], self.made[new] = a, b, rank
                 form[new] = form[a] + form[b]
         self.by_form = {f: i for i, f in form.items()}
-        self.longest = max(map(len, self.by_form))
+        self.longest: dict[str, int] = {}  # of the tokens that begin so
+        for f in self.by_form:
+            self.longest[f[:LEAD]] = max(len(f), self.longest.get(f[:LEAD], 0))
+        self.made_by = [new for _, new in sorted(self.merge.values())]
+        self.rank_of = {pair: i for i, pair in enumerate(sorted(self.merge, key=self.merge.get))}
         keys = np.array([a << 32 | b for a, b in self.merge], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
@@ -124,13 +131,17 @@ class SpeculativeBPE:
         return [i for i in ids if i >= 0]
 
     def _exact_short(self, ids: list[int]) -> list[int]:
-        merge = self.merge.get
-        while True:
-            found = [(m, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merge(pair))]
-            if not found:
-                return ids
-            (_, new), i = min(found)
-            ids[i : i + 2] = [new]
+        rank_of, none = self.rank_of.get, len(self.made_by)
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            ids[i : i + 2] = [self.made_by[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), none)
+        return ids
 
     @staticmethod
     def _first(word: str) -> list[str]:
@@ -144,13 +155,15 @@ class SpeculativeBPE:
 
     def propose(self, word: str) -> list[int] | None:
         out, at, known, n = [], 0, self.by_form, len(word)
+        longest, sound = self.longest.get, self.sound.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            # A token shorter than LEAD is not under its longer leads.
+            for end in range(min(n, at + (longest(word[at : at + LEAD]) or LEAD - 1)), at, -1):
                 if (token := known.get(word[at:end])) is not None:
                     break
             else:
                 return None
-            if not self._sound(token, word[at:end]):
+            if not (sound(token) or self._sound(token, word[at:end])):
                 return None
             out.append(token)
             at = end
@@ -185,7 +198,7 @@ class SpeculativeBPE:
         # Lower case letter by letter, as the file's normaliser has it (Python looks at a word's end for a sigma).
         text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return ["".join([self.letters[b] for b in w.encode()]) + END for w in self.words.findall(text)]
+        return [w.encode().decode("latin-1").translate(self.letters) + END for w in self.words.findall(text)]
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
         found = [self.words_of(t) for t in texts]

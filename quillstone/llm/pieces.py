@@ -45,21 +45,24 @@ class Pieces:
 
 
 class Cache:
-    """What `work` makes of each distinct piece; emptied when it holds more than `most`."""
+    """What `work` makes of each distinct piece. At `most` are held: when half as many have come or been asked for again, the half before is given up."""
 
     def __init__(self, work: Callable[[list[str]], list], most: int = 800_000):
-        self.work, self.most, self.held = work, most, {}
+        self.work, self.most, self.held, self.before = work, most, {}, {}
 
     def of(self, distinct: list[str]) -> list:
         found = list(map(self.held.get, distinct))
-        if missing := [i for i, x in enumerate(found) if x is None]:
-            made = self.work([distinct[i] for i in missing])
-            if len(self.held) + len(made) > self.most:
-                self.held.clear()
-            for i, x in zip(missing, made, strict=True):
+        if others := [i for i, x in enumerate(found) if x is None]:
+            for i in others:
+                found[i] = self.before.get(distinct[i])
+            missing = [i for i in others if found[i] is None]
+            for i, x in zip(missing, self.work([distinct[i] for i in missing]) if missing else (), strict=True):
                 found[i] = x
+            for i in others:
                 if len(distinct[i]) <= 64:
-                    self.held[distinct[i]] = x
+                    if len(self.held) >= self.most // 2:
+                        self.before, self.held = self.held, {}
+                    self.held[distinct[i]] = found[i]
         return found
 
 
@@ -98,7 +101,7 @@ def library(path: str):
 @lru_cache(maxsize=2)
 def library_cache(path: str) -> Cache:
     """One for all tasks of a Python worker."""
-    return Cache(library_work(path))
+    return Cache(library_work(path), 400_000)
 
 
 def library_work(path: str) -> Callable[[list[str]], list[bytes]]:

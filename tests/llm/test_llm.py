@@ -205,6 +205,36 @@ def test_batches_are_cut_by_bytes():
     assert not list(few_bytes([batch.slice(0, 0)]))
 
 
+def test_a_full_cache_keeps_what_is_asked_for():
+    from quillstone.llm.pieces import Cache
+
+    worked = []
+    cache = Cache(lambda pieces: [worked.append(p) or p.encode() for p in pieces], 20)
+    for i in range(100):
+        asked = ["often", f"rare {i}", "x" * 65]
+        assert cache.of(asked) == [p.encode() for p in asked]
+        assert len(cache.held) + len(cache.before) <= 20
+    assert worked.count("often") == 1 and worked.count("x" * 65) == 100 and cache.of([]) == []
+
+
+def test_exact_merging_and_proposals_try_few_pairs_and_lengths():
+    from quillstone.llm.bpe import END, LEAD, SHORT, SpeculativeBPE
+
+    bpe, r = SpeculativeBPE(tokenizer_path("word_bpe_49k.json")), random.Random(5)
+
+    def plain(word):
+        ids = [bpe.by_form[c] for c in bpe._first(word)]
+        while found := [(m, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := bpe.merge.get(pair))]:
+            (_, new), i = min(found)
+            ids[i : i + 2] = [new]
+        return ids
+
+    words = ["".join(r.choice("aeinrstlo") for _ in range(r.randint(1, 2 * SHORT))) + END for _ in range(300)] + ["a" * n + END for n in range(1, 2 * SHORT)]
+    assert [bpe.exact(w) for w in words] == [plain(w) for w in words] == bpe.encode_words(words)
+    # No token is longer than its first characters say, and most leads have short tokens only.
+    assert all(len(f) <= bpe.longest[f[:LEAD]] for f in bpe.by_form) and np.mean(list(bpe.longest.values())) < max(map(len, bpe.by_form)) / 2
+
+
 def test_speculative_bpe(spark, empty, odd):
     from quillstone.llm.bpe import SpeculativeBPE, encode_decode
     from quillstone.llm.pieces import library
