@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import partitions
+from quillstone.llm.common import few_bytes, partitions
 from quillstone.llm.pieces import Pieces, ids_of, library_cache
 
 MAGIC = b"QPL1"
@@ -114,7 +114,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, bits:
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in few_bytes(batches, rows=10_000, size=8 << 20):
             ids, offsets = ids_of(Pieces(batch.column("text"), keep_runs=True), cache)
             ids, offsets = np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
             doc_ids, first = batch.column("doc_id").to_pylist(), 0

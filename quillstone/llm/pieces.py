@@ -6,6 +6,7 @@ keeps them from batch to batch.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -52,17 +53,23 @@ class Cache:
 
     def of(self, distinct: list[str]) -> list:
         found = list(map(self.held.get, distinct))
-        if others := [i for i, x in enumerate(found) if x is None]:
-            for i in others:
-                found[i] = self.before.get(distinct[i])
-            missing = [i for i in others if found[i] is None]
-            for i, x in zip(missing, self.work([distinct[i] for i in missing]) if missing else (), strict=True):
-                found[i] = x
-            for i in others:
-                if len(distinct[i]) <= 64:
-                    if len(self.held) >= self.most // 2:
-                        self.before, self.held = self.held, {}
-                    self.held[distinct[i]] = found[i]
+        others = [i for i, x in enumerate(found) if x is None]
+        if not others:
+            return found
+        texts = [distinct[i] for i in others]
+        values = list(map(self.before.get, texts))
+        if missing := [t for t, x in zip(texts, values, strict=True) if x is None]:
+            made = iter(self.work(missing))
+            values = [next(made) if x is None else x for x in values]
+        for i, x in zip(others, values, strict=True):
+            found[i] = x
+        kept, half = [(t, x) for t, x in zip(texts, values, strict=True) if len(t) <= 64], max(1, self.most // 2)
+        while kept:
+            if len(self.held) >= half:
+                self.before, self.held = self.held, {}
+            room = half - len(self.held)
+            self.held.update(kept[:room])
+            kept = kept[room:]
         return found
 
 
@@ -101,13 +108,54 @@ def library(path: str):
 @lru_cache(maxsize=2)
 def library_cache(path: str) -> Cache:
     """One for all tasks of a Python worker."""
-    return Cache(library_work(path), 400_000)
+    return Cache(library_work(path))
+
+
+#: So many pieces are encoded as one text.
+JOINED = 64
+
+
+def _cut_at_breaks(tokenizer) -> int | None:
+    """The id of a line break, if the tokenizer never lets it meet what stands beside it (GPT-2's pattern, nothing normalised, plain added tokens)."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    split = spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] or "\n" in t["content"] for t in spec["added_tokens"]):
+        return None
+    ids = tokenizer.encode("\n", add_special_tokens=False).ids
+    return ids[0] if len(ids) == 1 else None
 
 
 def library_work(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids as bytes. Texts without white space but a space in front are encoded many at once, with line breaks between."""
     tokenizer = library(path)
+    mark = _cut_at_breaks(tokenizer)
+
+    def each(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def work(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Of what prints, only the space is white; a break, a tab or the like is encoded alone.
+        able = [t for t in texts if t.isprintable()] if mark is not None else []
+        groups = [able[i : i + JOINED] for i in range(0, len(able), JOINED)]
+        joined = ["\n".join(g) for g in groups]
+        fine = [bool(g[0]) and bool(g[-1]) and j[-1] != " " and not ("\n\n" in j or "  " in j or " \n" in j) for g, j in zip(groups, joined, strict=True)]
+        found = iter(tokenizer.encode_batch_fast([j for j, ok in zip(joined, fine, strict=True) if ok], add_special_tokens=False))
+        made: list[bytes] = []
+        for group, ok in zip(groups, fine, strict=True):
+            if not ok:
+                made += each(group)
+                continue
+            ids = np.array(next(found).ids, np.uint32)
+            blob, ends, at = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist(), 0
+            for end in [*ends, len(blob)]:
+                made.append(blob[at:end])
+                at = end + 4
+        if len(made) == len(texts):
+            return made
+        both, rest = iter(made), iter(each([t for t in texts if mark is None or not t.isprintable()]))
+        return [next(both) if mark is not None and t.isprintable() else next(rest) for t in texts]
 
     return work

@@ -217,6 +217,43 @@ def test_a_full_cache_keeps_what_is_asked_for():
     assert worked.count("often") == 1 and worked.count("x" * 65) == 100 and cache.of([]) == []
 
 
+def test_pieces_encoded_together_are_as_alone():
+    from quillstone.llm import pieces
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, r = pieces.library(path), random.Random(9)
+    assert pieces._cut_at_breaks(tokenizer) is not None and pieces._cut_at_breaks(pieces.library(tokenizer_path("word_bpe_49k.json"))) is None
+    odd = ["", " ", "  ", "\n", "a\nb", "a b", "a ", " \u00a0x", "\u2028", "\t.", "e\u0301", "\u0301", "'s", "s", "<|endoftext|>", "<|endof", "text|>", "12", ".", "\U0001f600", "\x85", "\r", "\x00"]
+    for n in (0, 1, 5, 64, 65, 200, 3000):
+        texts = [r.choice(("", " ")) + "".join(r.choice("abest'.,12é中") for _ in range(r.randint(1, 9))) for _ in range(n)]
+        for mixed in (texts, [r.choice(odd) if r.random() < 0.1 else t for t in texts], [r.choice(odd) for _ in texts]):
+            want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in mixed]
+            assert pieces.library_work(path)(mixed) == want
+
+
+def test_id_files_are_encoded_in_parts(spark, tmp_path, monkeypatch):
+    from quillstone.llm import idfiles
+
+    seen, was = [], idfiles.few_bytes
+    monkeypatch.setattr(idfiles, "few_bytes", lambda batches, rows, size: [seen.append((rows, size)), was(batches, rows, size)][1])
+    whole = spark.createDataFrame([(0, "a")], "doc_id long, text string")
+
+    class Stop(Exception):
+        pass
+
+    def run(self, f, schema):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": ["word " * 100_000] * 40})
+        monkeypatch.setattr(idfiles.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda s: 0})()))
+        rows = list(f(iter([batch])))
+        assert sum(b.column("n_docs")[0].as_py() for b in rows) == 40
+        raise Stop
+
+    monkeypatch.setattr(type(whole), "mapInArrow", run)
+    with pytest.raises(Stop):
+        idfiles.write_ids(whole, tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "x"))
+    assert seen and seen[0][1] <= 8 << 20
+
+
 def test_exact_merging_and_proposals_try_few_pairs_and_lengths():
     from quillstone.llm.bpe import END, LEAD, SHORT, SpeculativeBPE
 
