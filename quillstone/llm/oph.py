@@ -130,7 +130,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     t = text_or_empty()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("z"), F.xxhash64(t).alias("th"), t.alias("t"))
     own, after = ["k", "z", "th"], ["next_k", "next_z", "next_th"]
-    texts = rows.groupBy(*own).agg(F.first("t").alias("t"), F.count("*").alias("times"))
+    # The filter takes nothing away: with it every use of texts has their number too, so that all read the one shuffle of whole texts.
+    texts = rows.groupBy(*own).agg(F.first("t").alias("t"), F.count("*").alias("times")).filter("times > 0")
     chain = cut(_followers(rows.select(*own).distinct()), "followers")
     n, third = F.char_length("t"), F.floor(F.char_length("t") / 3).cast("int")
     # What a text lends is cut to what its follower takes, so the follower's length goes to it first.

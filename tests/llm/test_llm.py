@@ -362,6 +362,17 @@ def test_fingerprints(spark, empty, odd):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_shuffle_whole_texts_once(spark, monkeypatch):
+    from quillstone.llm import oph
+
+    plans, was = {}, oph.cut
+    monkeypatch.setattr(oph, "cut", lambda df, name: [plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), was(df, name)][1])
+    oph.with_edits(table(spark, texts(20, 3)))
+    # Each use of the grouped texts has the same aggregates, so that their exchange is one.
+    grouped = [line for line in plans["fingerprints"].split("\n") if "Aggregate" in line and "first(t" in line]
+    assert len(grouped) >= 4 and all("count(1)" in line for line in grouped)
+
+
 # 7: Jaccard join
 
 
