@@ -1,7 +1,7 @@
 """Byte-pair encoding by speculation: propose by longest match, verify each adjacent pair, merge only where that fails.
 
 A row of tokens is what merging gives exactly if each token is what merging gives for its own characters and no
-merge ever happens across a boundary of two neighbours. At a boundary, the left neighbour shows in turn the tokens on the right
+merge ever happens across a boundary of two neighbours. Both are looked at for all words of a batch at once. At a boundary, the left neighbour shows in turn the tokens on the right
 edge of its merge tree, the right neighbour those on the left edge of its own. A merge (x, y) of such tokens happens
 if it ranks before the merge that absorbs x, and not after the one that absorbs y (of equal merges the leftmost is first).
 """
@@ -30,6 +30,49 @@ NEVER = np.int64(1) << 60
 SHORT = 64
 #: How many characters say how long a token that begins with them can be.
 LEAD = 3
+#: A byte at a word's end has so much added.
+LAST = 256
+#: So many cells of words' letters are merged at once.
+CELLS = 1 << 20
+
+
+class Table:
+    """Numbers (from 0, under 2^62, distinct) to numbers, for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        at = self._at(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & self.mask
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        at = self._at(keys)
+        held = self.keys[at]
+        found = held == keys
+        out = np.where(found, self.values[at], default)
+        live = np.flatnonzero(~found & (held >= 0))
+        while len(live):
+            at[live] = (at[live] + 1) & self.mask
+            held = self.keys[at[live]]
+            found = held == keys[live]
+            out[live[found]] = self.values[at[live[found]]]
+            live = live[~found & (held >= 0)]
+        return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start, start + 1, ... of runs, one run after the other; and where each run begins among them, and the last ends."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return np.repeat(start - ends[:-1], size) + np.arange(ends[-1]), ends
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +99,8 @@ class SpeculativeBPE:
         for t, i in self.special.items():
             self.tokens[i] = t
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words, self.words_or_breaks = regex.compile(pattern), regex.compile(f"{pattern}|\n")
         self.letters = dict(enumerate(byte_letters()))
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.made = np.full(n, -1, np.int64)  # the rank of the merge that makes it
@@ -79,16 +123,43 @@ class SpeculativeBPE:
             self.longest[f[:LEAD]] = max(len(f), self.longest.get(f[:LEAD], 0))
         self.made_by = [new for _, new in sorted(self.merge.values())]
         self.rank_of = {pair: i for i, pair in enumerate(sorted(self.merge, key=self.merge.get))}
-        keys = np.array([a << 32 | b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.sound: dict[int, bool] = {}
+        ranks = np.array([r for r, _ in self.merge.values()], np.int64)
+        self.ranks = Table(np.array([a << 32 | b for a, b in self.merge], np.int64), ranks)
+        self.of_rank = np.full(1 + max(ranks, default=-1), -1, np.int64)  # what the merge of a rank makes
+        self.of_rank[ranks] = [new for _, new in self.merge.values()]
         self.failed = self.proposed = 0
+        self._plant(form)
+
+    def _plant(self, form: dict[int, str]) -> None:
+        """The tokens as a tree of bytes: where each leads from a node (the root is 0), and the token that ends at a node; and which tokens merging their own letters gives."""
+        byte_of = {c: b for b, c in self.letters.items()}
+        self.byte_of = str.maketrans({c: chr(b) for c, b in byte_of.items()} | {END: None})
+        to: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        spelt = {}
+        for token, f in form.items():
+            spelt[token] = [byte_of[c] for c in f.removesuffix(END)]
+            spelt[token][-1] += LAST * f.endswith(END)
+            node = 0
+            for c in spelt[token]:
+                node = to.setdefault(node << 9 | c, len(to) + 1)
+            ends[node] = token
+        self.to = Table(np.array(list(to), np.int64), np.array(list(to.values()), np.int64))
+        self.token_at = np.full(len(to) + 1, -1, np.int64)
+        self.token_at[list(ends)] = list(ends.values())
+        self.of_byte = np.full(2 * LAST, -1, np.int64)
+        for token, letters in spelt.items():
+            if len(letters) == 1:
+                self.of_byte[letters[0]] = token
+        self.is_sound = np.zeros(len(self.tokens), bool)
+        short = [t for t, x in spelt.items() if len(x) <= SHORT]
+        ids, size = self._merged(np.array([c for t in short for c in spelt[t]], np.int64), np.array([len(spelt[t]) for t in short], np.int64))
+        self.is_sound[short] = (size == 1) & (ids[np.cumsum(size) - size] == short)
+        for t in spelt.keys() - set(short):
+            self.is_sound[t] = self.exact(form[t]) == [t]
 
     def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = x << 32 | y
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        return self.ranks.get(x << 32 | y, NEVER)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether no merge crosses the boundary of a and b, for all pairs at once."""
@@ -147,15 +218,9 @@ class SpeculativeBPE:
     def _first(word: str) -> list[str]:
         return [*word[:-2], word[-2:]] if word.endswith(END) else [*word]
 
-    def _sound(self, token: int, form: str) -> bool:
-        """Whether merging a token's own characters gives that token."""
-        if (known := self.sound.get(token)) is None:
-            known = self.sound[token] = self.exact(form) == [token]
-        return known
-
     def propose(self, word: str) -> list[int] | None:
         out, at, known, n = [], 0, self.by_form, len(word)
-        longest, sound = self.longest.get, self.sound.get
+        longest = self.longest.get
         while at < n:
             # A token shorter than LEAD is not under its longer leads.
             for end in range(min(n, at + (longest(word[at : at + LEAD]) or LEAD - 1)), at, -1):
@@ -163,48 +228,152 @@ class SpeculativeBPE:
                     break
             else:
                 return None
-            if not (sound(token) or self._sound(token, word[at:end])):
+            if not self.is_sound[token]:
                 return None
             out.append(token)
             at = end
         return out
 
+    def _propose(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that begins at each place (-1: none) and its length. No token reaches over a word's last byte."""
+        token, size = np.full(len(letters), -1, np.int64), np.ones(len(letters), np.int64)
+        at, node, depth = np.arange(len(letters)), self.to.get(letters, 0), 0
+        while len(at):
+            depth += 1
+            at, node = at[node > 0], node[node > 0]
+            here = self.token_at[node]
+            ends = here >= 0
+            token[at[ends]], size[at[ends]] = here[ends], depth
+            more = at + depth < len(letters)
+            at, node = at[more], node[more]
+            node = self.to.get(node << 9 | letters[at + depth], 0)
+        return token, size
+
+    def _merged(self, letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As exact, for many words of up to SHORT letters: each round merges the first pair of least rank of each word. All ids, and how many each word has."""
+        start, many, parts, order = np.cumsum(size) - size, np.zeros(len(size), np.int64), [], []
+        first, low, none = self.of_byte[letters], 0, len(self.tokens)
+        if (first < 0).any():
+            raise KeyError("a byte without a token")
+        for width in (4, 8, 12, 16, 32, SHORT):
+            rows = np.flatnonzero((size > low) & (size <= width))
+            low, step = width, CELLS // (width + 2)
+            for i in range(0, len(rows), step):
+                some = rows[i : i + step]
+                ids, columns = np.full((len(some), width + 2), none, np.int64), np.arange(width + 2)
+                inside = (columns > 0) & (columns <= size[some][:, None])
+                ids[inside] = first[spread(start[some], size[some])[0]]
+                ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(some), -1)
+                before, after = np.tile(columns - 1, (len(some), 1)), np.tile(columns + 1, (len(some), 1))
+                live = np.arange(len(some))
+                while len(live):
+                    seen = ranks[live]
+                    x = seen.argmin(1)
+                    rank = seen[np.arange(len(live)), x]
+                    go = rank < NEVER
+                    live, x, new = live[go], x[go], self.of_rank[rank[go]]
+                    y = after[live, x]
+                    left, right = before[live, x], after[live, y]
+                    ids[live, x], ids[live, y], ranks[live, y] = new, -1, NEVER
+                    after[live, x], before[live, right] = right, x
+                    ranks[live, x], ranks[live, left] = self.rank(new, ids[live, right]), self.rank(ids[live, left], new)
+                left = (ids >= 0) & (ids < none)
+                parts.append(ids[left])
+                many[some] = left.sum(1)
+                order.append(some)
+        order = np.concatenate([*order, np.zeros(0, np.int64)])
+        at = np.zeros(len(size), np.int64)
+        at[order] = np.cumsum(many[order]) - many[order]
+        return np.concatenate([*parts, np.zeros(0, np.int64)])[spread(at, many)[0]], many
+
+    def encode(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words as bytes, one after the other, and their sizes (from 1), to ids and where each word's begin among them and how many they are."""
+        n, ends = len(size), np.concatenate(([0], np.cumsum(size)))
+        letters = data.astype(np.int64)
+        letters[ends[1:] - 1] += LAST
+        token, step = self._propose(letters)
+        starts, at, end = np.zeros(len(letters), bool), ends[:-1][size <= SHORT], ends[1:][size <= SHORT]
+        while len(at):
+            starts[at] = True
+            at = at + step[at]
+            at, end = at[at < end], end[at < end]
+        ids, word = token[starts], np.repeat(np.arange(n), size)[starts]
+        # Words longer than that are proposed, and merged, one by one.
+        long = np.flatnonzero(size > SHORT).tolist()
+        texts = [data[ends[i] : ends[i + 1]].tobytes().decode("latin-1").translate(self.letters) + END for i in long]
+        proposed = [self.propose(t) for t in texts]
+        ids = np.concatenate([ids, *[np.array(x or [-1], np.int64) for x in proposed]])
+        word = np.concatenate([word, np.repeat(np.array(long, np.int64), [len(x or [-1]) for x in proposed])])
+        bad = np.zeros(n, bool)
+        bad[word[(ids < 0) | ~self.is_sound[ids]]] = True
+        inner = np.flatnonzero((word[1:] == word[:-1]) & ~bad[word[1:]])
+        if len(inner):
+            pairs, place = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
+            bad[word[inner[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[place]]]] = True
+        self.proposed, self.failed = self.proposed + n, self.failed + int(bad.sum())
+        many = np.bincount(word, minlength=n)
+        first = np.zeros(n, np.int64)
+        begins = np.flatnonzero(np.diff(word, prepend=-1))
+        first[word[begins]] = begins
+        wrong = np.flatnonzero(bad & (size <= SHORT))
+        merged, sizes = self._merged(letters[spread(ends[wrong], size[wrong])[0]], size[wrong])
+        first[wrong], many[wrong] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        parts, total = [ids, merged], len(ids) + len(merged)
+        for i, t in zip(long, texts, strict=True):
+            if bad[i]:
+                parts.append(np.array(self.exact(t), np.int64))
+                first[i], many[i] = total, len(parts[-1])
+                total += many[i]
+        return np.concatenate(parts), first, many
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Words in byte letters with END behind the last."""
-        out = [self.propose(w) for w in words]
-        flat = np.array([t for x in out if x for t in x], np.int64)
-        size = np.array([len(x or ()) for x in out], np.int64)
-        word = np.repeat(np.arange(len(out)), size)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        bad = {i for i, x in enumerate(out) if x is None}
-        if len(inner):
-            pairs, place = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
-            fine = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-            bad.update(word[inner[~fine[place]]].tolist())
-        self.proposed, self.failed = self.proposed + len(words), self.failed + len(bad)
-        for i in bad:
-            out[i] = self.exact(words[i])
-        return out
+        plain = [w.translate(self.byte_of).encode("latin-1") for w in words]
+        ids, first, many = self.encode(np.frombuffer(b"".join(plain), np.uint8), np.array([len(w) for w in plain], np.int64))
+        return [ids[a : a + n].tolist() for a, n in zip(first.tolist(), many.tolist(), strict=True)]
+
+    def _normal(self, text: str) -> str:
+        # Lower case letter by letter, as the file's normaliser has it (Python looks at a word's end for a sigma).
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def words_of(self, text: str) -> list[str | int]:
-        """A text's words in byte letters; the ids of special tokens stand as they are."""
+    def _split(self, text: str) -> list[str]:
+        """A text's words; those of special tokens have a line break in front."""
         found, at = [], 0
         for m in self.at_special.finditer(text) if self.at_special else ():
-            found += [*self._plain(text[at : m.start()]), self.special[m.group()]]
+            found += [*self.words.findall(self._normal(text[at : m.start()])), "\n" + m.group()]
             at = m.end()
-        return found + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[str]:
-        # Lower case letter by letter, as the file's normaliser has it (Python looks at a word's end for a sigma).
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return [w.encode().decode("latin-1").translate(self.letters) + END for w in self.words.findall(text)]
+        return found + self.words.findall(self._normal(text[at:]))
 
     def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        found = [self.words_of(t) for t in texts]
-        distinct = list(dict.fromkeys(w for x in found for w in x if isinstance(w, str)))
-        known = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        return [np.array([i for w in x for i in (known[w] if isinstance(w, str) else (w,))], np.uint32).tobytes() for x in found]
+        """Texts to their ids as bytes. Texts without line breaks and special tokens are split as one, with line breaks between."""
+        special = self.at_special is not None and self.at_special.search("\n".join(texts)) is not None
+        odd = [i for i, t in enumerate(texts) if "\n" in t or (special and self.at_special.search(t))]
+        alone = set(odd)
+        order = [i for i in range(len(texts)) if i not in alone]
+        # No white space belongs to a word, and nothing is composed or lowered across a line break.
+        words = self.words_or_breaks.findall(self._normal("".join([texts[i] + "\n" for i in order])))
+        for i in odd:
+            words += [*self._split(texts[i]), "\n"]
+        if not texts:
+            return []
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        ids, first, many = self.encode(np.frombuffer(distinct.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.diff(ends))
+        stop = distinct.index(pa.scalar("\n", pa.large_string())).as_py()
+        many[stop] = 0
+        for t, token in self.special.items() if odd else ():
+            if (i := distinct.index(pa.scalar("\n" + t, pa.large_string())).as_py()) >= 0:
+                first[i], many[i] = len(ids), 1
+                ids = np.append(ids, token)
+        places, at = spread(first[codes], many[codes])
+        blob = ids[places].astype(np.uint32).tobytes()
+        stops = (4 * at[:-1][codes == stop]).tolist()
+        made = [blob[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        if not odd:
+            return made
+        found = dict(zip([*order, *odd], made, strict=True))
+        return [found[i] for i in range(len(texts))]
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder: the tokens, a space between them."""

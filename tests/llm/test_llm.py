@@ -272,6 +272,28 @@ def test_exact_merging_and_proposals_try_few_pairs_and_lengths():
     assert all(len(f) <= bpe.longest[f[:LEAD]] for f in bpe.by_form) and np.mean(list(bpe.longest.values())) < max(map(len, bpe.by_form)) / 2
 
 
+def test_words_are_proposed_and_merged_together(monkeypatch):
+    from quillstone.llm.bpe import END, SHORT, SpeculativeBPE, Table
+    from quillstone.llm.pieces import library
+
+    path = tokenizer_path("word_bpe_49k.json")
+    bpe, tokenizer, r = SpeculativeBPE(path), library(path), random.Random(8)
+    words = ["".join(r.choice("abcdehinorst") for _ in range(r.randint(1, SHORT))) + END for _ in range(2000)]
+    wanted = [bpe.exact(w) for w in words]
+    texts = ["Σas ΣΑΣ", "a\u0301", "\u0301b", "<|endoftext|>x<|startoftext|>", "x\n\ny <|endoftext|>", "", "\n", "it'S 12,5", "İı", "\x00\x01 \x0b\x85é", "ab" * 200, "<|endoftext|>"]
+    one_by_one = []
+    for name in ("exact", "propose"):
+        whole = getattr(SpeculativeBPE, name)
+        monkeypatch.setattr(SpeculativeBPE, name, lambda self, w, whole=whole: one_by_one.append(w) or whole(self, w))
+    assert bpe.encode_words(words) == wanted and bpe.failed > 1000 and not one_by_one
+    for some in (texts, texts[:3], texts[3:4], [], ["", ""]):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in bpe.encode_pieces(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert set(map(len, one_by_one)) == {401}
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000))
+    table = Table(keys[::2], np.arange(len(keys[::2])))
+    assert table.get(keys, -7).tolist() == [i // 2 if i % 2 == 0 else -7 for i in range(len(keys))]
+
+
 def test_speculative_bpe(spark, empty, odd):
     from quillstone.llm.bpe import SpeculativeBPE, encode_decode
     from quillstone.llm.pieces import library
