@@ -111,3 +111,16 @@ def test_prediction_problems(spark):
 def test_simple_vendor(spark):
     rows = spark.createDataFrame([("12-34\nRECEIPT\nab\nCorner Shop",), ("",)], "t string").select(simple_vendor(F.col("t")).alias("v")).collect()
     assert [r.v for r in rows] == ["Corner Shop", None]
+
+
+def test_lines_and_amounts_are_scored_as_columns(spark):
+    rows = [(1, "Corner Store\nTotal 5.00 x 7.00\nTotal 5.00\nTax 0.50"), (2, ""), (3, None), (4, "\n \n"), (5, "12.50\n12.75\n12.50")]
+    found = extract_from_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    # What a lambda holds is walked through node by node; the scores of lines and amounts are plain columns.
+    plan = found._jdf.queryExecution().analyzed().toString().lower()
+    assert "contains(norm#" in plan and "contains(compact#" in plan
+    by = {r.doc_id: r for r in found.collect()}
+    assert sorted(by) == [1, 2, 3, 4, 5]
+    assert (by[1].vendor.value, by[1].total.value, by[1].total.box.top) == ("Corner Store", "5.00", 20)
+    assert all(by[i][f].value is None and by[i][f].confidence == 0 for i in (2, 3, 4) for f in ("vendor", "date", "total"))
+    assert (by[5].total.value, by[5].total.box.top) == ("12.50", 20)
