@@ -73,3 +73,32 @@ def test_fields_of_pages_stay_in_their_task(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert (whole[5].total.value, whole[5]["size"], whole[2].vendor.value, whole[2]["size"], whole[3]["size"]) == ("7.50", len(df.filter("doc_id = 5").first().text), None, 0, None)
+
+
+def test_rasters_meet_pages_that_have_their_boxes(spark):
+    import numpy as np
+
+    from quillstone import config as C
+
+    pixels = spark.range(2).selectExpr("id AS vec_id", "explode(sequence(0, 109)) AS i").selectExpr("vec_id", "0 AS label", "CAST(i DIV 11 AS INT) AS y", "CAST(i % 11 AS INT) AS x", "CAST((i * i * (vec_id + 3)) % 256 AS DOUBLE) AS v")
+    field = "struct<value:string,confidence:double,box:struct<left:int,top:int,right:int,bottom:int,page:int>,raw_value:string>"
+    rows = [(1, ("V", 0.9, (3, 7, 100, 31, 0), "V"), ("D", 0.9, (0, 500, 9, 508, 1), "D"), ("T", 0.4, (250, 200, 900, 300, 7), "T")), (2, (None, 0.0, None, None), (None, 0.0, None, None), ("T", 0.9, (-5, -9, 24, 24, 0), "T"))]
+    fields = spark.createDataFrame(rows, f"doc_id long, vendor {field}, date {field}, total {field}")
+    pages = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 1), (3, 0, 0)], "doc_id long, page_index int, vec_id long")
+    found = image.raster_pages(pages, pixels, fields, 24, 50)
+    patches = image.document_patches(found)
+    # Pages and fields are dealt by document, one small row each; nothing with pixels is, and patches aren't made twice to ask for their number.
+    assert plan(patches).count("hashpartitioning(doc_id") == 2 and "size(cast(transform" not in plan(patches)
+    levels = {v: np.zeros((10, 11)) for v in (0, 1)}
+    for r in image.raster_levels(pixels, 50).collect():
+        levels[r.vec_id][r.y, r.x] = r.e
+    got = {(r.doc_id, r.field): (r.local_ela, r.room) for r in patches.collect()}
+    want = {}
+    for d, f, v, box in ((1, "vendor", 0, (3, 7, 100, 31)), (1, "date", 1, (0, 500, 9, 508)), (1, "total", 1, (250, 200, 900, 300)), (2, "total", 1, (-5, -9, 24, 24))):
+        table = image.summed(levels[v].repeat(24, 0).repeat(24, 1))
+        [one] = image.local_levels(table, [{"field": f, "box": dict(zip(("left", "top", "right", "bottom", "page"), (*box, 0), strict=True))}])
+        want[d, f] = one
+    assert set(got) == set(want) and got[1, "date"][0] is None
+    assert all(got[k][0] == want[k]["local_ela"] or abs(got[k][0] - want[k]["local_ela"]) < 1e-9 for k in want)
+    assert all({c: got[k][1][c] for c in ("left", "top", "right", "bottom")} == {c: want[k]["room"][c] for c in ("left", "top", "right", "bottom")} for k in want)
+    assert sorted((r.doc_id, r.page_index) for r in found.collect()) == [(1, 0), (1, 1), (2, 0), (3, 0)] and set(C.IMAGE_FEATURES) < set(found.columns)
