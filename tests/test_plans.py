@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.operators import evaluate, extract, features, image, layout
+from quillstone.operators import anomaly, evaluate, extract, features, image, layout
 
 
 def plan(df) -> str:
@@ -116,3 +116,22 @@ def test_skew_moves_each_pixel_once(spark):
         spread = [image.rotate(black, a).sum(1).var() for a in image.ANGLES]
         assert r.angle == image.ANGLES[int(np.argmax(spread))] == image.skew_angle(np.array(grays[r.vec_id])) and abs(r.score - max(spread)) < 1e-6
     assert [tuple(r) for r in image.raster_skew(pixels.filter("vec_id = 0 and y = 4 and x < 3").withColumn("v", F.lit(9.0))).select("vec_id").collect()] == [(0,)]
+
+
+def test_words_made_in_a_row_are_not_moved(spark, tmp_path):
+    df = _texts(spark, tmp_path)
+    docs = extract.extract_from_text(df, keep=("text",))
+    near = features.field_word_overlap(docs, layout.text_words(F.col("text")))
+    assert "Exchange" not in plan(near)
+    assert sorted(near.collect()) == sorted(features.field_word_overlap(docs, layout.document_words(df)).collect())
+
+
+def test_regions_are_ranked_in_a_row(spark, tmp_path):
+    docs = extract.extract_from_text(_texts(spark, tmp_path), keep=("text",))
+    words = layout.document_words(docs)
+    found = anomaly.suspicious_regions(words, docs)
+    # Words and amounts aren't dealt to be ranked: none of the tables has more than a row a document.
+    assert "Window" not in plan(found)
+    in_row = docs.join(features.document_offers(words, anomaly.STRONG), "doc_id", "left").withColumn("words", layout.text_words(F.col("text"))).select("doc_id", anomaly.regions_of(False, False).alias("regions"))
+    want = {r.doc_id: [tuple(b) for b in r.regions] for r in in_row.collect() if r.regions}
+    assert {r.doc_id: [tuple(b) for b in r.regions] for r in found.collect()} == want and set(want) == {1} and len(want[1]) == 4
