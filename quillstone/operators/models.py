@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone import config as C
 from quillstone.functions import amounts
 from quillstone.operators import anomaly, extract, features, training
-from quillstone.operators.training import FIT_ROWS, Stats
+from quillstone.operators.training import Stats
 from quillstone.sources.shared import settled
 
 #: Rows and classes without which no model is fitted.
@@ -36,11 +36,11 @@ class Bundle:
         return "heuristic" if self.model is None else type(self.model).__name__
 
 
-def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | None = None, settings: C.Settings = C.DEFAULT, rows: int = FIT_ROWS, fields: DataFrame | None = None) -> Bundle:
+def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | None = None, settings: C.Settings = C.DEFAULT, fields: DataFrame | None = None) -> Bundle:
     """Two passes over docs (doc_id, text, true_vendor, true_date, true_total, is_forged): statistics of what is extracted, then features under them and the fit.
 
     Amounts are the true totals where there are any, else the extracted ones (see training_stats). docs may lack true_total; fields may be given. Fields of the second pass are those of the first: the statistics
-    aren't known when documents are read for training. At most `rows` documents are fitted and cross-validated, those with the smallest hash of their id; the statistics are of all. The
+    aren't known when documents are read for training. All labelled documents are fitted and cross-validated. The
     threshold is calibrated on scores from outside the folds. Too few rows or one class: the rule score stands in for a model.
     """
     fields = settled(extract.extract_from_text(docs), "train-fields") if fields is None else fields
@@ -50,7 +50,7 @@ def train(docs: DataFrame, words: DataFrame | None = None, images: DataFrame | N
     # Tables that are stored with the model anyway: written once, they aren't computed again for each of their uses.
     stats = Stats(stats.numbers, *(settled(t, f"train-{n}") for n, t in (("vendors", stats.vendors), ("known", stats.known), ("formats", stats.formats))))
     every = features.feature_rows(docs, fields, stats, words, images).select("doc_id", "vector").join(docs.select("doc_id", "is_forged"), "doc_id")
-    fitted = training.fit_rows(training.with_vector(every.filter("is_forged is not null")).select("doc_id", "features", "label"), rows).cache()
+    fitted = training.with_vector(every.filter("is_forged is not null")).select("doc_id", "features", "label").cache()
     try:
         n, forged = fitted.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
         out = Bundle(stats, settings.threshold, forged_ratio=forged / n if n else 0.0)

@@ -48,3 +48,21 @@ def test_out_of_fold(spark):
     model = training.classifier(settings).fit(dealt.filter("fold != 1"))
     held = {x.doc_id: x.score for x in training.forged_probability(model, dealt.filter(F.col("fold") == 1)).collect()}
     assert len(held) == 30 and all(abs(got[i] - s) < 1e-9 for i, s in held.items())
+
+
+def test_training_fits_all_rows(spark, monkeypatch):
+    from quillstone.operators import models
+
+    seen, classifier = [], training.classifier
+
+    class Few:
+        def fit(self, rows):
+            seen.append(rows.count())
+            return classifier(C.Settings(trees=1, depth=1)).fit(rows)
+
+    monkeypatch.setattr(training, "classifier", lambda settings=C.DEFAULT: Few())
+    n = 20_040
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("Shop\nTOTAL "), F.col("id").cast("string"), F.lit(".00")).alias("text"), F.lit("Shop").alias("true_vendor"), F.lit("2024-01-01").alias("true_date"), (F.col("id") % 2).cast("int").alias("is_forged"))
+    bundle = models.train(docs)
+    # Five folds without a fifth of the rows each, and then all rows.
+    assert seen[-1] == n and sum(seen[:-1]) == 4 * n and bundle.forged_ratio == 0.5
